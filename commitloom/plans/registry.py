@@ -1,0 +1,4 @@
+"""Every registered query, by name, and the SQL that must give the same rows."""
+
+QUERIES = {}
+ORACLES = {}
