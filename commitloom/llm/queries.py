@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitloom.llm import chat, urlfilter
+from commitloom.llm import bpe, chat, packing, urlfilter
 from commitloom.llm.common import table
 
 #: Fixed values of the URL query.
@@ -64,8 +64,18 @@ inner_prefixes AS (SELECT DISTINCT turns[:k] AS turns FROM (SELECT turns, unnest
 SELECT conv_id, n_turns, rendered FROM whole WHERE turns NOT IN (SELECT turns FROM inner_prefixes)
 """
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op6_chat_formatting": op6_chat_formatting,
+    "op7_bpe": op7_bpe,
     "op10_url_filters": op10_url_filters,
 }
 ORACLES = {"op6_chat_formatting": OP6_SQL, "op10_url_filters": OP10_SQL}
