@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch are worked on in blocks of at most so many characters (one row at least).
 BLOCK_CHARS = 4_000_000
@@ -60,3 +61,9 @@ def mix64(x: np.ndarray, salt: int = 0) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def sample(docs: DataFrame, n: int, salt: int = 0) -> DataFrame:
+    """At most n rows of ``docs``: those whose doc_id has the smallest hashes. Only ids are sorted; n ids are broadcast."""
+    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64(F.lit(salt), "doc_id"), "doc_id").limit(n)
+    return docs.join(F.broadcast(ids), "doc_id", "left_semi").limit(n)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitloom.llm import bpe, chat, packing, urlfilter
+from commitloom.llm import bpe, chat, packing, secrets, urlfilter
 from commitloom.llm.common import table
 
 #: Fixed values of the URL query.
@@ -72,10 +72,23 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.model_of(docs))
+    spans = F.col("spans")
+    base = F.filter(spans, lambda x: x["kind"] != "markov")
+    count = lambda kind: F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *[count(kind).alias(f"n_{kind}") for kind, *_ in secrets.BASE],
+        F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(spans).alias("spans"),
+    )
+
+
 QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_bpe": op7_bpe,
+    "op8_secret_scans": op8_secret_scans,
     "op10_url_filters": op10_url_filters,
 }
 ORACLES = {"op6_chat_formatting": OP6_SQL, "op10_url_filters": OP10_SQL}
