@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitloom.llm import bpe, chat, packing, secrets, urlfilter
+from commitloom.llm import bpe, chat, langid, packing, secrets, toxicity, urlfilter
 from commitloom.llm.common import table
 
 #: Fixed values of the URL query.
@@ -84,11 +84,32 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def in_part(parts: int, held: int):
+    """Whether a row's doc_id falls in the part ``held`` of ``parts``; false for null."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts)) == held, F.lit(False))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~in_part(4, 2)))
+    held = docs.select("doc_id", "text", in_part(4, 2).alias("held_out"))
+    return langid.identify(held, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~in_part(5, 0)))
+    held = docs.select("doc_id", "text", in_part(5, 0).alias("held_out"))
+    return toxicity.score(held, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_chat_formatting": op6_chat_formatting,
+    "op4_language_id": op4_language_id,
     "op7_bpe": op7_bpe,
     "op8_secret_scans": op8_secret_scans,
+    "op9_toxicity": op9_toxicity,
     "op10_url_filters": op10_url_filters,
 }
 ORACLES = {"op6_chat_formatting": OP6_SQL, "op10_url_filters": OP10_SQL}
