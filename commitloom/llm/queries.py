@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitloom.llm import bpe, chat, langid, packing, secrets, toxicity, urlfilter
+from commitloom.llm import ann, bpe, chat, langid, packing, secrets, toxicity, urlfilter
 from commitloom.llm.common import table
 
 #: Fixed values of the URL query.
@@ -103,7 +103,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(held, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
+    "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_chat_formatting": op6_chat_formatting,
     "op4_language_id": op4_language_id,
