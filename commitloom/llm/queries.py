@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitloom.llm import ann, bpe, chat, langid, packing, secrets, toxicity, urlfilter
+from commitloom.llm import ann, bpe, chat, fingerprint, langid, packing, secrets, toxicity, urlfilter
 from commitloom.llm.common import table
 
 #: Fixed values of the URL query.
@@ -107,11 +107,16 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_versions(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_chat_formatting": op6_chat_formatting,
     "op4_language_id": op4_language_id,
+    "op5_fingerprints": op5_fingerprints,
     "op7_bpe": op7_bpe,
     "op8_secret_scans": op8_secret_scans,
     "op9_toxicity": op9_toxicity,
