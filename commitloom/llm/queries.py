@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitloom.llm import ann, bpe, chat, fingerprint, langid, packing, secrets, toxicity, urlfilter
+from commitloom.llm import ann, bpe, chat, fingerprint, langid, ngram_join, packing, secrets, toxicity, urlfilter
 from commitloom.llm.common import table
 
 #: Fixed values of the URL query.
@@ -111,7 +111,12 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_versions(table(spark, sf_dir, "documents"))
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_chat_formatting": op6_chat_formatting,
