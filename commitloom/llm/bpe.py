@@ -7,6 +7,7 @@ words without a pair left drop out. Encoded words are kept by a bounded cache.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -132,6 +133,12 @@ class CachedBpe:
         return out
 
 
+@functools.cache
+def cached(path: str) -> CachedBpe:
+    """One cache for all tasks of a worker."""
+    return CachedBpe(path)
+
+
 SCHEMA = [("doc_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("decoded", pa.string())]
 DIGESTS = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
 
@@ -145,7 +152,7 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     path = tokenizer_path or public_tokenizers.path("word_bpe_49k.json")
 
     def make():
-        bpe = CachedBpe(path)
+        bpe = cached(path)
 
         def work(block):
             found = bpe(common.texts(block))
@@ -161,7 +168,7 @@ def digests(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     path = tokenizer_path or public_tokenizers.path("word_bpe_49k.json")
 
     def make():
-        bpe = CachedBpe(path)
+        bpe = cached(path)
 
         def work(block):
             found = bpe(common.texts(block))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 BLOCK_CHARS = 4_000_000
 
 #: A cache of words is emptied when it holds so many, which bounds a worker's memory.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

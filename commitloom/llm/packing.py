@@ -8,6 +8,8 @@ packs its own split again.
 
 from __future__ import annotations
 
+import functools
+import json
 import re
 import zlib
 
@@ -28,12 +30,15 @@ class SpaceCutEncoder:
     """Ids of a byte-level BPE tokenizer, as little-endian 32-bit integers, by a cache of words.
 
     A single space between other characters always begins a token, so texts are cut there and each
-    different piece is encoded once. Texts in which a space stands between white space, or ends the
-    text after white space, or that hold a special token, are encoded whole.
+    different word is encoded once. Texts in which a space stands between white space, or ends the
+    text after white space, are encoded whole, and those with a special token by the tokenizer itself.
+    Words are encoded by ranks, many in one call, if the vocabulary's ids are in order of its merges.
     """
 
     #: A space whose neighbours let the pre-tokenizer's white-space rules look past the cut.
     WHOLE = re.compile(r"\s (?=\s|\Z)")
+    #: A word that can be encoded in a row with others.
+    JOINS = re.compile(r"\S+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -42,31 +47,77 @@ class SpaceCutEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.ranked = by_rank(path)
+        #: Ids of words after a space.
         self.known: dict[str, bytes] = {}
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
+    def _slow(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without special tokens."""
+        if self.ranked is None:
+            return self._slow(texts)
+        return [np.array(self.ranked[0].encode_ordinary(t), "<u4").tobytes() for t in texts]
+
+    def _learn(self, words: list[str]) -> None:
+        joined = [w for w in words if self.JOINS.fullmatch(w)] if self.ranked else []
+        if joined:
+            encoding, lengths = self.ranked
+            ids = np.array(encoding.encode_ordinary(" " + " ".join(joined)), "<u4")
+            ends = np.cumsum([len(w.encode()) + 1 for w in joined])
+            at = np.searchsorted(np.cumsum(lengths[ids]), ends) + 1
+            self.known.update(zip(joined, [x.tobytes() for x in np.split(ids, at[:-1])], strict=True))
+        rest = [w for w in words if w not in self.known]
+        self.known.update(zip(rest, self._encode([" " + w for w in rest]), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        out, cut, whole = [b""] * len(texts), [], []
-        for i, text in enumerate(texts):
-            if self.WHOLE.search(text) or any(s in text for s in self.special):
-                whole.append(i)
-            else:
-                first, *rest = text.split(" ")
-                cut.append((i, [first, *(" " + w for w in rest)]))
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-            out[i] = ids
         if len(self.known) > common.CACHE_WORDS:
             self.known.clear()
+        out: list[bytes] = [b""] * len(texts)
+        cut: list[tuple[int, list[str]]] = []
+        for i, text in enumerate(texts):
+            if any(s in text for s in self.special):
+                out[i] = self._slow([text])[0]
+            elif self.WHOLE.search(text):
+                out[i] = self._encode([text])[0]
+            else:
+                cut.append((i, text.split(" ")))
         known = self.known
-        new = list({w for _, parts in cut for w in parts if w not in known})
-        known.update(zip(new, self._encode(new), strict=True))
-        for i, parts in cut:
-            out[i] = b"".join([known[w] for w in parts])
+        self._learn(list({w for _, words in cut for w in words[1:] if w not in known}))
+        for (i, words), first in zip(cut, self._encode([words[0] for _, words in cut]), strict=True):
+            out[i] = first + b"".join([known[w] for w in words[1:]])
         return out
 
 
+def by_rank(path: str):
+    """(encoding by ranks, bytes of each id) of a byte-level BPE tokenizer; None if its ids aren't in order of its merges."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        data = json.load(f)
+    model = data["model"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [model["vocab"][a + b] for a, b in pairs]
+    plain = data["normalizer"] is None and data["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    if not plain or made != sorted(made) or len(made) + 256 != len(model["vocab"]) or made[0] != 256:
+        return None
+    # the byte-level alphabet: printable bytes stand for themselves, the others in order from 256 on
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    alphabet = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    ranks = {bytes([alphabet[c] for c in token]): i for token, i in model["vocab"].items()}
+    lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+    for token, i in ranks.items():
+        lengths[i] = len(token)
+    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), lengths
+
+
+@functools.cache
+def encoder(path: str) -> SpaceCutEncoder:
+    """One encoder, and so one cache, for all tasks of a worker."""
+    return SpaceCutEncoder(path)
+
+
 class Bins:
     """Open bins of one task."""
 
@@ -117,7 +168,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = 1024, e
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode = SpaceCutEncoder(path)
+        encode = encoder(path)
         bins = Bins(size, open_bins, TaskContext.get().partitionId() << 36)
         for batch in batches:
             pieces = []
