@@ -132,6 +132,26 @@ def ratio_of(candidate: Column, model: Column) -> Column:
     return F.aggregate(_codes(candidate), start, step, lambda acc: acc["total"]) / (F.length(candidate) - 1)
 
 
+def spans_column(text: Column, model: list[float], margin: float = MARGIN) -> tuple[dict[str, Column], Column]:
+    """Columns of base spans by kind, and of them (by name) and ``text`` the column of all spans."""
+    weights = F.from_json(F.lit("[" + ",".join(f"{x:.9g}" for x in model) + "]"), "array<double>")
+    names = {f"_{kind}_spans": spans for (kind, *_), spans in zip(BASE, base_spans(text), strict=True)}
+    mixed = F.filter(spans_of(text, CANDIDATE), lambda x: x["found"].rlike("[0-9]") & x["found"].rlike("[A-Za-z]") & (ratio_of(x["found"], weights) >= margin))
+    known = F.concat(*map(F.col, names))
+    added = F.filter(mixed, lambda x: ~F.exists(known, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
+    kinds = F.concat(known, F.transform(added, lambda x: F.struct(x["start"], x["end"], F.lit("markov").alias("kind"))))
+    order = F.create_map(*[x for i, (kind, *_) in enumerate([*BASE, ("markov",)]) for x in (F.lit(kind), F.lit(i))])
+    ranked = F.array_sort(F.transform(kinds, lambda x: F.struct(x["start"], F.element_at(order, x["kind"]).alias("rank"), x["end"], x["kind"])))
+    return names, F.transform(ranked, lambda x: F.struct(x["start"], x["end"], x["kind"]))
+
+
+def scan_columns(docs: DataFrame, model: list[float], margin: float = MARGIN) -> DataFrame:
+    """The columns of ``docs`` (text and any others but those added), null texts as empty, with spans."""
+    docs = docs.select(*[c for c in docs.columns if c != "spans"]).withColumn("text", F.coalesce("text", F.lit("")))
+    names, spans = spans_column(F.col("text"), model, margin)
+    return docs.withColumns(names).withColumn("spans", spans).drop(*names)
+
+
 def scan(docs: DataFrame, model: list[float], margin: float = MARGIN) -> DataFrame:
     """doc_id, text, spans (array of start, end, kind) of every document.
 
@@ -140,16 +160,7 @@ def scan(docs: DataFrame, model: list[float], margin: float = MARGIN) -> DataFra
     comes last and is added beside the base kinds only where no base span overlaps it. Repeated rows
     give repeated results; an empty table gives none.
     """
-    weights = F.from_json(F.lit("[" + ",".join(f"{x:.9g}" for x in model) + "]"), "array<double>")
-    text = F.coalesce("text", F.lit(""))
-    base = docs.select("doc_id", text.alias("text")).withColumns({kind: spans for (kind, *_), spans in zip(BASE, base_spans(F.col("text")), strict=True)})
-    mixed = F.filter(spans_of(F.col("text"), CANDIDATE), lambda x: x["found"].rlike("[0-9]") & x["found"].rlike("[A-Za-z]") & (ratio_of(x["found"], weights) >= margin))
-    known = F.concat(*[F.col(kind) for kind, *_ in BASE])
-    added = F.filter(mixed, lambda x: ~F.exists(known, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    kinds = F.concat(known, F.transform(added, lambda x: F.struct(x["start"], x["end"], F.lit("markov").alias("kind"))))
-    order = F.create_map(*[x for i, (kind, *_) in enumerate([*BASE, ("markov",)]) for x in (F.lit(kind), F.lit(i))])
-    ranked = F.array_sort(F.transform(kinds, lambda x: F.struct(x["start"], F.element_at(order, x["kind"]).alias("rank"), x["end"], x["kind"])))
-    return base.select("doc_id", "text", F.transform(ranked, lambda x: F.struct(x["start"], x["end"], x["kind"])).alias("spans"))
+    return scan_columns(docs.select("doc_id", "text"), model, margin)
 
 
 def written(spans: Column) -> Column:
