@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from commitloom.functions.text import let
 
@@ -49,7 +50,7 @@ def score(features: DataFrame, model: Model, key: str = "seq") -> DataFrame:
             probs = model.probabilities(list(zip(batch.column("indices").to_pylist(), batch.column("values").to_pylist(), strict=True)))
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(list(probs), pa.list_(pa.float64()))], names=[key, "probs"])
 
-    return features.select(key, "indices", "values").mapInArrow(run, features.select(key).schema.add("probs", "array<double>"))
+    return features.select(key, "indices", "values").mapInArrow(run, features.select(key).schema.add("probs", T.ArrayType(T.DoubleType())))
 
 
 def long_form(probs: DataFrame, classes: list[str], key: str = "seq") -> DataFrame:

@@ -447,10 +447,10 @@ def confusion_matrix(spark, sf_dir):
     return evaluation.confusion(_pairs(spark, sf_dir), ["1", "0"])
 
 
-@query("SELECT count(*) AS n, max(abs(l_tax - l_discount)) AS max_abs_diff, count(*) FILTER (WHERE abs(l_tax - l_discount) > 0.05) AS over_tolerance, count(*) FILTER (WHERE abs(l_tax - l_discount) > 0.05) = 0 AS ok FROM lineitem")
+@query("SELECT count(*) AS n, max(abs(value - floor(value))) AS max_abs_diff, count(*) FILTER (WHERE abs(value - floor(value)) > 0.5) AS over_tolerance, count(*) FILTER (WHERE abs(value - floor(value)) > 0.5) = 0 AS ok FROM events")
 def parity_check(spark, sf_dir):
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("k", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    return evaluation.parity(lines.select("k", F.col("l_tax").alias("v")), lines.select("k", F.col("l_discount").alias("v")), "k", "v", 0.05)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return evaluation.parity(events.select("event_id", "value"), events.select("event_id", F.floor("value").cast("double").alias("value")), "event_id", "value", 0.5)
 
 
 @query("SELECT doc_id AS seq, lang AS label, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) <= round(count(*) OVER (PARTITION BY lang) * 0.1) AS is_test FROM documents")
@@ -488,7 +488,7 @@ def _streamed(spark, sf_dir, make, mode="append"):
 
     run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(put).start()
     run.awaitTermination()
-    return spark.read.schema(stream.schema.add("batch", "int")).parquet(f"{base}/out").drop("batch")
+    return spark.read.schema(stream.schema.add("batch", "integer")).parquet(f"{base}/out").drop("batch")
 
 
 def _dedup(df):
