@@ -488,7 +488,7 @@ def _streamed(spark, sf_dir, make, mode="append"):
 
     run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(put).start()
     run.awaitTermination()
-    return spark.read.schema(stream.schema.add("batch", "integer")).parquet(f"{base}/out").drop("batch")
+    return spark.read.schema(stream.schema).parquet(f"{base}/out").drop("batch")
 
 
 def _dedup(df):

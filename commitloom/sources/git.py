@@ -5,9 +5,13 @@ from __future__ import annotations
 import subprocess
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StringType, StructField, StructType
+
+from commitloom.functions import text as T
+from commitloom.operators import ingest
 
 
 def run_git(arguments: list[str], folder: str) -> str | None:
@@ -62,7 +66,7 @@ def read_log(spark: SparkSession, repos: list[str], limit: int | None = None) ->
 
 def with_shows(log: DataFrame) -> DataFrame:
     """The log's columns with stat (numstat text) and diff of each commit; commits that git can't show are dropped."""
-    schema = log.schema.add("stat", "string").add("diff", "string")
+    schema = StructType([*log.schema.fields, StructField("stat", StringType()), StructField("diff", StringType())])
 
     def run(batches):
         for batch in batches:
@@ -80,11 +84,6 @@ def with_shows(log: DataFrame) -> DataFrame:
 
 def mine(spark: SparkSession, repos: list[str], limit: int | None = None) -> DataFrame:
     """Commit records of local repositories. The header decides before a diff is fetched."""
-    from pyspark.sql import Window
-
-    from commitloom.functions import text as T
-    from commitloom.operators import ingest
-
     log = read_log(spark, repos, limit).withColumn("label", T.conventional_label(F.col("subject"))).where("label is not null")
     if limit:
         log = log.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy("seq"))).where(F.col("_n") <= limit).drop("_n")

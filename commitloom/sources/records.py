@@ -93,4 +93,9 @@ def labels_text(df: DataFrame, label: str = "label") -> str:
 
 
 def write_labels(df: DataFrame, path: str, label: str = "label") -> None:
-    df.sparkSession.createDataFrame([(labels_text(df, label),)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "").text(path)
+    """``labels_text`` as one file, in any store that Spark writes to."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(labels_text(df, label).encode()))
+    out.close()
