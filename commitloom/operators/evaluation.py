@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from commitloom.operators.firsts import mark_first
+
 
 def shuffled(seed: int, key: str) -> Column:
     """What a seeded shuffle sorts by: the same on every run and every cluster."""
@@ -13,9 +15,9 @@ def shuffled(seed: int, key: str) -> Column:
 
 def stratified_split(df: DataFrame, share: float = 0.1, seed: int = 42, label: str = "label", key: str = "seq") -> DataFrame:
     """``df`` with is_test: of each label the rounded share with the smallest hashes of key and seed."""
-    own = Window.partitionBy(label)
-    rank = F.row_number().over(own.orderBy(shuffled(seed, key), key))
-    return df.withColumn("is_test", rank <= F.round(F.count("*").over(own) * share))
+    mixed = shuffled(seed, key)
+    bucket = F.conv(F.substring(mixed, 1, 3), 16, 10).cast("long")
+    return mark_first(df, label, bucket, [mixed, F.col(key)], lambda n: F.round(n * share), "is_test")
 
 
 def seeded_head(df: DataFrame, n: int, seed: int, key: str = "seq") -> DataFrame:

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from commitloom.functions import text as T
+from commitloom.operators.firsts import BUCKETS, mark_first
 
 
 def cap_per_label(df: DataFrame, cap: int, label: str = "label") -> DataFrame:
-    """The first ``cap`` rows of each label by seq; all of them if it is 0."""
+    """The first ``cap`` rows of each label by seq; all of them if it is 0. Rows without seq are left out by a cap."""
     if not cap:
         return df
-    order = Window.partitionBy(label).orderBy("seq")
-    return df.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap).drop("_n")
+    ends = df.agg(F.min("seq").alias("low"), F.max("seq").alias("high")).first()
+    if ends.low is None:
+        return df.where("seq is not null")
+    width = (ends.high - ends.low) // BUCKETS + 1
+    bucket = F.floor((F.col("seq") - ends.low) / width)
+    return mark_first(df, label, bucket, [F.col("seq")], lambda _: F.lit(cap), "_first").where("_first").drop("_first")
 
 
 def apply_quota(df: DataFrame, per_label: int = 0, limit: int = 100_000) -> DataFrame:
@@ -23,11 +28,9 @@ def apply_quota(df: DataFrame, per_label: int = 0, limit: int = 100_000) -> Data
 
 def quota_counts(df: DataFrame, per_label: int, limit: int) -> DataFrame:
     """One row: kept rows, and those that their label's cap held back before the limit was met."""
-    order = Window.partitionBy("label").orderBy("seq")
-    ranked = df.withColumn("_n", F.row_number().over(order))
     kept = apply_quota(df, per_label, limit).agg(F.count("*").alias("kept"), F.max("seq").alias("last"))
-    capped = ranked.crossJoin(F.broadcast(kept)).where((F.col("_n") > per_label) & ((F.col("kept") < limit) | (F.col("seq") < F.col("last")))) if per_label else ranked.where("false").crossJoin(kept)
-    return kept.crossJoin(capped.agg(F.count("*").alias("capped"))).select("kept", "capped")
+    seen = df.crossJoin(F.broadcast(kept)).where((F.col("kept") < limit) | (F.col("seq") <= F.col("last"))).agg(F.count("*").alias("seen"))
+    return kept.crossJoin(seen).select("kept", (F.col("seen") - F.col("kept") if per_label else F.lit(0).cast("long")).alias("capped"))
 
 
 def mined(log: DataFrame, limit: int | None = None) -> DataFrame:
