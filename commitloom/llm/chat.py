@@ -47,6 +47,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     repeated rows are turns of their own; an empty table gives no rows. Only conversations that stay are
     gathered, each into the one row it becomes.
     """
+    turns = turns.select("conv_id", "turn", "role", "text")
     piece = F.concat(F.lit(OPEN), F.col("role"), F.lit("\n"), F.col("text"), F.lit(CLOSE + "\n"))
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
     kept = turns.join(maximal(turns), "conv_id").withColumn("position", F.row_number().over(order))
