@@ -5,7 +5,7 @@
    ones that can still be alike, are dealt into more parts than two alike sets can differ in shingles, so one
    part at least, and not an empty one, is the same in both: a tile is (band, part, digest of the part).
 3. In a tile, sizes and hashed bitmap signatures bound the overlap of two sets from above: the bits that
-   differ are no more than the shingles that do. Pairs that stay joined become groups.
+   differ are no more than the shingles that do. Sets that stay joined become groups.
 4. In a group, blocks of bounded size are compared by exact intersection of sorted arrays, once more behind
    the bitmaps. Groups of more than one block are joined first inside the blocks; what isn't yet in a
    group's largest cluster then meets every block.
@@ -21,12 +21,17 @@ from pyspark.sql import functions as F
 
 from commitloom import scratch
 from commitloom.llm import common
+from commitloom.llm.urlfilter import BITS_PER_KEY, Level, build_level
 from commitloom.operators.graph import components
 
 #: Bits of a bitmap signature: the band's upper end, within these bounds.
 LEAST_BITS, MOST_BITS = 64, 8_192
 #: Sets of a tile, and documents of a group, that one block holds.
 BLOCK = 256
+#: Bytes of a Bloom filter in a plan, at most.
+MOST_FILTER_BYTES = 8 << 20
+#: Members of crowded tiles that one task puts together, about.
+MET_IN_A_TASK = 1_000_000
 #: Hashes of words that a worker remembers.
 WORDS: dict[bytes, int] = {}
 
@@ -150,6 +155,15 @@ class Forest:
         return i != j
 
 
+    def stars(self, names: list[int]) -> list[tuple[int, int]]:
+        """(name, smallest name of its tree) of all rows that have another one."""
+        low: dict[int, int] = {}
+        roots = [self.find(i) for i in range(len(names))]
+        for r, n in zip(roots, names, strict=True):
+            low[r] = min(low.get(r, n), n)
+        return [(n, low[r]) for r, n in zip(roots, names, strict=True) if n != low[r]]
+
+
 def bitmap_links(sizes: np.ndarray, maps: np.ndarray, like: Similar, left: np.ndarray | None = None):
     """For each row i the later rows (or, of ``left`` rows, the others) whose sizes and bitmaps allow a link."""
     words = maps.view(np.uint64) if maps.shape[1] % 8 == 0 else maps
@@ -262,7 +276,8 @@ def crowded(tiles: DataFrame, parts: int) -> DataFrame:
                 for m in members:
                     if len(held) == BLOCK:
                         out.append((key, chunk, held))
-                        chunk, held = chunk + 1, []
+                        # neighbouring chunks share a set, so alike sets of both come together
+                        chunk, held = chunk + 1, held[-1:]
                     held.append(m)
             if len(out) > 2_000:
                 yield common.record(schema, *zip(*out, strict=True))
@@ -275,48 +290,101 @@ def crowded(tiles: DataFrame, parts: int) -> DataFrame:
 
 
 def possible_links(blocks: DataFrame, sets: DataFrame, like: Similar, parts: int) -> DataFrame:
-    """u, v: sets (s1) that bitmaps allow to be linked, as many as join them inside each tile."""
+    """s1, g: sets that bitmaps allow to be linked, in groups.
+
+    Tiles of one chunk are compared inside. Sets that meet in tiles of several chunks, where near copies meet
+    again and again, are first put together without regard to the tile, each once, and dealt into blocks
+    twice: alike sets of different blocks come together in the second dealing. What isn't in the largest
+    group by then meets every block, so near copies cost as much as there are of them.
+    """
     whole = blocks.groupBy("tile").agg(F.max("chunk").alias("last"))
     one = blocks.join(whole.where("last = 0").select("tile"), "tile", "left_semi").select("members").distinct()
-    many = blocks.join(whole.where("last > 0"), "tile")
-    other = F.explode(F.sequence(F.lit(0), "last"))
-    placed = one.select(F.xxhash64("members").alias("tile"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.explode("members").alias("s1")).union(
-        many.select("tile", "chunk", "members", other.alias("o")).select("tile", F.least("chunk", "o").alias("a"), F.greatest("chunk", "o").alias("b"), F.explode("members").alias("s1"))
-    )
+    hot = blocks.join(whole.where("last > 0").select("tile"), "tile", "left_semi").select("members")
+    meeting = components(met(hot)).select(F.col("node").alias("s1"), F.col("component").alias("tile"))
+    last = meeting.groupBy("tile").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("chunks")).select("tile", (F.col("chunks") - 1).alias("last"))
+    chunk = lambda salt: F.pmod(F.xxhash64(F.lit(salt), "s1"), F.col("last") + 1)
+    many, _ = scratch.keep(meeting.join(last, "tile").select("tile", chunk(2).alias("chunk"), "last", "s1"))
+    zero, yes, no = F.lit(0).cast("long"), F.lit(1), F.lit(0)
     signatures = sets.where("n > 0").groupBy("s1").agg(F.max("n").alias("n"), F.max_by("map", "n").alias("map"))
-    rows = placed.join(signatures, "s1").repartition(parts, "tile", "a", "b").sortWithinPartitions("tile", "a", "b")
+    inside = one.select(F.xxhash64("members").alias("tile"), zero.alias("a"), zero.alias("b"), F.explode("members").alias("s1"), yes.alias("side"))
+    inside = inside.union(many.select("tile", "chunk", zero + 1, "s1", yes)).union(many.select("tile", chunk(3), zero + 2, "s1", yes))
+    first, _ = scratch.keep(components(bitmap_stars(inside.withColumn("label", F.col("s1")).join(signatures, "s1"), like, parts)))
+
+    known = many.join(first.select(F.col("node").alias("s1"), F.col("component").alias("label")), "s1", "left").withColumn("label", F.coalesce("label", "s1"))
+    counts = known.groupBy("tile", "label").agg(F.count("*").alias("c"))
+    largest = counts.groupBy("tile").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.sum("c").alias("all"), F.max("c").alias("c")).where("c < all")
+    known = known.join(largest.select("tile", "most", F.ceil((F.col("all") - F.col("c")) / BLOCK).cast("long").alias("others")), "tile")
+    own = F.pmod(F.xxhash64(F.lit(1), "s1"), F.col("others"))
+    wanted = known.where("label != most").select("tile", own.alias("a"), F.explode(F.sequence(zero, F.col("last"))).alias("b"), "s1", yes.alias("side"), "label")
+    every = known.select("tile", F.explode(F.sequence(zero, F.col("others") - 1)).alias("a"), F.col("chunk").alias("b"), "s1", no.alias("side"), "label")
+    across = bitmap_stars(wanted.union(every).join(signatures, "s1"), like, parts)
+    stars = first.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    return components(stars.union(across)).select(F.col("node").alias("s1"), F.col("component").alias("g"))
+
+
+def met(hot: DataFrame) -> DataFrame:
+    """u, v: members of the same array, joined as far as each task sees: no more rows from a task than it has seen sets."""
     schema = [("u", pa.int64()), ("v", pa.int64())]
 
     def run(batches):
-        u, v = [], []
-        for _, (ids, sizes, maps) in groups(batches, ["tile", "a", "b"], ["s1", "n", "map"]):
+        at: dict[int, int] = {}
+        forest = Forest(0)
+        for batch in batches:
+            for members in batch.column("members").to_pylist():
+                for m in members:
+                    if m not in at:
+                        at[m] = len(forest.up)
+                        forest.up.append(at[m])
+                    forest.join(at[members[0]], at[m])
+        out = forest.stars(list(at))
+        for i in range(0, len(out), 20_000):
+            yield common.record(schema, *zip(*out[i : i + 20_000], strict=True))
+
+    arrays, _ = scratch.keep(hot)
+    return arrays.coalesce(max(4, arrays.count() * BLOCK // MET_IN_A_TASK)).mapInArrow(run, "u long, v long")
+
+
+def bitmap_stars(rows: DataFrame, like: Similar, parts: int) -> DataFrame:
+    """u, v: sets that sizes and bitmaps join, in each block (tile, a, b), to the smallest one that they reach there.
+
+    Rows have s1, n, map, label and side: those of side 1 are compared with all of another label.
+    """
+    schema = [("u", pa.int64()), ("v", pa.int64())]
+
+    def run(batches):
+        out: list[tuple[int, int]] = []
+        for _, (ids, sizes, maps, sides, labels) in groups(batches, ["tile", "a", "b"], ["s1", "n", "map", "side", "label"]):
             width = min(map(len, maps))
             together = np.stack([folded(np.frombuffer(m, np.uint8), width) for m in maps])
-            forest = Forest(len(ids))
-            for i, at in bitmap_links(np.array(sizes), together, like):
+            forest, first = Forest(len(ids)), {}
+            for i, label in enumerate(labels):
+                forest.join(i, first.setdefault(label, i))
+            left = np.flatnonzero(np.array(sides) == 1)
+            for i, at in bitmap_links(np.array(sizes), together, like, None if len(left) == len(ids) else left):
                 for j in at.tolist():
-                    if forest.join(i, j):
-                        u.append(ids[i])
-                        v.append(ids[j])
-            if len(u) > 20_000:
-                yield common.record(schema, u, v)
-                u, v = [], []
-        yield common.record(schema, u, v)
+                    forest.join(i, j)
+            out += forest.stars(ids)
+            if len(out) > 20_000:
+                yield common.record(schema, *zip(*out, strict=True))
+                out = []
+        if out:
+            yield common.record(schema, *zip(*out, strict=True))
 
-    return rows.mapInArrow(run, "u long, v long")
+    return rows.repartition(parts, "tile", "a", "b").sortWithinPartitions("tile", "a", "b").mapInArrow(run, "u long, v long")
 
 
 def exact_links(members: DataFrame, width: int, like: Similar, parts: int) -> DataFrame:
-    """u, v: doc_ids whose sets are alike, as many as join them in each block.
+    """u, v, blocks: doc_ids that links in a block join to the smallest one they reach there.
 
-    ``members`` has task (three longs: g, a, b), doc_id, text, side and label. Rows of side 1 are compared with
-    all rows of another label; if there is none of side 0, this is every pair.
+    ``members`` has task (three longs: g, a, b), doc_id, text, side, label and blocks (of the group). Rows of
+    side 1 are compared with all rows of another label; if there is none of side 0, this is every pair.
     """
-    schema = [("u", pa.int64()), ("v", pa.int64())]
+    schema = [("u", pa.int64()), ("v", pa.int64()), ("blocks", pa.int64())]
     rows = members.repartition(parts, "g", "a", "b").sortWithinPartitions("g", "a", "b")
 
     def run(batches):
-        for _, (ids, texts, sides, labels) in groups(batches, ["g", "a", "b"], ["doc_id", "text", "side", "label"]):
+        out: list[tuple[int, int, int]] = []
+        for _, (ids, texts, sides, labels, blocks) in groups(batches, ["g", "a", "b"], ["doc_id", "text", "side", "label", "blocks"]):
             sets = shingles([t or "" for t in texts], width)
             sizes = np.array([len(s) for s in sets])
             bits = min(map(bits_of, sizes.tolist()))
@@ -325,18 +393,38 @@ def exact_links(members: DataFrame, width: int, like: Similar, parts: int) -> Da
             for i, label in enumerate(labels):
                 forest.join(i, first.setdefault(label, i))
             left = np.flatnonzero(np.array(sides) == 1)
-            u, v = [], []
             for i, at in bitmap_links(sizes, maps, like, None if len(left) == len(ids) else left):
                 for j in at.tolist():
                     if forest.find(i) != forest.find(j):
                         shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                         if like.alike(len(sets[i]), len(sets[j]), shared):
                             forest.join(i, j)
-                            u.append(ids[i])
-                            v.append(ids[j])
-            yield common.record(schema, u, v)
+            out += [(u, v, blocks[0]) for u, v in forest.stars(ids)]
+            if len(out) > 20_000:
+                yield common.record(schema, *zip(*out, strict=True))
+                out = []
+        if out:
+            yield common.record(schema, *zip(*out, strict=True))
+
+    return rows.mapInArrow(run, "u long, v long, blocks long")
+
+
+def filter_of(ids: DataFrame, column: str) -> Level:
+    """A Bloom filter of a column of longs, of MOST_FILTER_BYTES at most: with very many ids it lets more through."""
+    keys = ids.select(F.col(column).cast("string").alias("key"))
+    return build_level(keys, min(keys.count(), MOST_FILTER_BYTES * 8 // BITS_PER_KEY), 0)
+
+
+def maybe_in(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows whose column may be among ``ids``: a bounded filter that spares others the shuffle of an exact join."""
+    return rows.where(filter_of(ids, column).holds(F.col(column).cast("string"), 0))
+
 
-    return rows.mapInArrow(run, "u long, v long")
+def without(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows whose column is not among ``ids``; only rows that the filter lets through are joined with them."""
+    through = filter_of(ids, column).holds(F.col(column).cast("string"), 0)
+    maybe = F.coalesce(through, F.lit(False))
+    return rows.where(~maybe).union(rows.where(maybe).join(ids.select(column), column, "left_anti").select(*rows.columns))
 
 
 def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -357,17 +445,19 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     kinds, _ = scratch.keep(sets.where("n > 0").groupBy(*ident).agg(F.min("doc_id").alias("rep")).where("rep is not null"))
 
     blocks, _ = scratch.keep(crowded(tiles_of(plain, width, like), parts))
-    maybe, _ = scratch.keep(components(possible_links(blocks, sets, like, parts)).select(F.col("node").alias("s1"), F.col("component").alias("g")))
+    maybe = possible_links(blocks, sets, like, parts)
 
     # documents of the groups, one for each set, with how many blocks their group has
-    counts = maybe.join(kinds, "s1").groupBy("g").agg(F.count("*").alias("c")).select("g", F.ceil(F.col("c") / BLOCK).cast("long").alias("blocks"))
-    chosen = maybe.join(kinds, "s1").join(counts, "g").select("g", "blocks", F.col("rep").alias("doc_id"), *ident)
-    chosen, _ = scratch.keep(chosen)
-    some, _ = scratch.keep(plain.join(chosen.select("doc_id", "g", "blocks"), "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))))
+    chosen, _ = scratch.keep(maybe.join(kinds, "s1").select("g", F.col("rep").alias("doc_id")))
+    counts = chosen.groupBy("g").agg(F.count("*").alias("c")).select("g", F.ceil(F.col("c") / BLOCK).cast("long").alias("blocks"))
+    chosen = chosen.join(counts, "g")
+    some, _ = scratch.keep(maybe_in(plain, "doc_id", chosen).join(chosen.select("doc_id", "g", "blocks"), "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))))
     zero = F.lit(0).cast("long")
-    first = some.select("g", F.col("block").alias("a"), zero.alias("b"), "doc_id", "text", F.lit(1).alias("side"), F.col("doc_id").alias("label"))
-    inside, _ = scratch.keep(exact_links(first, width, like, parts))
-    near = components(inside).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
+    first = some.select("g", F.col("block").alias("a"), zero.alias("b"), "doc_id", "text", F.lit(1).alias("side"), F.col("doc_id").alias("label"), "blocks")
+    # large groups are dealt twice, so that alike documents of different blocks come together
+    again = some.where("blocks > 1").select("g", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.col("blocks")).alias("a"), (zero + 1).alias("b"), "doc_id", "text", F.lit(1).alias("side"), F.col("doc_id").alias("label"), "blocks")
+    inside, _ = scratch.keep(exact_links(first.union(again), width, like, parts))
+    near = components(inside.where("blocks > 1")).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
 
     # of groups with several blocks: what is outside the largest cluster meets all blocks
     large = some.where("blocks > 1").join(near, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
@@ -376,11 +466,11 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     largest = largest.where("c < all").select("g", "most", F.ceil((F.col("all") - F.col("c")) / BLOCK).cast("long").alias("others"))
     large = large.join(largest, "g").withColumn("minor", F.col("label") != F.col("most"))
     own = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.col("others"))
-    wanted = large.where("minor").select("g", own.alias("a"), F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("b"), "doc_id", "text", F.lit(1).alias("side"), "label")
-    every = large.select("g", F.explode(F.sequence(zero, F.col("others") - 1)).alias("a"), F.col("block").alias("b"), "doc_id", "text", F.lit(0).alias("side"), "label")
+    wanted = large.where("minor").select("g", own.alias("a"), F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("b"), "doc_id", "text", F.lit(1).alias("side"), "label", "blocks")
+    every = large.select("g", F.explode(F.sequence(zero, F.col("others") - 1)).alias("a"), F.col("block").alias("b"), "doc_id", "text", F.lit(0).alias("side"), "label", "blocks")
     across = exact_links(wanted.union(every), width, like, parts)
 
     # the same text under several ids, and several texts under one id, are links as well
     same = sets.where("n > 0").join(kinds, ident).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u is not null")
-    reach = components(inside.union(across).union(same)).select(F.col("node").alias("doc_id"), "component")
+    reach = components(inside.union(across).select("u", "v").union(same)).select(F.col("node").alias("doc_id"), "component")
     return sets.join(reach, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -34,8 +34,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id; rows of equal doc_id stay or go together."""
     groups = ngram_join.link(docs, WIDTH, PERCENT)
-    gone = groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone, _ = scratch.keep(groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct())
+    return ngram_join.without(docs, "doc_id", gone)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
