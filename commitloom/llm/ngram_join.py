@@ -32,8 +32,9 @@ BLOCK = 256
 MOST_FILTER_BYTES = 8 << 20
 #: Members of crowded tiles that one task puts together, about.
 MET_IN_A_TASK = 1_000_000
-#: Hashes of words that a worker remembers.
+#: Hashes of words that a worker remembers; they are cheap to make again, so few are kept.
 WORDS: dict[bytes, int] = {}
+MOST_WORDS = 100_000
 
 
 class Similar:
@@ -64,7 +65,7 @@ def shingles(texts: list[str], width: int) -> list[np.ndarray]:
     A-Z are lower-cased and words lie between the six white-space characters of ASCII. Shingles are told
     apart by 64-bit hashes.
     """
-    if len(WORDS) > common.CACHE_WORDS:
+    if len(WORDS) > MOST_WORDS:
         WORDS.clear()
     words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
     known = WORDS

@@ -41,16 +41,24 @@ class SpaceCutEncoder:
     JOINS = re.compile(r"\S+")
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.ranked = by_rank(path)
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            data = json.load(f)
+        self.special = [t["content"] for t in data["added_tokens"]]
+        self.ranked = by_rank(data)
         #: Ids of words after a space.
         self.known: dict[str, bytes] = {}
 
+    @functools.cached_property
+    def tokenizer(self):
+        """The library's tokenizer, loaded only where a text needs it."""
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(self.path)
+        made.no_truncation()
+        made.no_padding()
+        return made
+
     def _slow(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
@@ -90,12 +98,10 @@ class SpaceCutEncoder:
         return out
 
 
-def by_rank(path: str):
+def by_rank(data: dict):
     """(encoding by ranks, bytes of each id) of a byte-level BPE tokenizer; None if its ids aren't in order of its merges."""
     import tiktoken
 
-    with open(path, encoding="utf-8") as f:
-        data = json.load(f)
     model = data["model"]
     pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
     made = [model["vocab"][a + b] for a, b in pairs]
