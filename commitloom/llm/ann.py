@@ -4,6 +4,10 @@ Unit vectors are turned by fast pseudo-random rotations (signs and Hadamard tran
 assigned to the nearest signed axis, once in each table. A query looks at its nearest axes in every table
 and ranks what lies there exactly. Buckets are cut into blocks of bounded size and each block meets its
 queries in one matrix product, so a bucket that holds a third of all vectors is many blocks.
+
+Axes know directions only, so a second look follows: the k-th score that a query has found says what cosine a
+vector of each class of lengths needs to be among the k nearest, and the query looks at as many more axes for
+that class as meet such a cosine with a chance of REACH. Long vectors at wide angles are met that way too.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from commitloom.llm import common
 
 #: Tables; axes that a query looks at in each; rows that it meets in the first table at least, further axes being looked at until it does.
 TABLES, PROBES, LEAST_MET = 8, 9, 2_048
+#: The chance, at least, with which the second look meets a vector that is among the k nearest; cosines it tells apart.
+REACH, COSINES = 0.95, 64
 #: Vectors of a bucket that one block holds, about.
 BLOCK = 4_096
 #: Scores of this much less than the last that is kept are computed again in the order of the dimensions.
@@ -62,6 +68,29 @@ def axes_in_order(y: np.ndarray) -> np.ndarray:
     return np.argsort(-score, axis=1, kind="stable")
 
 
+def widths(size: int, tables: int, chance: float = REACH, seed: int = 12) -> np.ndarray:
+    """For cosines 0, 1 / COSINES, .. 1: axes to look at in each table to meet a vector at that cosine with this chance.
+
+    Rotations make it depend on the cosine only, so it is counted over random pairs: the place that the axis
+    of one has in the other's order.
+    """
+    rng = np.random.default_rng(seed)
+    q, v = rng.normal(size=(2, max(200, min(4_000, 2**21 // size)), size))
+    q /= np.sqrt((q**2).sum(axis=1, keepdims=True))
+    v -= (q * v).sum(axis=1, keepdims=True) * q
+    v /= np.maximum(np.sqrt((v**2).sum(axis=1, keepdims=True)), 1e-300)
+    one = 1 - (1 - chance) ** (1 / tables)
+    out = np.empty(COSINES + 1, np.int64)
+    for i in range(COSINES + 1):
+        c = i / COSINES
+        x = c * q + np.sqrt(1 - c * c) * v
+        axis = np.abs(x).argmax(axis=1)
+        mine = q[np.arange(len(q)), axis] * np.sign(x[np.arange(len(q)), axis])
+        place = (q > mine[:, None]).sum(axis=1) + (-q > mine[:, None]).sum(axis=1)
+        out[i] = np.sort(place)[min(len(place) - 1, int(np.ceil(one * len(place))))] + 1
+    return np.maximum.accumulate(out[::-1])[::-1]
+
+
 def matrix(column: pa.Array, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
     """(vectors, which rows take part): null, zero and wrongly long ones, and ones with null or non-finite components, don't."""
     lengths = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
@@ -76,11 +105,11 @@ def top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-HASHED = "vec_id long, embedding array<float>, norm int, bucket array<int>"
+HASHED = "vec_id long, embedding array<float>, norm int, length double, bucket array<int>"
 
 
 def hash_vectors(vectors: DataFrame, dimensions: int, tables: int) -> DataFrame:
-    """vec_id, embedding, norm (a power of two, rounded), bucket (one for each table) of the vectors that take part."""
+    """vec_id, embedding, norm (a power of two, rounded), length, bucket (one for each table) of the vectors that take part."""
     signs = rotations(dimensions, tables)
 
     def run(batches):
@@ -91,7 +120,7 @@ def hash_vectors(vectors: DataFrame, dimensions: int, tables: int) -> DataFrame:
             unit = x / length[:, None]
             bucket = np.stack([nearest_axis(turned(unit, s)) for s in signs], axis=1).astype(np.int32)
             norm = np.round(np.log2(length)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(norm), pa.array(list(bucket), pa.list_(pa.int32()))], names=["vec_id", "embedding", "norm", "bucket"])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(norm), pa.array(length), pa.array(list(bucket), pa.list_(pa.int32()))], names=["vec_id", "embedding", "norm", "length", "bucket"])
 
     return vectors.mapInArrow(run, HASHED)
 
@@ -105,7 +134,9 @@ def search(vectors: DataFrame, is_query, k: int = 20, tables: int = TABLES, prob
     non-finite components take no part. Each query meets at least ``least_met`` vectors (or all there are)
     in the first table, so few vectors are searched whole. Nearest first, ties to the smaller vec_id; an
     empty table gives no rows. Vectors of very different lengths are hashed by direction and kept apart by
-    length, and every query looks at all lengths.
+    length. After a first look at all lengths, every query looks at more axes for those lengths at which
+    vectors of a wider angle can still be among the k nearest; where that comes to as much as all axes of the
+    first table, it looks at those.
     """
     spark = vectors.sparkSession
     data = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
@@ -121,6 +152,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, tables: int = TABLES, prob
     counts = {(r.t, r.b, r.norm): r.n for r in hashed.select("norm", F.posexplode("bucket").alias("t", "b")).groupBy("t", "b", "norm").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return spark.createDataFrame([], out)
+    longest = {r.norm: r.length for r in hashed.groupBy("norm").agg(F.max("length").alias("length")).collect()}
     held: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
     for (t, b, norm), n in sorted(counts.items()):
         held.setdefault((t, b), []).append((norm, -(-n // BLOCK), n))
@@ -130,37 +162,72 @@ def search(vectors: DataFrame, is_query, k: int = 20, tables: int = TABLES, prob
         if t == 0:
             met[b] += sum(n for _, _, n in parts)
 
-    def probe(batches):
+    reach = widths(signs.shape[2], tables)
+
+    def cells(batch, row, key):
+        """The batch's rows beside the keys of blocks that they look at."""
+        for at in range(0, len(row), 20_000):
+            part = batch.take(pa.array(row[at : at + 20_000]))
+            t, b, norm, block = (pa.array(c, pa.int32()) for c in zip(*key[at : at + 20_000], strict=True))
+            yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("embedding"), t, b, norm, block], names=["vec_id", "embedding", "t", "b", "norm", "block"])
+
+    def looks(batch):
+        """(lengths, and for each table its axes in order and how many the first look takes) of a batch of queries."""
+        x, _ = matrix(batch.column("embedding"), dimensions)
+        length = np.sqrt((x / np.abs(x).max(axis=1, initial=1e-300, keepdims=True)) ** 2 @ np.ones(dimensions)) * np.abs(x).max(axis=1, initial=1e-300)
+        unit = x / length[:, None]
+        out = []
+        for t in range(tables):
+            order = axes_in_order(turned(unit, signs[t]))
+            width = np.full(len(order), probes)
+            if t == 0:
+                before = np.cumsum(met[order], axis=1) - met[order]
+                width = np.maximum(probes, (before < least_met).sum(axis=1))
+            out.append((order.tolist(), width.tolist()))
+        return length, out
+
+    def first_look(batches):
         for batch in batches:
-            x, _ = matrix(batch.column("embedding"), dimensions)
-            unit = x / np.sqrt((x / np.abs(x).max(axis=1, initial=1e-300, keepdims=True)) ** 2 @ np.ones(dimensions))[:, None] / np.abs(x).max(axis=1, initial=1e-300)[:, None]
             row, key = [], []
-            for t in range(tables):
-                order = axes_in_order(turned(unit, signs[t]))
-                if t == 0:
-                    before = np.cumsum(met[order], axis=1) - met[order]
-                    width = np.maximum(probes, (before < least_met).sum(axis=1))
-                else:
-                    width = np.full(len(order), probes)
-                for i, (axes, w) in enumerate(zip(order.tolist(), width.tolist(), strict=True)):
+            for t, (order, width) in enumerate(looks(batch)[1]):
+                for i, (axes, w) in enumerate(zip(order, width, strict=True)):
                     for b in axes[:w]:
                         for norm, blocks, _ in held.get((t, b), ()):
                             for block in range(blocks):
                                 row.append(i)
                                 key.append((t, b, norm, block))
-            for at in range(0, len(row), 20_000):
-                part = batch.take(pa.array(row[at : at + 20_000]))
-                t, b, norm, block = (pa.array(c, pa.int32()) for c in zip(*key[at : at + 20_000], strict=True))
-                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("embedding"), t, b, norm, block], names=["vec_id", "embedding", "t", "b", "norm", "block"])
+            yield from cells(batch, row, key)
+
+    def second_look(batches):
+        for batch in batches:
+            length, tables_of = looks(batch)
+            row, key = [], []
+            least = batch.column("least").to_numpy(zero_copy_only=False).astype(float)
+            for i in range(len(batch)):
+                wide = {}
+                for norm, most in longest.items():
+                    # null: fewer than k were found, so any vector counts; rounding must not lose one at the bound
+                    cosine = least[i] / length[i] / most * (1 - 1e-9) if least[i] > 0 else 0.0
+                    wide[norm] = int(reach[int(cosine * COSINES)]) if cosine <= 1 else 0
+                whole = {norm for norm, w in wide.items() if w * tables >= len(met)}
+                for t, (order, width) in enumerate(tables_of):
+                    last = len(met) if t == 0 and whole else max(wide.values())
+                    for place in range(width[i], last):
+                        b = order[i][place]
+                        for norm, blocks, _ in held.get((t, b), ()):
+                            if t == 0 if norm in whole else place < wide[norm]:
+                                for block in range(blocks):
+                                    row.append(i)
+                                    key.append((t, b, norm, block))
+            yield from cells(batch, row, key)
 
     sizes = F.element_at(
         F.from_json(F.lit("{" + ",".join(f'"{t}/{b}/{n}":{-(-c // BLOCK)}' for (t, b, n), c in counts.items()) + "}"), "map<string,int>"),
         F.concat_ws("/", "t", "b", "norm"),
     )
-    queries = hashed.where(is_query).select("vec_id", "embedding").mapInArrow(probe, "vec_id long, embedding array<float>, t int, b int, norm int, block int")
+    queries = hashed.where(is_query).select("vec_id", "embedding")
     base = places.withColumn("block", F.pmod(F.xxhash64("vec_id"), sizes.cast("long")).cast("int"))
     key = ["t", "b", "norm", "block"]
-    both = queries.withColumn("side", F.lit(0)).select(*key, "side", "vec_id", "embedding").union(base.withColumn("side", F.lit(1)).select(*key, "side", "vec_id", "embedding"))
 
     def near(qx, qi, cx, ci):
         """(query ids, candidate ids, scores) of one block."""
@@ -213,8 +280,20 @@ def search(vectors: DataFrame, is_query, k: int = 20, tables: int = TABLES, prob
         yield from flush()
 
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = both.repartition(n, *key).sortWithinPartitions(*key)
-    found = dealt.mapInArrow(rerank, "query_id long, vec_id long, score double")
-    kept = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def candidates(asked: DataFrame, look) -> DataFrame:
+        """query_id, vec_id, score of what lies in the blocks that ``look`` chooses."""
+        asked = asked.mapInArrow(look, "vec_id long, embedding array<float>, t int, b int, norm int, block int")
+        both = asked.withColumn("side", F.lit(0)).select(*key, "side", "vec_id", "embedding").union(base.withColumn("side", F.lit(1)).select(*key, "side", "vec_id", "embedding"))
+        dealt = both.repartition(n, *key).sortWithinPartitions(*key)
+        return dealt.mapInArrow(rerank, "query_id long, vec_id long, score double")
+
+    def best(found: DataFrame) -> DataFrame:
+        kept = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    first, _ = scratch.keep(best(candidates(queries, first_look)))
+    least = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
+    more = candidates(queries.join(least, "vec_id", "left").select("vec_id", "embedding", "least"), second_look)
+    return best(first.select("query_id", "vec_id", "score").union(more))

@@ -61,3 +61,24 @@ def test_ties_bad_vectors_and_small_tables(spark, monkeypatch):
     assert len(few[0]) == 2
     assert ann.search(df.where("false"), F.col("vec_id") == 0).count() == 0
     assert ann.search(df.where("vec_id >= 400"), F.col("vec_id") == 0).count() == 0
+
+
+def recall(spark, x, step, **how):
+    """Of every step-th vector's 20 nearest, the share that the search finds; and all that it finds."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = found(ann.search(df, F.col("vec_id") % step == 0, k=20, **how))
+    x = x.astype(float)
+    share = []
+    for q in range(0, len(x), step):
+        s = x @ x[q]
+        s[q] = -np.inf
+        share.append(len(set(np.argsort(-s)[:20].tolist()) & {v for v, _ in got[q]}) / 20)
+    return np.mean(share)
+
+
+@pytest.mark.parametrize("sigma", [0.5, 1.0])
+def test_recall_of_mixed_lengths(spark, sigma):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(20_000, 64))
+    x *= (rng.lognormal(0, sigma, 20_000) / np.sqrt((x**2).sum(axis=1)))[:, None]
+    assert recall(spark, x.astype(np.float32), 200) >= 0.9
