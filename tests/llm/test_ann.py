@@ -64,7 +64,7 @@ def test_ties_bad_vectors_and_small_tables(spark, monkeypatch):
 
 
 def recall(spark, x, step, **how):
-    """Of every step-th vector's 20 nearest, the share that the search finds; and all that it finds."""
+    """Of every step-th vector's 20 nearest, the share that the search finds."""
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     got = found(ann.search(df, F.col("vec_id") % step == 0, k=20, **how))
     x = x.astype(float)
@@ -82,3 +82,15 @@ def test_recall_of_mixed_lengths(spark, sigma):
     x = rng.normal(size=(20_000, 64))
     x *= (rng.lognormal(0, sigma, 20_000) / np.sqrt((x**2).sum(axis=1)))[:, None]
     assert recall(spark, x.astype(np.float32), 200) >= 0.9
+
+
+@pytest.mark.parametrize("sf, step", [("sf0.1", 20), ("check_s", 100)])
+def test_recall_of_the_delivered_tables_without_the_least_met(spark, sf, step):
+    t = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").orderBy("vec_id").toPandas()
+    assert recall(spark, np.stack(t.embedding), step, least_met=0) >= 0.9
+
+
+def test_recall_of_unit_vectors_without_the_least_met(spark):
+    x = np.random.default_rng(6).normal(size=(20_000, 64))
+    x /= np.sqrt((x**2).sum(axis=1, keepdims=True))
+    assert recall(spark, x.astype(np.float32), 200, least_met=0) >= 0.9
