@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from commitloom.llm import common, wordgrams
 
-#: Labelled documents that a model is fitted to, at most; and characters of each that reach the driver.
-TRAIN_DOCS, TRAIN_CHARS = 6_000, 6_000
+#: Labelled documents that a model is fitted to, at most.
+TRAIN_DOCS = 6_000
 SIZES, BITS = (3, 4, 5), 18
 #: Counts added to both classes, in proportion to their sizes; steps, rate and shrinkage of the regression.
 SMOOTH, STEPS, RATE, SHRINK = 20.0, 60, 0.05, 10.0
@@ -81,13 +81,23 @@ class Scorer:
         return (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()
 
 
+def different_words(batches):
+    """Each text as its different words, which are all that a model sees of it."""
+    for batch in batches:
+        for block in common.blocks(batch):
+            cut = [" ".join(sorted(set(wordgrams.words_of(t)))) for t in common.texts(block)]
+            yield block.set_column(block.schema.get_field_index("text"), "text", pa.array(cut, pa.string()))
+
+
 def fit(docs: DataFrame, labels: DataFrame, salt: int = 9) -> Model:
     """A model of at most TRAIN_DOCS of the documents (doc_id, text) that ``labels`` (doc_id, toxic) covers.
 
-    Null texts, ids and labels are left out; of several labels of a document the largest counts.
+    Null texts, ids and labels are left out; of several labels of a document the largest counts. Whole texts
+    count, but only their different words reach the driver.
     """
     chosen = common.sample(labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")), TRAIN_DOCS, salt)
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.substring("text", 1, TRAIN_CHARS).alias("text")).join(F.broadcast(chosen), "doc_id").limit(TRAIN_DOCS).collect()
+    taught = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    rows = taught.mapInArrow(different_words, taught.schema).limit(TRAIN_DOCS).collect()
     return train([(r.text, int(r.toxic > 0)) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))])
 
 

@@ -105,3 +105,11 @@ def test_equal_texts_have_equal_scores(salt):
     warm = toxicity.Scorer(model)
     warm(["fool nice zebra", "here there"] * (salt + 1))
     assert warm(["nice fool here idiot"]) == toxicity.Scorer(model)(["nice fool here idiot"])
+
+
+def test_toxicity_learns_from_ends_of_long_texts(spark):
+    rows = [(i, "a nice day here " * 500 + ("you idiot fool" if i % 2 else "with some friends")) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 2) as toxic")
+    bad, good = toxicity.Scorer(toxicity.fit(docs, labels))(["idiot fool", "some friends"])
+    assert bad > 0.5 > good
