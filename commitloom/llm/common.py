@@ -63,7 +63,10 @@ def mix64(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sample(docs: DataFrame, n: int, salt: int = 0) -> DataFrame:
-    """At most n rows of ``docs``: those whose doc_id has the smallest hashes. Only ids are sorted; n ids are broadcast."""
+def sample(docs: DataFrame, n: int, salt: int = 0, each: Callable[[DataFrame], DataFrame] = lambda chosen: chosen) -> DataFrame:
+    """At most n rows of ``docs``: those whose doc_id has the smallest hashes. Only ids are sorted; n ids are broadcast.
+
+    ``each`` may make smaller rows of those chosen, one of each, where they lie.
+    """
     ids = docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64(F.lit(salt), "doc_id"), "doc_id").limit(n)
-    return docs.join(F.broadcast(ids), "doc_id", "left_semi").limit(n)
+    return each(docs.join(F.broadcast(ids), "doc_id", "left_semi")).limit(n)

@@ -8,6 +8,7 @@ sequences are spans of labelled documents, many of them two spans joined, so swi
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 from commitloom.llm import common, wordgrams
 
-#: Labelled documents that a model is fitted to, at most; words of each that it sees; and characters of each that reach the driver.
-TRAIN_DOCS, TRAIN_WORDS, TRAIN_CHARS = 3_000, 60, 4_000
+#: Labelled documents that a model is fitted to, at most; and words of each that it sees.
+TRAIN_DOCS, TRAIN_WORDS = 3_000, 60
 SIZES, BITS = (2, 3, 4), 16
 EPOCHS, BATCH, RATE, SHRINK = 4, 32, 0.2, 1e-6
 #: Words of each language that form its lexicon, at most.
@@ -74,7 +75,7 @@ def train(samples: list[tuple[str, str]], seed: int = 7) -> Model:
     for text, lang in samples:
         words = wordgrams.words_of(text)
         if words:
-            at = int(rng.integers(0, max(1, len(words) - TRAIN_WORDS)))
+            at = int(rng.integers(0, max(1, len(words) - TRAIN_WORDS + 1)))
             spans.append((words[at : at + TRAIN_WORDS], langs.index(lang)))
     counts: list[dict[str, int]] = [{} for _ in langs]
     for words, y in spans:
@@ -207,10 +208,25 @@ class Predictor:
         return langs, out
 
 
+def spans_of(batches):
+    """Each text as its training span: TRAIN_WORDS words from a place that is drawn by a hash of the whole text."""
+    for batch in batches:
+        for block in common.blocks(batch):
+            cut = []
+            for text in common.texts(block):
+                words = wordgrams.words_of(text)
+                at = zlib.crc32(text.encode()) % max(1, len(words) - TRAIN_WORDS + 1)
+                cut.append(" ".join(words[at : at + TRAIN_WORDS]))
+            yield block.set_column(block.schema.get_field_index("text"), "text", pa.array(cut, pa.string()))
+
+
 def fit(docs: DataFrame, salt: int = 4) -> Model:
-    """A model of at most TRAIN_DOCS of the rows of ``docs`` (doc_id, text, lang) that have a text and a lang."""
-    labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", F.substring("text", 1, TRAIN_CHARS).alias("text"), "lang")
-    rows = common.sample(labelled, TRAIN_DOCS, salt).collect()
+    """A model of at most TRAIN_DOCS of the rows of ``docs`` (doc_id, text, lang) that have a text and a lang.
+
+    Spans are drawn from whole texts, by the executors; only they reach the driver.
+    """
+    labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
+    rows = common.sample(labelled, TRAIN_DOCS, salt, lambda chosen: chosen.mapInArrow(spans_of, chosen.schema)).collect()
     return train([(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.doc_id, r.text, r.lang))])
 
 

@@ -113,3 +113,11 @@ def test_toxicity_learns_from_ends_of_long_texts(spark):
     labels = docs.selectExpr("doc_id", "int(doc_id % 2) as toxic")
     bad, good = toxicity.Scorer(toxicity.fit(docs, labels))(["idiot fool", "some friends"])
     assert bad > 0.5 > good
+
+
+def test_language_id_learns_from_whole_texts(spark):
+    start = "the cat and dog " * 300
+    rows = [(i, start + ("le chat et chien " if i % 2 else "el gato y perro ") * 3_000, "fr" if i % 2 else "es") for i in range(60)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert langid.Predictor(model)(["le chat et chien", "el gato y perro"])[0] == ["fr", "es"]
+    assert all(s > 0.8 for s in langid.Predictor(model)(["le chat et chien", "el gato y perro"])[1])
