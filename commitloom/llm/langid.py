@@ -24,8 +24,9 @@ SIZES, BITS = (2, 3, 4), 16
 EPOCHS, BATCH, RATE, SHRINK = 4, 32, 0.2, 1e-6
 #: Words of each language that form its lexicon, at most.
 LEXICON = 2_000
-#: A document whose language has a smaller mean probability is rejected by the pipeline.
-LEAST_SCORE = 0.4
+#: The pipeline keeps a document whose language has this mean probability, or whose words, each in the language
+#: that it fits best, have a mean probability of LEAST_FIT: clean text of several languages has no large share of one.
+LEAST_SCORE, LEAST_FIT = 0.4, 0.7
 #: Words of a document that are walked through one after another; the walks of different stretches run side by side.
 STRETCH = 32
 
@@ -131,7 +132,12 @@ def train(samples: list[tuple[str, str]], seed: int = 7) -> Model:
 
 
 def mean_marginals(u: np.ndarray, transitions: np.ndarray, word: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Mean marginals of each document. u: exp of each word type's scores; word: types of all documents' words; sizes: words of each (at least 1).
+    """Mean marginals of each document, see ``means_and_fits``."""
+    return means_and_fits(u, transitions, word, sizes)[0]
+
+
+def means_and_fits(u: np.ndarray, transitions: np.ndarray, word: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean marginals of each document, and the mean of its words' largest marginals. u: exp of each word type's scores; word: types of all documents' words; sizes: words of each (at least 1).
 
     Documents are cut into stretches: the product of each stretch's matrices carries messages past it, so
     that only stretches, and the places in one stretch, are walked one after another. The result is exact.
@@ -169,14 +175,16 @@ def mean_marginals(u: np.ndarray, transitions: np.ndarray, word: np.ndarray, siz
         x = (now @ a) * u[types[:, i]]
         now = np.where(real[:, i, None], x / x.sum(axis=1, keepdims=True), now)
         alpha[:, i] = now
-    total, now = np.zeros((len(doc), k)), last
+    total, largest, now = np.zeros((len(doc), k)), np.zeros(len(doc)), last
     for i in reversed(range(STRETCH)):
         live = real[:, i, None]
         g = alpha[:, i] * now
-        total += np.where(live, g / g.sum(axis=1, keepdims=True), 0)
+        g = np.where(live, g / g.sum(axis=1, keepdims=True), 0)
+        total += g
+        largest += g.max(axis=1)
         x = (now * u[types[:, i]]) @ a.T
         now = np.where(live, x / x.sum(axis=1, keepdims=True), now)
-    return np.stack([np.bincount(doc, total[:, j], len(sizes)) for j in range(k)], axis=1) / sizes[:, None]
+    return np.stack([np.bincount(doc, total[:, j], len(sizes)) for j in range(k)], axis=1) / sizes[:, None], np.bincount(doc, largest, len(sizes)) / sizes
 
 
 class Predictor:
@@ -187,6 +195,10 @@ class Predictor:
 
     def __call__(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """The language of each text and its mean probability; ``und`` and 0 without a letter or a learned language."""
+        return self.fitted(texts)[:2]
+
+    def fitted(self, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
+        """What calling gives, and the mean over words of the probability of the language that each fits best; 0 for ``und``."""
         if len(self.known) > common.CACHE_WORDS:
             self.known, self.u = {}, self.u[:0]
         cut = [wordgrams.words_of(t) for t in texts]
@@ -197,15 +209,15 @@ class Predictor:
             self.u = np.concatenate([self.u, np.exp(np.maximum(scores - scores.max(axis=1, keepdims=True), -30))])
             for w in new:
                 known[w] = len(known)
-        langs, out = ["und"] * len(texts), [0.0] * len(texts)
+        langs, out, fits = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         some = [i for i, words in enumerate(cut) if words and any(map(str.isalpha, texts[i]))] if self.model.langs else []
         if some:
             sizes = np.array([len(cut[i]) for i in some])
             word = np.fromiter((known[w] for i in some for w in cut[i]), np.int64, int(sizes.sum()))
-            means = mean_marginals(self.u, self.model.transitions, word, sizes)
-            for i, j, m in zip(some, means.argmax(axis=1), means, strict=True):
-                langs[i], out[i] = self.model.langs[j], float(min(1.0, m[j]))
-        return langs, out
+            means, largest = means_and_fits(self.u, self.model.transitions, word, sizes)
+            for i, j, m, fit in zip(some, means.argmax(axis=1), means, largest, strict=True):
+                langs[i], out[i], fits[i] = self.model.langs[j], float(min(1.0, m[j])), float(min(1.0, fit))
+        return langs, out, fits
 
 
 def spans_of(batches):
@@ -230,22 +242,24 @@ def fit(docs: DataFrame, salt: int = 4) -> Model:
     return train([(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.doc_id, r.text, r.lang))])
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of ``docs`` (doc_id, text and any others but those added), with lang_pred and score.
+def identify(docs: DataFrame, model: Model, fit: bool = False) -> DataFrame:
+    """The columns of ``docs`` (doc_id, text and any others but those added), with lang_pred and score; and fit if asked for.
 
-    Texts that are null or without a letter are ``und`` with score 0; so are all if the model knows no
+    Texts that are null or without a letter are ``und`` with score (and fit) 0; so are all if the model knows no
     language. Whole texts are read, however long. Repeated rows give repeated results; an empty table none.
     """
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    added = ["lang_pred", "score", *(["fit"] if fit else [])]
+    names = [c for c in docs.columns if c not in added]
 
     def make():
         predict = Predictor(model)
 
         def work(block):
-            langs, scores = predict(common.texts(block))
-            return pa.RecordBatch.from_arrays([*block.columns, pa.array(langs), pa.array(scores, pa.float64())], names=[*block.schema.names, "lang_pred", "score"])
+            langs, scores, fits = predict.fitted(common.texts(block))
+            more = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.float64())][: len(added)]
+            return pa.RecordBatch.from_arrays([*block.columns, *more], names=[*block.schema.names, *added])
 
         return work
 
     schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*names).mapInArrow(common.by_block(make), schema)
+    return docs.select(*names).mapInArrow(common.by_block(make), schema.add("fit", "double") if fit else schema)

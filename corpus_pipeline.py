@@ -20,9 +20,10 @@ TOXIC = 0.5
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; texts that are null, have no letter, or fit no language well go."""
-    found = langid.identify(docs, langid.fit(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= langid.LEAST_SCORE)).select(*docs.columns)
+    """Documents in known languages, one or several; texts that are null, have no letter, or fit no language well go."""
+    found = langid.identify(docs, langid.fit(docs), fit=True)
+    known = (F.col("score") >= langid.LEAST_SCORE) | (F.col("fit") >= langid.LEAST_FIT)
+    return found.where((F.col("lang_pred") != "und") & known).select(*docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

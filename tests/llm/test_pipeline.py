@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -55,3 +56,16 @@ def test_cases(spark):
                 assert [r.doc_id for r in got] == [4, 4] or got == []
             elif name in ("near_duplicates", "secrets"):
                 assert len(got) == 5
+
+
+def test_clean_text_of_several_languages_stays(spark):
+    rng = random.Random(4)
+    make = {"aa": "bcdfa", "bb": "lmnoe", "cc": "ghjki", "dd": "rstvu", "ee": "pqwxy"}
+    word = lambda y: "".join(rng.choices(make[y], k=5))
+    plain = [(i, " ".join(word(y) for _ in range(80)), y) for i, y in enumerate([*make] * 40)]
+    mixed = [(1000 + n, " ".join(word(y) for y in [*make][:n] for _ in range(30)), "aa") for n in (3, 4, 5)]
+    known = set("".join(make.values()))
+    strange = [(2000, " ".join("".join(rng.choices([c for c in map(chr, range(0x430, 0x450)) if c not in known], k=5)) for _ in range(120)), None)]
+    docs = spark.createDataFrame([(i, x, y, "s", len(x)) for i, x, y in plain + mixed + strange], "doc_id long, text string, lang string, source string, n_chars long")
+    ids = {r.doc_id for r in corpus_pipeline.language_stage(spark, docs, DATA).collect()}
+    assert ids == {i for i, _, _ in plain + mixed}
