@@ -347,20 +347,20 @@ def _numbered(spark, sf_dir):
 @query()
 def assembled_features(spark, sf_dir):
     rows, _ = scratch.keep(_numbered(spark, sf_dir))
-    return features.transform(rows, features.fit(rows, max_terms=500, max_paths=200))
+    return features.transform(rows, features.fit(rows))
 
 
 @query()
 def fitted_scores(spark, sf_dir):
-    """Fits two classes on small vocabularies, takes the payload through JSON, and scores every commit."""
-    rows, _ = scratch.keep(_numbered(spark, sf_dir).withColumn("label", F.when(F.col("label").isin("feat", "fix"), "change").otherwise("upkeep")))
-    spec = features.fit(rows, max_terms=100, max_paths=50)
+    """Fits all labels at the operators' default sizes, takes the payload through JSON, and scores every commit."""
+    rows, _ = scratch.keep(_numbered(spark, sf_dir))
+    spec = features.fit(rows)
     vectors, _ = scratch.keep(features.transform(rows, spec).join(rows.select("seq", "label"), "seq"))
-    model = training.fit(vectors, spec.width, max_iter=5)
+    model = training.fit(vectors, spec.width)
     path = f"{scratch.folder(spark)}/payload"
     payloads.write_payload(spark, payloads.export_payload(spec, model), path)
     _, model = payloads.import_payload(payloads.read_payload(spark, path))
-    return scoring.top_k(scoring.long_form(scoring.score(vectors, model), model.classes), 2)
+    return scoring.top_k(scoring.long_form(scoring.score(vectors, model), model.classes))
 
 
 # Scoring and evaluation: a small made-up model, so that SQL can follow the algebra
