@@ -1,9 +1,11 @@
 """N-gram Jaccard join: links between documents whose sets of word shingles are alike, without losing one.
 
 1. Equal sets are one: every set has a digest, and the smallest doc_id stands for it.
-2. Candidates meet in tiles. A band holds sets of sizes from 2**k to 2**(k+1). Sets of one band, and larger
-   ones that can still be alike, are dealt into more parts than two alike sets can differ in shingles, so one
-   part at least, and not an empty one, is the same in both: a tile is (band, part, digest of the part).
+2. Candidates meet in tiles. A band holds sets of sizes from 2**k to 2**(k+1), and larger ones that can still be
+   alike to one of them. In a band, shingles have one order for all sets: those that many sets hold come last,
+   the others by their hash. Two alike sets share so much that the first shingle they share stands among the
+   first few of both, so a set stands in a tile (band, shingle) for each of these. The order decides only how
+   many sets meet: which shingles come last is counted over all texts, and a tile found crowded joins them.
 3. In a tile, sizes and hashed bitmap signatures bound the overlap of two sets from above: the bits that
    differ are no more than the shingles that do. Sets that stay joined become groups.
 4. In a group, blocks of bounded size are compared by exact intersection of sorted arrays, once more behind
@@ -13,8 +15,11 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,15 +31,20 @@ from commitloom.operators.graph import components
 
 #: Bits of a bitmap signature: the band's upper end, within these bounds.
 LEAST_BITS, MOST_BITS = 64, 8_192
-#: Sets of a tile, and documents of a group, that one block holds.
-BLOCK = 256
+#: Sets of a tile that one row holds.
+CHUNK = 256
+#: Sets, and shingles of sets, that one block holds, about.
+BLOCK, BLOCK_SHINGLES = 2_048, 2_000_000
 #: Bytes of a Bloom filter in a plan, at most.
 MOST_FILTER_BYTES = 8 << 20
+#: Bits of the filter of shingles that come last; of all blocks' counts of shingles that a block holds twice at least, the sum that makes one come last.
+LAST_BITS, LAST_COUNT = 1 << 26, 64
+#: Tiles are made so often at most, each time with the shingles of crowded ones last.
+ROUNDS = 3
 #: Members of crowded tiles that one task puts together, about.
 MET_IN_A_TASK = 1_000_000
-#: Hashes of words that a worker remembers; they are cheap to make again, so few are kept.
-WORDS: dict[bytes, int] = {}
-MOST_WORDS = 100_000
+#: Bytes of a word up to which words are hashed together.
+LONG_WORD = 64
 
 
 class Similar:
@@ -50,42 +60,103 @@ class Similar:
         """Whether sets of sizes a and b can be alike if at least so many shingles differ."""
         return 2 * self.percent * (a + b) <= (100 + self.percent) * (a + b - differing)
 
-    def differ(self, n: int) -> int:
-        """By how many shingles an alike set can differ at most, of a set of n shingles that is the smaller one."""
-        return n * (100 - self.percent) // self.percent
+    def first(self, n):
+        """So many of a set's n shingles, in an order that all sets have, hold one that an alike set has among its own first."""
+        return n - (self.percent * n + 99) // 100 + 1
 
     def largest(self, n: int) -> int:
         """Of the sets alike to one of n shingles, the largest size."""
         return 100 * n // self.percent
 
 
-def shingles(texts: list[str], width: int) -> list[np.ndarray]:
-    """Sorted hashes of each text's different shingles; of all its words if they are fewer than ``width``; none without words.
+@dataclass
+class Sets:
+    """Many sets of 64-bit numbers in one array: the numbers of each, sorted, one set after the other."""
+
+    flat: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.flat[self.starts[i] : self.starts[i] + self.sizes[i]]
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def taken(self, rows: np.ndarray) -> Sets:
+        """The sets of these rows, in their order; rows may repeat."""
+        sizes = self.sizes[rows]
+        starts = np.cumsum(sizes) - sizes
+        at = np.arange(sizes.sum()) + np.repeat(self.starts[rows] - starts, sizes)
+        return Sets(self.flat[at], starts, sizes)
+
+    def reduced(self, by: np.ufunc, numbers: np.ndarray) -> np.ndarray:
+        """One number for each set, of one for each of its elements; 0 for empty sets."""
+        out = np.zeros(len(self.sizes), np.uint64)
+        full = self.sizes > 0
+        if full.any():
+            out[full] = by.reduceat(numbers, self.starts[full])
+        return out
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A hash of each word's bytes: eight bytes of all words at a time, or each by itself if it is very long."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.concatenate([np.frombuffer(words.buffers()[2] or b"", np.uint8), np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    length = np.diff(offsets)
+    h = common.mix64(length.astype(np.uint64))
+    at = np.flatnonzero(length <= LONG_WORD)
+    done = 0
+    while len(at):
+        left = np.minimum(length[at] - done, 8).astype(np.uint64)
+        part = eight[offsets[at] + done] & (np.uint64(2**64 - 1) >> ((np.uint64(8) - left) * np.uint64(8)))
+        h[at] = common.mix64(h[at] ^ part)
+        done += 8
+        at = at[length[at] > done]
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[offsets[i] : offsets[i + 1]])
+    return h
+
+
+def shingles(texts: pa.Array, width: int) -> Sets:
+    """Each text's different shingles by their hashes; of all its words if they are fewer than ``width``; none without words.
 
     A-Z are lower-cased and words lie between the six white-space characters of ASCII. Shingles are told
-    apart by 64-bit hashes.
+    apart by 64-bit hashes. Null texts have no words.
     """
-    if len(WORDS) > MOST_WORDS:
-        WORDS.clear()
-    words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-    known = WORDS
-    for w in {w for ws in words for w in ws if w not in known}:
-        known[w] = xxhash.xxh3_64_intdigest(w)
-    out = []
+    # a copy, as ascii_lower misreads slices
+    whole = texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()).fill_null("")
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(whole))
+    words, ends = cut.flatten(), np.cumsum(cut.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    # white space at an end of a text gives an empty word
+    real = pc.not_equal(pc.binary_length(words), 0)
+    ends = np.r_[0, np.cumsum(real.to_numpy(zero_copy_only=False))][ends]
+    codes = word_hashes(words)[real.to_numpy(zero_copy_only=False)]
+    begins = np.r_[0, ends[:-1]].astype(np.int64)
+    n = ends - begins
+    k = np.minimum(n, width)
+    count = np.where(n > 0, n - k + 1, 0)
+    starts = np.cumsum(count) - count
+    at = np.arange(count.sum()) + np.repeat(begins - starts, count)
+    widths = np.repeat(k, count)
     factor = np.uint64(0x9E3779B97F4A7C15)
-    for ws in words:
-        n = len(ws)
-        codes = np.fromiter(map(known.__getitem__, ws), np.uint64, n)
-        k = min(n, width)
-        h = np.zeros(n - k + 1 if n else 0, np.uint64)
-        for i in range(k):
-            h = (h ^ (h >> np.uint64(29))) * factor + codes[i : n - k + 1 + i]
-        out.append(np.unique(common.mix64(h, k)))
-    return out
+    h = codes[at]
+    codes = np.r_[codes, np.zeros(width, np.uint64)]
+    for i in range(1, width):
+        # fewer words than width go without the rest, and are another kind of shingle by their number
+        h = (h ^ (h >> np.uint64(29))) * factor + np.where(widths > i, codes[at + i], widths.astype(np.uint64))
+    h = common.mix64(h, width)
+    for a, b in zip(starts.tolist(), (starts + count).tolist(), strict=True):
+        h[a:b].sort()
+    fresh = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
+    fresh[starts[count > 0]] = True
+    sizes = np.diff(np.r_[0, np.cumsum(fresh)][np.r_[starts, len(h)]])
+    return Sets(h[fresh], np.cumsum(sizes) - sizes, sizes)
 
 
-def set_digest(s: np.ndarray, salt: int) -> int:
-    return int(np.bitwise_xor.reduce(common.mix64(s, salt)) + np.uint64(len(s)) if len(s) else 0)
+def set_digests(sets: Sets, salt: int) -> np.ndarray:
+    return sets.reduced(np.bitwise_xor, common.mix64(sets.flat, salt)) + sets.sizes.astype(np.uint64)
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -97,13 +168,21 @@ def band_of(n: int) -> int:
 
 
 def bits_of(n: int) -> int:
-    return min(MOST_BITS, max(LEAST_BITS, 2 << band_of(n)))
-
-
-def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
-    """Bytes of the parities of how many shingles fall on each bit."""
-    on = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(on.astype(np.uint8), bitorder="little")
+    return min(MOST_BITS, max(LEAST_BITS, 2 << band_of(n))) if n else LEAST_BITS
+
+
+def bitmaps(sets: Sets, bits: np.ndarray) -> list[np.ndarray]:
+    """Bytes of the parities of how many shingles of each set fall on each of its bits (so many as ``bits`` says)."""
+    out: list[np.ndarray] = [np.empty(0, np.uint8)] * len(sets)
+    for size in np.unique(bits).tolist():
+        rows = np.flatnonzero(bits == size)
+        for part in np.array_split(rows, -(-len(rows) * size // (1 << 22))):
+            some = sets.taken(part)
+            at = (some.flat & np.uint64(size - 1)).astype(np.int64) + np.repeat(np.arange(len(part)) * size, some.sizes)
+            on = (np.bincount(at, minlength=len(part) * size) & 1).astype(np.uint8)
+            for i, row in zip(part.tolist(), np.packbits(on.reshape(len(part), size), axis=1, bitorder="little"), strict=True):
+                out[i] = row
+    return out
 
 
 def folded(b: np.ndarray, size: int) -> np.ndarray:
@@ -113,29 +192,43 @@ def folded(b: np.ndarray, size: int) -> np.ndarray:
     return b
 
 
-def tile_keys(s: np.ndarray, like: Similar) -> np.ndarray:
-    """Keys of the tiles that a set of at least one shingle stands in."""
-    n = len(s)
-    own = band_of(n)
-    keys = []
-    for band in (own, own - 1):
-        upper = (2 << band) - 1 if band >= 0 else 0
-        if band < 0 or n > like.largest(upper):
-            continue
-        # parts enough that some stay equal, with room for the few that get no shingle
-        parts = like.differ(upper) + 1
-        if parts > 1:
-            parts = parts * 11 // 10 + 2
-        part = (common.mix64(s, 5) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        part = part[order]
-        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        digest = np.add.reduceat(common.mix64(s, 6)[order], starts)
-        keys.append(common.mix64(digest ^ common.mix64(part[starts].astype(np.uint64), band), 7))
-        # by how much a set alike to this one can differ, whichever is larger
-        if len(starts) <= like.differ(n):
-            keys.append(common.mix64(np.array([band], np.uint64), 8))
-    return np.concatenate(keys)
+def in_bands(sets: Sets, like: Similar) -> tuple[Sets, np.ndarray, np.ndarray]:
+    """(sets, their rows before, keys): each set that isn't empty once for each band it stands in; keys of (band, shingle)."""
+    rows, bands = [], []
+    for i, n in enumerate(sets.sizes.tolist()):
+        band = band_of(n)
+        while band >= 0 and n <= like.largest((2 << band) - 1):
+            rows.append(i)
+            bands.append(band)
+            band -= 1
+    rows = np.array(rows, np.int64)
+    standing = sets.taken(rows)
+    salt = common.mix64(np.array(bands, np.uint64), 8)
+    return standing, rows, common.mix64(standing.flat ^ np.repeat(salt, standing.sizes), 7)
+
+
+def tile_keys(sets: Sets, like: Similar, last: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, rows of the sets) of the tiles that each set stands in; ``last``: a filter of the keys that come last."""
+    standing, rows, keys = in_bands(sets, like)
+    late = np.zeros(len(keys), bool) if last is None else holds(last, keys)
+    # the place of each shingle: first the ones that don't come last, in their order, then the others
+    late_before = np.cumsum(late) - late
+    of = np.repeat(np.arange(len(standing)), standing.sizes)
+    late_before -= late_before[standing.starts][of] if len(standing) else 0
+    late_in_all = np.bincount(of, late, len(standing)).astype(np.int64)
+    place = np.arange(len(keys)) - standing.starts[of] - late_before
+    place = np.where(late, (standing.sizes - late_in_all)[of] + late_before, place)
+    chosen = place < like.first(standing.sizes)[of]
+    return keys[chosen], rows[of[chosen]]
+
+
+def holds(last: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the filter (bytes of a power of two of bits) lets each key through."""
+    out = np.ones(len(keys), bool)
+    for shift in (0, 32):
+        at = (keys >> np.uint64(shift)) & np.uint64(8 * len(last) - 1)
+        out &= (last[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return out
 
 
 class Forest:
@@ -200,50 +293,87 @@ def groups(batches, keys: list[str], columns: list[str]):
         yield now, held
 
 
-def sets_of(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, s1, s2 (digest of the set), map (bitmap) of every document."""
-    schema = [("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("map", pa.binary())]
+SETS = [("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("map", pa.binary()), ("often", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))]
+
+
+def sets_of(docs: DataFrame, width: int, like: Similar) -> DataFrame:
+    """doc_id, n, s1, s2 (digest of the set), map (bitmap) of every document.
+
+    A block's first row has in ``often`` the (band, shingle) keys that several different sets of the block
+    hold, and in ``times`` how many do.
+    """
 
     def make():
         def work(block):
-            sets = shingles(common.texts(block), width)
-            digests = [signed(np.array([set_digest(s, k) for s in sets], np.uint64)) for k in (1, 2)]
-            return common.record(schema, block.column("doc_id"), [len(s) for s in sets], *digests, [bitmap(s, bits_of(len(s))).tobytes() if len(s) else b"" for s in sets])
+            sets = shingles(block.column("text"), width)
+            digests = [signed(set_digests(sets, k)) for k in (1, 2)]
+            maps = bitmaps(sets, np.array([bits_of(n) for n in sets.sizes.tolist()]))
+            _, different = np.unique(digests[0], return_index=True)
+            keys, times = np.unique(in_bands(sets.taken(different), like)[2], return_counts=True)
+            keys, times = keys[times > 1], times[times > 1]
+            rest = [None] * (len(sets) - 1)
+            return common.record(SETS, block.column("doc_id"), sets.sizes, *digests, [m.tobytes() if n else b"" for m, n in zip(maps, sets.sizes, strict=True)], [signed(keys), *rest], [times, *rest])
 
         return work
 
-    return docs.mapInArrow(common.by_block(make), "doc_id long, n long, s1 long, s2 long, map binary")
+    return docs.mapInArrow(common.by_block(make), "doc_id long, n long, s1 long, s2 long, map binary, often array<long>, times array<int>")
+
 
+def last_filter(keys: DataFrame, before: bytes | None = None) -> bytes:
+    """A filter of LAST_BITS of the column ``key``, and of what the filter ``before`` holds; its words are OR-ed on the executors."""
+    at = F.explode(F.array(*[F.shiftright("key", k).bitwiseAND(LAST_BITS - 1) for k in (0, 32)]))
+    words = (
+        keys.select(at.alias("at"))
+        .select(F.shiftright("at", 5).alias("word"), F.expr("shiftleft(1L, cast(at % 32 as int))").alias("bit"))
+        .groupBy("word")
+        .agg(F.bit_or("bit").alias("bit"))
+    )
+    out = np.frombuffer(before, "<u4").copy() if before else np.zeros(LAST_BITS // 32, "<u4")
+    for word, bit in words.toLocalIterator():
+        out[word] |= np.uint32(bit)
+    return out.tobytes()
 
-def tiles_of(docs: DataFrame, width: int, like: Similar) -> DataFrame:
+
+def tiles_of(docs: DataFrame, width: int, like: Similar, last: bytes | None) -> DataFrame:
     """key, s1 of every tile that each set stands in; a task gives a set that it has just seen only once."""
     schema = [("key", pa.int64()), ("s1", pa.int64())]
+    sent = docs.sparkSession.sparkContext.broadcast(last)
 
     def run(batches):
+        filled = np.frombuffer(sent.value, np.uint8) if sent.value else None
         seen: set[int] = set()
         for batch in batches:
             for block in common.blocks(batch):
-                keys, ids = [], []
+                sets = shingles(block.column("text"), width)
+                names = set_digests(sets, 1)
                 if len(seen) > common.CACHE_WORDS:
                     seen.clear()
-                for s in shingles(common.texts(block), width):
-                    if len(s) and (name := set_digest(s, 1)) not in seen:
+                fresh = []
+                for i, name in enumerate(names.tolist()):
+                    if sets.sizes[i] and name not in seen:
                         seen.add(name)
-                        keys.append(tile_keys(s, like))
-                        ids.append(np.full(len(keys[-1]), name, np.uint64))
-                if keys:
-                    yield common.record(schema, signed(np.concatenate(keys)), signed(np.concatenate(ids)))
+                        fresh.append(i)
+                if fresh:
+                    fresh = np.array(fresh)
+                    keys, rows = tile_keys(sets.taken(fresh), like, filled)
+                    yield common.record(schema, signed(keys), signed(names[fresh][rows]))
 
     return docs.mapInArrow(run, "key long, s1 long")
 
 
-def crowded(tiles: DataFrame, parts: int) -> DataFrame:
-    """tile, chunk, members of the tiles that two sets at least stand in, from rows (key, s1)."""
-    schema = [("tile", pa.int64()), ("chunk", pa.int32()), ("members", pa.list_(pa.int64()))]
+def crowded(tiles: DataFrame, parts: int, last: bytes | None) -> DataFrame:
+    """tile, chunk, members, late of the tiles that two sets at least stand in, from rows (key, s1); late: the filter ``last`` holds the key."""
+    schema = [("tile", pa.int64()), ("chunk", pa.int32()), ("members", pa.list_(pa.int64())), ("late", pa.bool_())]
+    sent = tiles.sparkSession.sparkContext.broadcast(last)
 
     def run(batches):
         done: set[tuple[int, ...]] = set()
+        filled = np.frombuffer(sent.value, np.uint8) if sent.value else np.zeros(8, np.uint8)
         key, chunk, held = None, 0, []
+
+        def written():
+            keys, *rest = zip(*out, strict=True)
+            return common.record(schema, keys, *rest, holds(filled, np.array(keys, np.int64).view(np.uint64)))
         out: list[tuple[int, int, list[int]]] = []
 
         def close():
@@ -275,22 +405,45 @@ def crowded(tiles: DataFrame, parts: int) -> DataFrame:
                 if held and members and held[-1] == members[0]:
                     members = members[1:]
                 for m in members:
-                    if len(held) == BLOCK:
+                    if len(held) == CHUNK:
                         out.append((key, chunk, held))
                         # neighbouring chunks share a set, so alike sets of both come together
                         chunk, held = chunk + 1, held[-1:]
                     held.append(m)
             if len(out) > 2_000:
-                yield common.record(schema, *zip(*out, strict=True))
+                yield written()
                 out = []
         close()
         if out:
-            yield common.record(schema, *zip(*out, strict=True))
+            yield written()
 
-    return tiles.repartition(parts, "key").sortWithinPartitions("key", "s1").mapInArrow(run, "tile long, chunk int, members array<long>")
+    return tiles.repartition(parts, "key").sortWithinPartitions("key", "s1").mapInArrow(run, "tile long, chunk int, members array<long>, late boolean")
 
 
-def possible_links(blocks: DataFrame, sets: DataFrame, like: Similar, parts: int) -> DataFrame:
+def candidates(docs: DataFrame, width: int, like: Similar, sets: DataFrame, parts: int) -> tuple[DataFrame, str]:
+    """What ``crowded`` makes of the tiles of ``docs``, written, and where.
+
+    Keys that come last are those that blocks of texts hold again and again, and if tiles of others are
+    crowded by more pairs than CHUNK times the sets there are, those of such tiles as well.
+    """
+    seen = sets.where("often is not null").select(F.explode(F.arrays_zip("often", "times")).alias("x"))
+    keys = seen.groupBy(F.col("x.often").alias("key")).agg(F.sum("x.times").alias("c")).where(F.col("c") >= LAST_COUNT)
+    last = last_filter(keys)
+    for left in reversed(range(ROUNDS)):
+        blocks, path = scratch.keep(crowded(tiles_of(docs, width, like, last), parts, last))
+        if not left:
+            break
+        tiles = blocks.groupBy("tile").agg(F.max("chunk").alias("last"), F.sum(F.size("members")).alias("m"), F.min("late").alias("late"))
+        fresh = tiles.where("last > 0 and not late")
+        pairs = fresh.agg(F.sum(F.col("m").cast("double") * F.col("m"))).first()[0] or 0
+        if pairs <= 2 * CHUNK * sets.count():
+            break
+        last = last_filter(fresh.select(F.col("tile").alias("key")), last)
+        scratch.drop(docs.sparkSession, path)
+    return blocks, path
+
+
+def possible_links(blocks: DataFrame, kinds: DataFrame, like: Similar, parts: int) -> DataFrame:
     """s1, g: sets that bitmaps allow to be linked, in groups.
 
     Tiles of one chunk are compared inside. Sets that meet in tiles of several chunks, where near copies meet
@@ -298,20 +451,21 @@ def possible_links(blocks: DataFrame, sets: DataFrame, like: Similar, parts: int
     twice: alike sets of different blocks come together in the second dealing. What isn't in the largest
     group by then meets every block, so near copies cost as much as there are of them.
     """
+    spark = blocks.sparkSession
     whole = blocks.groupBy("tile").agg(F.max("chunk").alias("last"))
     one = blocks.join(whole.where("last = 0").select("tile"), "tile", "left_semi").select("members").distinct()
     hot = blocks.join(whole.where("last > 0").select("tile"), "tile", "left_semi").select("members")
     meeting = components(met(hot)).select(F.col("node").alias("s1"), F.col("component").alias("tile"))
     last = meeting.groupBy("tile").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("chunks")).select("tile", (F.col("chunks") - 1).alias("last"))
     chunk = lambda salt: F.pmod(F.xxhash64(F.lit(salt), "s1"), F.col("last") + 1)
-    many, _ = scratch.keep(meeting.join(last, "tile").select("tile", chunk(2).alias("chunk"), "last", "s1"))
+    many, many_at = scratch.keep(meeting.join(last, "tile").select("tile", chunk(2).alias("chunk"), "last", "s1"))
     zero, yes, no = F.lit(0).cast("long"), F.lit(1), F.lit(0)
-    signatures = sets.where("n > 0").groupBy("s1").agg(F.max("n").alias("n"), F.max_by("map", "n").alias("map"))
+    signatures = kinds.select("s1", "n", "map")
     inside = one.select(F.xxhash64("members").alias("tile"), zero.alias("a"), zero.alias("b"), F.explode("members").alias("s1"), yes.alias("side"))
-    inside = inside.union(many.select("tile", "chunk", zero + 1, "s1", yes)).union(many.select("tile", chunk(3), zero + 2, "s1", yes))
-    first, _ = scratch.keep(components(bitmap_stars(inside.withColumn("label", F.col("s1")).join(signatures, "s1"), like, parts)))
+    inside = inside.union(many.select("tile", "chunk", zero + 1, "s1", yes)).union(many.where("last > 0").select("tile", chunk(3), zero + 2, "s1", yes))
+    first, first_at = scratch.keep(components(bitmap_stars(inside.withColumn("label", F.col("s1")).join(signatures, "s1"), like, parts)))
 
-    known = many.join(first.select(F.col("node").alias("s1"), F.col("component").alias("label")), "s1", "left").withColumn("label", F.coalesce("label", "s1"))
+    known = many.where("last > 0").join(first.select(F.col("node").alias("s1"), F.col("component").alias("label")), "s1", "left").withColumn("label", F.coalesce("label", "s1"))
     counts = known.groupBy("tile", "label").agg(F.count("*").alias("c"))
     largest = counts.groupBy("tile").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.sum("c").alias("all"), F.max("c").alias("c")).where("c < all")
     known = known.join(largest.select("tile", "most", F.ceil((F.col("all") - F.col("c")) / BLOCK).cast("long").alias("others")), "tile")
@@ -320,7 +474,10 @@ def possible_links(blocks: DataFrame, sets: DataFrame, like: Similar, parts: int
     every = known.select("tile", F.explode(F.sequence(zero, F.col("others") - 1)).alias("a"), F.col("chunk").alias("b"), "s1", no.alias("side"), "label")
     across = bitmap_stars(wanted.union(every).join(signatures, "s1"), like, parts)
     stars = first.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    return components(stars.union(across)).select(F.col("node").alias("s1"), F.col("component").alias("g"))
+    found, _ = scratch.keep(components(stars.union(across)).select(F.col("node").alias("s1"), F.col("component").alias("g")))
+    for path in (many_at, first_at):
+        scratch.drop(spark, path)
+    return found
 
 
 def met(hot: DataFrame) -> DataFrame:
@@ -342,7 +499,7 @@ def met(hot: DataFrame) -> DataFrame:
             yield common.record(schema, *zip(*out[i : i + 20_000], strict=True))
 
     arrays, _ = scratch.keep(hot)
-    return arrays.coalesce(max(4, arrays.count() * BLOCK // MET_IN_A_TASK)).mapInArrow(run, "u long, v long")
+    return arrays.coalesce(max(4, arrays.count() * CHUNK // MET_IN_A_TASK)).mapInArrow(run, "u long, v long")
 
 
 def bitmap_stars(rows: DataFrame, like: Similar, parts: int) -> DataFrame:
@@ -386,10 +543,9 @@ def exact_links(members: DataFrame, width: int, like: Similar, parts: int) -> Da
     def run(batches):
         out: list[tuple[int, int, int]] = []
         for _, (ids, texts, sides, labels, blocks) in groups(batches, ["g", "a", "b"], ["doc_id", "text", "side", "label", "blocks"]):
-            sets = shingles([t or "" for t in texts], width)
-            sizes = np.array([len(s) for s in sets])
-            bits = min(map(bits_of, sizes.tolist()))
-            maps = np.stack([bitmap(s, bits) for s in sets])
+            sets = shingles(pa.array(texts, pa.string()), width)
+            sizes = sets.sizes
+            maps = np.stack(bitmaps(sets, np.full(len(sizes), min(map(bits_of, sizes.tolist())))))
             forest, first = Forest(len(ids)), {}
             for i, label in enumerate(labels):
                 forest.join(i, first.setdefault(label, i))
@@ -441,23 +597,25 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     like = Similar(percent)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     plain = docs.select("doc_id", "text")
-    sets, _ = scratch.keep(sets_of(plain, width))
+    sets, _ = scratch.keep(sets_of(plain, width, like))
     ident = ["s1", "s2", "n"]
-    kinds, _ = scratch.keep(sets.where("n > 0").groupBy(*ident).agg(F.min("doc_id").alias("rep")).where("rep is not null"))
+    kinds, kinds_at = scratch.keep(sets.where("n > 0").groupBy(*ident).agg(F.min("doc_id").alias("rep"), F.first("map").alias("map")).where("rep is not null"))
 
-    blocks, _ = scratch.keep(crowded(tiles_of(plain, width, like), parts))
-    maybe = possible_links(blocks, sets, like, parts)
+    blocks, blocks_at = candidates(plain, width, like, sets, parts)
+    maybe = possible_links(blocks, kinds, like, parts)
+    scratch.drop(spark, blocks_at)
 
     # documents of the groups, one for each set, with how many blocks their group has
-    chosen, _ = scratch.keep(maybe.join(kinds, "s1").select("g", F.col("rep").alias("doc_id")))
-    counts = chosen.groupBy("g").agg(F.count("*").alias("c")).select("g", F.ceil(F.col("c") / BLOCK).cast("long").alias("blocks"))
-    chosen = chosen.join(counts, "g")
-    some, _ = scratch.keep(maybe_in(plain, "doc_id", chosen).join(chosen.select("doc_id", "g", "blocks"), "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))))
+    chosen, chosen_at = scratch.keep(maybe.join(kinds, "s1").select("g", "n", F.col("rep").alias("doc_id")))
+    blocks_of = lambda rows, shingles: F.ceil(F.greatest(rows / BLOCK, shingles / BLOCK_SHINGLES)).cast("long")
+    counts = chosen.groupBy("g").agg(blocks_of(F.count("*"), F.sum("n")).alias("blocks"))
+    members = chosen.join(counts, "g").select("doc_id", "g", "blocks")
+    some, some_at = scratch.keep(maybe_in(plain, "doc_id", chosen).join(members, "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))))
     zero = F.lit(0).cast("long")
     first = some.select("g", F.col("block").alias("a"), zero.alias("b"), "doc_id", "text", F.lit(1).alias("side"), F.col("doc_id").alias("label"), "blocks")
     # large groups are dealt twice, so that alike documents of different blocks come together
     again = some.where("blocks > 1").select("g", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.col("blocks")).alias("a"), (zero + 1).alias("b"), "doc_id", "text", F.lit(1).alias("side"), F.col("doc_id").alias("label"), "blocks")
-    inside, _ = scratch.keep(exact_links(first.union(again), width, like, parts))
+    inside, inside_at = scratch.keep(exact_links(first.union(again), width, like, parts))
     near = components(inside.where("blocks > 1")).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
 
     # of groups with several blocks: what is outside the largest cluster meets all blocks
@@ -474,4 +632,6 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     # the same text under several ids, and several texts under one id, are links as well
     same = sets.where("n > 0").join(kinds, ident).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u is not null")
     reach = components(inside.union(across).select("u", "v").union(same)).select(F.col("node").alias("doc_id"), "component")
+    for path in (kinds_at, chosen_at, some_at, inside_at):
+        scratch.drop(spark, path)
     return sets.join(reach, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
