@@ -1,4 +1,8 @@
-"""Probabilities of a calibrated linear model, the best labels, and what path rules make of them."""
+"""Probabilities of a calibrated linear model, the best labels, and what path rules make of them.
+
+A row's probabilities are one array in the order of the classes, and its best labels are chosen in the row:
+nothing is shuffled for them.
+"""
 
 from __future__ import annotations
 
@@ -6,13 +10,47 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from commitloom.functions.text import let
 
 
+@dataclass
+class Sparse:
+    """Sparse rows: where each one's elements begin (and the last one's end), their places and values."""
+
+    starts: np.ndarray
+    at: np.ndarray
+    value: np.ndarray
+
+    @staticmethod
+    def of(indices: pa.Array, values: pa.Array) -> Sparse:
+        """Of two columns of arrays; null rows are empty."""
+        sizes = indices.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        flat = lambda a: a.flatten().to_numpy(zero_copy_only=False)
+        return Sparse(np.r_[0, np.cumsum(sizes)].astype(np.int64), flat(indices).astype(np.int64), flat(values).astype(float))
+
+    @property
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
+
+    def taken(self, rows: np.ndarray) -> Sparse:
+        sizes = np.diff(self.starts)[rows]
+        starts = np.r_[0, np.cumsum(sizes)]
+        at = np.arange(starts[-1]) + np.repeat(self.starts[rows] - starts[:-1], sizes)
+        return Sparse(starts, self.at[at], self.value[at])
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """Each row's product with w."""
+        return np.bincount(self.owner, w[self.at] * self.value, len(self.starts) - 1)
+
+    def back(self, r: np.ndarray, width: int) -> np.ndarray:
+        """The sum of the rows, each times its element of r."""
+        return np.bincount(self.at, r[self.owner] * self.value, width)
+
+
 @dataclass
 class Fold:
     coef: np.ndarray
@@ -26,20 +64,16 @@ class Model:
     classes: list[str]
     folds: list[Fold]
 
-    def probabilities(self, rows: list[tuple[list[int], list[float]]]) -> np.ndarray:
+    def probabilities(self, x: Sparse) -> np.ndarray:
         """Of sparse rows: margins, a sigmoid of each, each fold's sum made 1 where it isn't 0, and the folds' mean."""
-        n = len(rows)
-        owner = np.repeat(np.arange(n), [len(i) for i, _ in rows])
-        at = np.concatenate([np.asarray(i, np.int64) for i, _ in rows]) if n else np.empty(0, np.int64)
-        value = np.concatenate([np.asarray(v, float) for _, v in rows]) if n else np.empty(0)
-        total = np.zeros((n, len(self.classes)))
+        total = np.zeros((len(x.starts) - 1, len(self.classes)))
         for fold in self.folds:
-            margin = np.stack([np.bincount(owner, w[at] * value, n) for w in fold.coef], axis=1) + fold.intercept
+            margin = np.stack([x.times(w) for w in fold.coef], axis=1) + fold.intercept if len(fold.coef) else total
             with np.errstate(over="ignore"):
                 p = 1 / (1 + np.exp(fold.a * margin + fold.b))
             sums = p.sum(axis=1, keepdims=True)
             total += np.divide(p, sums, out=p.copy(), where=sums > 0)
-        return total / len(self.folds)
+        return total / max(1, len(self.folds))
 
 
 def score(features: DataFrame, model: Model, key: str = "seq") -> DataFrame:
@@ -47,27 +81,36 @@ def score(features: DataFrame, model: Model, key: str = "seq") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            probs = model.probabilities(list(zip(batch.column("indices").to_pylist(), batch.column("values").to_pylist(), strict=True)))
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(list(probs), pa.list_(pa.float64()))], names=[key, "probs"])
+            probs = model.probabilities(Sparse.of(batch.column("indices"), batch.column("values")))
+            ends = pa.array(np.arange(len(probs) + 1) * len(model.classes), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(ends, pa.array(probs.ravel()))], names=[key, "probs"])
 
     return features.select(key, "indices", "values").mapInArrow(run, features.select(key).schema.add("probs", T.ArrayType(T.DoubleType())))
 
 
+def _name(classes: list[str], at: Column) -> Column:
+    return F.get(F.array(*map(F.lit, classes)), at)
+
+
 def long_form(probs: DataFrame, classes: list[str], key: str = "seq") -> DataFrame:
     """key, class_idx, label, prob: a row for each class."""
-    names = F.array(*map(F.lit, classes))
-    return probs.select(key, F.posexplode("probs").alias("class_idx", "prob")).select(key, "class_idx", F.get(names, "class_idx").alias("label"), "prob")
+    return probs.select(key, F.posexplode("probs").alias("class_idx", "prob")).select(key, "class_idx", _name(classes, F.col("class_idx")).alias("label"), "prob")
+
+
+def best(probs: Column, classes: list[str], k: int) -> Column:
+    """The k best classes of an array of probabilities (one at least): structs class_idx, label, prob, ties to the lower class index."""
+    ranked = F.array_sort(F.transform(probs, lambda p, i: F.struct((-p).alias("less"), i.alias("class_idx"))))
+    return F.transform(F.slice(ranked, 1, max(k, 1)), lambda x: F.struct(x["class_idx"].alias("class_idx"), _name(classes, x["class_idx"]).alias("label"), (-x["less"]).alias("prob")))
 
 
-def top_k(scores: DataFrame, k: int = 3, key: str = "seq") -> DataFrame:
-    """The k best labels of each row (one at least), ties to the lower class index, with rank from 1."""
-    order = Window.partitionBy(key).orderBy(F.desc("prob"), "class_idx")
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(k, 1))
+def top_k(probs: DataFrame, classes: list[str], k: int = 3, key: str = "seq") -> DataFrame:
+    """key, class_idx, label, prob, rank (from 1) of the k best labels of each row with ``probs``."""
+    return probs.select(key, F.posexplode(best(F.col("probs"), classes, k)).alias("at", "x")).select(key, "x.*", (F.col("at") + 1).alias("rank"))
 
 
-def predict(scores: DataFrame, key: str = "seq") -> DataFrame:
-    """key, label of the best class, by one aggregate and no sort."""
-    return scores.groupBy(key).agg(F.max_by("label", F.struct("prob", -F.col("class_idx"))).alias("label"))
+def predict(probs: DataFrame, classes: list[str], key: str = "seq") -> DataFrame:
+    """key, label of the best class."""
+    return probs.select(key, best(F.col("probs"), classes, 1)[0]["label"].alias("label"))
 
 
 def softmax(margins: Column) -> Column:
@@ -78,14 +121,16 @@ def softmax(margins: Column) -> Column:
     return let(let(both, powers), lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
-def preselect(top: DataFrame, hits: DataFrame, key: str = "seq") -> DataFrame:
-    """key, label, chosen_rank: the path rule's label where it is among the best, else the best."""
-    best = top.join(hits.select(key, F.col("hit")), key, "left")
-    place = F.coalesce(F.min(F.when(F.col("label") == F.col("hit"), F.col("rank"))), F.lit(1))
-    return best.groupBy(key).agg(place.alias("chosen_rank"), F.map_from_entries(F.collect_list(F.struct("rank", "label"))).alias("_l")).select(key, F.element_at("_l", F.col("chosen_rank")).alias("label"), "chosen_rank")
+def preselect(probs: DataFrame, classes: list[str], hits: DataFrame, k: int = 3, key: str = "seq") -> DataFrame:
+    """key, label, chosen_rank: the path rule's label (``hit``, of one row of ``hits`` for each key) where it is among the k best, else the best."""
+    rows = probs.select(key, best(F.col("probs"), classes, k).alias("_best")).join(hits.select(key, "hit"), key, "left")
+    place = F.coalesce(F.nullif(F.array_position(F.transform("_best", lambda x: x["label"]), F.col("hit")), F.lit(0)), F.lit(1)).cast("int")
+    return rows.select(key, "_best", place.alias("chosen_rank")).select(key, F.element_at("_best", F.col("chosen_rank"))["label"].alias("label"), "chosen_rank")
 
 
-def short_circuit(top: DataFrame, hits: DataFrame, key: str = "seq") -> DataFrame:
-    """The older rule: where a path rule hits, its label alone with probability 1, else the best labels."""
-    known = hits.where("hit is not null").select(key, F.col("hit").alias("label"), F.lit(1.0).alias("prob"), F.lit(1).alias("rank"))
-    return top.select(key, "label", "prob", "rank").join(known.select(key), key, "left_anti").union(known)
+def short_circuit(probs: DataFrame, classes: list[str], hits: DataFrame, k: int = 3, key: str = "seq") -> DataFrame:
+    """key, label, prob, rank by the older rule: where a path rule hits, its label alone with probability 1, else the k best labels."""
+    rows = probs.select(key, best(F.col("probs"), classes, k).alias("_best")).join(hits.select(key, "hit"), key, "left")
+    alone = F.array(F.struct(F.lit(-1).alias("class_idx"), F.col("hit").alias("label"), F.lit(1.0).alias("prob")))
+    chosen = F.when(F.col("hit").isNotNull(), alone).otherwise(F.col("_best"))
+    return rows.select(key, F.posexplode(chosen).alias("at", "x")).select(key, "x.label", "x.prob", (F.col("at") + 1).alias("rank"))

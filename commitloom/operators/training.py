@@ -1,55 +1,138 @@
-"""Fitting the calibrated linear classifier: one-vs-rest support vectors in three folds, each with Platt scaling."""
+"""Fitting the calibrated linear classifier: one-vs-rest support vectors in three folds, each with Platt scaling.
+
+A bounded sample of labelled rows is broadcast, and each task solves one class of one fold: the sums over
+rows that a step needs are sparse products, so no step is a job of its own.
+"""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commitloom import scratch
-from commitloom.operators.scoring import Fold, Model
+from commitloom.operators.scoring import Fold, Model, Sparse
 
 #: Fixed value: folds of the calibration.
 FOLDS = 3
+#: Labelled rows that a model is fitted to, at most: those whose keys have the smallest hashes.
+MAX_ROWS = 20_000
+#: A solution's gradient is at most this share of the first one's.
+TOLERANCE = 1e-8
 
 
-def fit(features: DataFrame, width: int, folds: int = FOLDS, max_iter: int = 100, key: str = "seq") -> Model:
-    """A model of rows (key, label, indices, values). Classes weigh n / (classes * n of the class).
+def fit(features: DataFrame, width: int, folds: int = FOLDS, max_iter: int = 100, key: str = "seq", max_rows: int = MAX_ROWS) -> Model:
+    """A model of rows (key, label, indices, values), of at most ``max_rows`` of them; null labels teach nothing.
 
-    Spark's support vectors use the hinge loss where the usual linear solver squares it, so coefficients
-    differ from that; what the model does is the same. Folds follow hashes of the key. A class that a fold
-    doesn't have gets coefficients of 0 there.
+    Each class is told from the others by support vectors with the squared hinge loss, its own rows weighing
+    n / (classes * n of the class) of the fold's training rows. Folds deal out each class by hashes of the
+    key. A class that a fold's training or other rows don't have gets coefficients of 0 there. No rows give a
+    model without classes.
     """
-    vector = F.udf(lambda i, v: Vectors.sparse(width, i, v), VectorUDT())
-    counts = {r.label: r.n for r in features.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    classes, n = sorted(counts), sum(counts.values())
-    weight = F.element_at(F.create_map(*[x for c in classes for x in (F.lit(c), F.lit(n / (len(classes) * counts[c])))]), F.col("label"))
-    rows, _ = scratch.keep(features.select(key, "label", vector("indices", "values").alias("features"), weight.alias("w"), F.pmod(F.xxhash64(key), F.lit(folds)).alias("fold")))
-    out = []
-    for f in range(folds):
-        fold = Fold(np.zeros((len(classes), width)), np.zeros(len(classes)), np.zeros(len(classes)), np.zeros(len(classes)))
-        inside, outside = rows.where(F.col("fold") != f), rows.where(F.col("fold") == f)
-        for c, name in enumerate(classes):
-            y = (F.col("label") == name).cast("double")
-            if inside.select(y.alias("y")).distinct().count() < 2 or outside.select(y.alias("y")).distinct().count() < 2:
-                continue
-            svc = LinearSVC(maxIter=max_iter, weightCol="w", labelCol="y", standardization=False).fit(inside.withColumn("y", y))
-            fold.coef[c], fold.intercept[c] = svc.coefficients.toArray(), svc.intercept
-            margins = svc.transform(outside.withColumn("y", y)).select("y", vector_to_array("rawPrediction")[1].alias("m"))
-            fold.a[c], fold.b[c] = platt(margins)
-        out.append(fold)
+    spark = features.sparkSession
+    mixed = F.xxhash64(F.col(key).cast("string"))
+    chosen = features.where("label is not null").select(mixed.alias("_h"), F.col(key).cast("string").alias("_k"), "label", "indices", "values")
+    table = chosen.orderBy("_h", "_k").limit(max_rows).toArrow()
+    classes, label = np.unique(np.array(table["label"].to_pylist(), object).astype(str), return_inverse=True)
+    classes = classes.tolist()
+    # rows are in the order of their hashes, so that a class's rows are dealt out by them
+    order = np.argsort(label, kind="stable")
+    place = np.empty(len(label), np.int64)
+    place[order] = np.arange(len(label)) - np.searchsorted(label[order], label[order])
+    sent = spark.sparkContext.broadcast((Sparse.of(table["indices"].combine_chunks(), table["values"].combine_chunks()), label, place % folds))
+    out = [Fold(np.zeros((len(classes), width)), *(np.zeros(len(classes)) for _ in range(3))) for _ in range(folds)]
+    if not classes:
+        return Model(classes, out)
+    schema = [("fold", pa.int64()), ("class", pa.int64()), ("coef", pa.list_(pa.float64())), ("rest", pa.list_(pa.float64()))]
+
+    def run(batches):
+        x, y, fold = sent.value
+        for batch in batches:
+            for p in batch.column("id").to_pylist():
+                f, c = divmod(p, len(classes))
+                solved = one_against_rest(x, y, fold != f, c, len(classes), width, max_iter)
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip((f, c, *solved), schema, strict=True)], names=[n for n, _ in schema])
+
+    problems = spark.range(0, folds * len(classes), 1, folds * len(classes))
+    # folds * classes rows of as many numbers as there are features
+    for r in problems.mapInArrow(run, "fold long, class long, coef array<double>, rest array<double>").toLocalIterator():
+        fold = out[r["fold"]]
+        fold.coef[r["class"]] = r["coef"]
+        fold.intercept[r["class"]], fold.a[r["class"]], fold.b[r["class"]] = r["rest"]
     return Model(classes, out)
 
 
-def platt(margins: DataFrame) -> tuple[float, float]:
-    """a, b of p = 1 / (1 + exp(a * margin + b)), fitted to rows (y, m) with targets softened by the classes' sizes."""
-    n = margins.agg(F.sum("y").alias("pos"), F.count("*").alias("n")).first()
-    high, low = (n.pos + 1) / (n.pos + 2), 1 / (n.n - n.pos + 2)
-    target = F.when(F.col("y") == 1, F.lit(high)).otherwise(F.lit(low))
-    soft = margins.select("m", F.explode(F.array(F.struct(F.lit(1.0).alias("t"), target.alias("w")), F.struct(F.lit(0.0).alias("t"), (1 - target).alias("w")))).alias("x")).select("m", "x.*")
-    vector = F.udf(lambda m: Vectors.dense(m), VectorUDT())
-    made = LogisticRegression(featuresCol="f", labelCol="t", weightCol="w", standardization=False).fit(soft.withColumn("f", vector("m")))
-    return -float(made.coefficients[0]), -float(made.intercept)
+def one_against_rest(x: Sparse, label: np.ndarray, inside: np.ndarray, c: int, classes: int, width: int, max_iter: int) -> tuple[list[float], list[float]]:
+    """(coefficients, [intercept, a, b]) of class c, fitted to the rows ``inside`` and calibrated on the others."""
+    mine = label == c
+    if any(part.all() or not part.any() for part in (mine[inside], mine[~inside])):
+        return [0.0] * width, [0.0] * 3
+    train, n = x.taken(np.flatnonzero(inside)), np.count_nonzero(inside)
+    cost = np.where(mine[inside], n / (classes * np.count_nonzero(mine[inside])), 1.0)
+    w = squared_hinge(train, np.where(mine[inside], 1.0, -1.0), cost, width, max_iter)
+    margin = x.taken(np.flatnonzero(~inside)).times(w[:-1]) + w[-1]
+    return w[:-1].tolist(), [float(w[-1]), *platt(margin, mine[~inside])]
+
+
+def squared_hinge(x: Sparse, y: np.ndarray, cost: np.ndarray, width: int, max_iter: int = 100) -> np.ndarray:
+    """Coefficients, the intercept last, that minimize |w|^2 / 2 + sum of cost * max(0, 1 - y * (x w))^2.
+
+    The intercept is a coefficient of a feature that is 1 in every row. Newton steps, each solved by conjugate
+    gradients and shortened until it descends; the minimum is the only one.
+    """
+    forward = lambda v: x.times(v[:-1]) + v[-1]
+    back = lambda r: np.append(x.back(r, width), r.sum())
+    w = np.zeros(width + 1)
+    margin, first = forward(w), None
+    value = lambda w, slack: 0.5 * w @ w + cost @ slack**2
+    slack = np.maximum(0, 1 - y * margin)
+    for _ in range(max_iter):
+        gradient = w - 2 * back(cost * y * slack)
+        size = np.sqrt(gradient @ gradient)
+        first = size if first is None else first
+        if size <= TOLERANCE * first:
+            break
+        curve = 2 * cost * (slack > 0)
+        step, left = np.zeros_like(w), -gradient
+        direction, square = left.copy(), left @ left
+        while np.sqrt(square) > min(0.1, np.sqrt(size / first)) * size * 0.1:
+            bent = direction + back(curve * forward(direction))
+            far = square / (direction @ bent)
+            step += far * direction
+            left -= far * bent
+            square, before = left @ left, square
+            direction = left + square / before * direction
+        along, slope, now, t = forward(step), gradient @ step, value(w, slack), 1.0
+        while t > 1e-12:
+            there = np.maximum(0, 1 - y * (margin + t * along))
+            if value(w + t * step, there) <= now + 1e-4 * t * slope:
+                break
+            t /= 2
+        else:
+            break
+        w, margin = w + t * step, margin + t * along
+        slack = np.maximum(0, 1 - y * margin)
+    return w
+
+
+def platt(margin: np.ndarray, mine: np.ndarray, max_iter: int = 100) -> tuple[float, float]:
+    """a, b of p = 1 / (1 + exp(a * margin + b)), by Newton steps, with targets softened by the classes' sizes."""
+    high, low = np.count_nonzero(mine), np.count_nonzero(~mine)
+    target = np.where(mine, (high + 1) / (high + 2), 1 / (low + 2))
+    loss = lambda ab: (np.logaddexp(0, ab[0] * margin + ab[1]) - (1 - target) * (ab[0] * margin + ab[1])).sum()
+    ab = np.array([0.0, np.log((low + 1) / (high + 1))])
+    for _ in range(max_iter):
+        z = np.clip(ab[0] * margin + ab[1], -500, 500)
+        p = 1 / (1 + np.exp(z))
+        gradient = np.array([(target - p) @ margin, (target - p).sum()])
+        if np.abs(gradient).max() < 1e-10 * len(margin):
+            break
+        q = p * (1 - p) + 1e-12
+        step = np.linalg.solve(np.array([[q @ margin**2, q @ margin], [q @ margin, q.sum()]]) + 1e-12 * np.eye(2), -gradient)
+        t, now = 1.0, loss(ab)
+        while t > 1e-10 and loss(ab + t * step) > now + 1e-4 * t * (gradient @ step):
+            t /= 2
+        if t <= 1e-10:
+            break
+        ab = ab + t * step
+    return float(ab[0]), float(ab[1])
