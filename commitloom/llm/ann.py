@@ -1,13 +1,16 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 Unit vectors are turned by fast pseudo-random rotations (signs and Hadamard transforms, three times) and
-assigned to the nearest signed axis, once in each table. A query looks at its nearest axes in every table
-and ranks what lies there exactly. Buckets are cut into blocks of bounded size and each block meets its
-queries in one matrix product, so a bucket that holds a third of all vectors is many blocks.
+assigned to the nearest signed axis. A table's bucket is the axes of one or several rotations: the more
+vectors there are, the more rotations, so buckets stay small. A query looks at the buckets in each table
+whose axes are nearest to it and ranks what lies there exactly. Large buckets are cut into blocks of bounded
+size and each block meets its queries in one matrix product, so a bucket that holds a third of all vectors is
+many blocks.
 
 Axes know directions only, so a second look follows: the k-th score that a query has found says what cosine a
-vector of each class of lengths needs to be among the k nearest, and the query looks at as many more axes for
-that class as meet such a cosine with a chance of REACH. Long vectors at wide angles are met that way too.
+vector of each class of lengths needs to be among the k nearest, and the query looks at as many more buckets
+for that class as meet such a cosine with a chance of REACH. Long vectors at wide angles are met that way too,
+and the nearer a query's neighbours are, the fewer buckets it looks at.
 """
 
 from __future__ import annotations
@@ -20,8 +23,10 @@ from pyspark.sql import functions as F
 from commitloom import scratch
 from commitloom.llm import common
 
-#: Tables; axes that a query looks at in each; rows that it meets in the first table at least, further axes being looked at until it does.
-TABLES, PROBES, LEAST_MET = 8, 9, 2_048
+#: Tables; buckets that a query looks at in each at first.
+TABLES, PROBES = 8, 3
+#: Vectors that a bucket holds on the mean, at least: a rotation is added where that leaves so many.
+BUCKET = 64
 #: The chance, at least, with which the second look meets a vector that is among the k nearest; cosines it tells apart.
 REACH, COSINES = 0.95, 64
 #: Vectors of a bucket that one block holds, about.
@@ -61,33 +66,58 @@ def nearest_axis(y: np.ndarray) -> np.ndarray:
     return 2 * axis + (y[np.arange(len(y)), axis] > 0)
 
 
-def axes_in_order(y: np.ndarray) -> np.ndarray:
-    """All signed axes of each row, nearest first."""
-    score = np.empty((len(y), 2 * y.shape[1]))
-    score[:, 0::2], score[:, 1::2] = -y, y
-    return np.argsort(-score, axis=1, kind="stable")
+def hashes_of(n: int, axes: int) -> int:
+    """Rotations of a table of n vectors: as many as leave BUCKET vectors to a bucket, one at least."""
+    hashes = 1
+    while n >= BUCKET * axes ** (hashes + 1):
+        hashes += 1
+    return hashes
 
 
-def widths(size: int, tables: int, chance: float = REACH, seed: int = 12) -> np.ndarray:
-    """For cosines 0, 1 / COSINES, .. 1: axes to look at in each table to meet a vector at that cosine with this chance.
+def costs(y: np.ndarray) -> np.ndarray:
+    """Of each row turned by one rotation, how far each signed axis is behind the nearest one, squared."""
+    signed = np.empty((len(y), 2 * y.shape[1]))
+    signed[:, 0::2], signed[:, 1::2] = -y, y
+    return (signed.max(axis=1, keepdims=True) - signed) ** 2
 
-    Rotations make it depend on the cosine only, so it is counted over random pairs: the place that the axis
-    of one has in the other's order.
+
+def cheapest(each: list[np.ndarray], most: float, count: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, costs), cheapest first, of one query in one table: those whose axes cost at most so much together; or the first ``count``.
+
+    ``each``: the costs of the axes of each rotation.
+    """
+    bucket, cost = np.zeros(1, np.int64), np.zeros(1)
+    for c in each:
+        near = np.flatnonzero(c <= most) if count is None else np.argsort(c, kind="stable")[:count]
+        bucket, cost = (bucket[:, None] * len(c) + near).ravel(), (cost[:, None] + c[near]).ravel()
+        keep = np.flatnonzero(cost <= most) if count is None else np.lexsort((bucket, cost))[:count]
+        bucket, cost = bucket[keep], cost[keep]
+    order = np.lexsort((bucket, cost))
+    return bucket[order], cost[order]
+
+
+def reaches(size: int, tables: int, hashes: int = 1, chance: float = REACH, seed: int = 12) -> np.ndarray:
+    """For cosines 0, 1 / COSINES, .. 1: the cost of buckets to look at in each table to meet a vector at that cosine with this chance.
+
+    Rotations make it depend on the cosine only, so it is counted over random pairs: what the axes of one cost
+    the other. Costs are those of vectors as long as the square root of their size.
     """
     rng = np.random.default_rng(seed)
-    q, v = rng.normal(size=(2, max(200, min(4_000, 2**21 // size)), size))
-    q /= np.sqrt((q**2).sum(axis=1, keepdims=True))
-    v -= (q * v).sum(axis=1, keepdims=True) * q
-    v /= np.maximum(np.sqrt((v**2).sum(axis=1, keepdims=True)), 1e-300)
+    pairs = max(200, min(4_000, 2**21 // size // hashes))
     one = 1 - (1 - chance) ** (1 / tables)
-    out = np.empty(COSINES + 1, np.int64)
+    q, v = rng.normal(size=(2, pairs * hashes, size))
+    q *= np.sqrt(size) / np.sqrt((q**2).sum(axis=1, keepdims=True))
+    v -= (q * v).sum(axis=1, keepdims=True) * q / size
+    v *= np.sqrt(size) / np.maximum(np.sqrt((v**2).sum(axis=1, keepdims=True)), 1e-300)
+    nearest = np.abs(q).max(axis=1)
+    out = np.empty(COSINES + 1)
     for i in range(COSINES + 1):
         c = i / COSINES
         x = c * q + np.sqrt(1 - c * c) * v
         axis = np.abs(x).argmax(axis=1)
         mine = q[np.arange(len(q)), axis] * np.sign(x[np.arange(len(q)), axis])
-        place = (q > mine[:, None]).sum(axis=1) + (-q > mine[:, None]).sum(axis=1)
-        out[i] = np.sort(place)[min(len(place) - 1, int(np.ceil(one * len(place))))] + 1
+        cost = ((nearest - mine) ** 2).reshape(pairs, hashes).sum(axis=1)
+        out[i] = np.sort(cost)[min(pairs - 1, int(np.ceil(one * pairs)))] + 1e-9
     return np.maximum.accumulate(out[::-1])[::-1]
 
 
@@ -105,128 +135,129 @@ def top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-HASHED = "vec_id long, embedding array<float>, norm int, length double, bucket array<int>"
+def lengths(x: np.ndarray) -> np.ndarray:
+    """Of each row, also where squares would overflow."""
+    most = np.abs(x).max(axis=1, initial=1e-300, keepdims=True)
+    return np.sqrt(((x / most) ** 2).sum(axis=1)) * most[:, 0]
+
 
+def hash_vectors(vectors: DataFrame, dimensions: int, signs: np.ndarray, element: str) -> DataFrame:
+    """vec_id, embedding, norm (a power of two, rounded), length, bucket (one for each table) of the vectors that take part.
 
-def hash_vectors(vectors: DataFrame, dimensions: int, tables: int) -> DataFrame:
-    """vec_id, embedding, norm (a power of two, rounded), length, bucket (one for each table) of the vectors that take part."""
-    signs = rotations(dimensions, tables)
+    ``signs``: of each table, of each of its rotations.
+    """
 
     def run(batches):
         for batch in batches:
             x, ok = matrix(batch.column("embedding"), dimensions)
             x, batch = x[ok], batch.filter(pa.array(ok))
-            length = np.sqrt((x / np.abs(x).max(axis=1, initial=1e-300, keepdims=True)) ** 2 @ np.ones(dimensions)) * np.abs(x).max(axis=1, initial=1e-300)
+            length = lengths(x)
             unit = x / length[:, None]
-            bucket = np.stack([nearest_axis(turned(unit, s)) for s in signs], axis=1).astype(np.int32)
+            bucket = np.zeros((len(x), len(signs)), np.int64)
+            for t, rotations_of in enumerate(signs):
+                for s in rotations_of:
+                    bucket[:, t] = bucket[:, t] * 2 * s.shape[1] + nearest_axis(turned(unit, s))
             norm = np.round(np.log2(length)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(norm), pa.array(length), pa.array(list(bucket), pa.list_(pa.int32()))], names=["vec_id", "embedding", "norm", "length", "bucket"])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(norm), pa.array(length), pa.array(list(bucket), pa.list_(pa.int64()))], names=["vec_id", "embedding", "norm", "length", "bucket"])
 
-    return vectors.mapInArrow(run, HASHED)
+    return vectors.mapInArrow(run, f"vec_id long, embedding array<{element}>, norm int, length double, bucket array<long>")
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, tables: int = TABLES, probes: int = PROBES, least_met: int = LEAST_MET) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 20, tables: int = TABLES, probes: int = PROBES, hashes: int | None = None, second: bool = True) -> DataFrame:
     """query_id, rank, vec_id, score: the k found with the largest inner product with each query.
 
     ``vectors`` needs vec_id and embedding; other columns are ignored. ``is_query`` is a condition on vec_id.
-    A query's own row is no candidate; rows of equal vec_id are one candidate or query, the first by its
-    components. Vectors that are null, zero, of another length than the most common, or that hold null or
-    non-finite components take no part. Each query meets at least ``least_met`` vectors (or all there are)
-    in the first table, so few vectors are searched whole. Nearest first, ties to the smaller vec_id; an
-    empty table gives no rows. Vectors of very different lengths are hashed by direction and kept apart by
-    length. After a first look at all lengths, every query looks at more axes for those lengths at which
-    vectors of a wider angle can still be among the k nearest; where that comes to as much as all axes of the
-    first table, it looks at those.
+    Rows of a query's own id are no candidates of it. Rows of equal vec_id are candidates (or queries) of
+    their own, and the id counts once with the best score of its rows. Vectors that are null, zero, of another
+    length than the most common, or that hold null or non-finite components take no part. Nearest first, ties
+    to the smaller vec_id; an empty table gives no rows. A table's buckets are the axes of ``hashes``
+    rotations (None: as many as the number of vectors asks for). Vectors of very different lengths are hashed
+    by direction and kept apart by length. After a first look of ``probes`` buckets a table at all lengths,
+    every query looks at more buckets for those lengths at which vectors of a wider angle can still be among
+    the k nearest; where that comes to as many as one table has, it looks at all of that. ``second=False``
+    leaves that out, to measure what the first look finds.
     """
     spark = vectors.sparkSession
-    data = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
+    element = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
+    data = vectors.select("vec_id", F.col("embedding").cast(f"array<{element}>").alias("embedding")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
     common_size = data.groupBy(F.size("embedding").alias("n")).count().where("n > 0").orderBy(F.desc("count"), "n").first()
     out = "query_id long, rank int, vec_id long, score double"
     if common_size is None:
         return spark.createDataFrame([], out)
     dimensions = common_size["n"]
-    one = data.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    hashed, _ = scratch.keep(hash_vectors(one, dimensions, tables))
+    size = 1 << max(0, dimensions - 1).bit_length()
+    hashes = hashes or hashes_of(common_size["count"], 2 * size)
+    signs = rotations(dimensions, tables * hashes).reshape(tables, hashes, 3, size)
+    hashed, _ = scratch.keep(hash_vectors(data, dimensions, signs, element))
     places = hashed.select("vec_id", "embedding", "norm", F.posexplode("bucket").alias("t", "b"))
-    # at most tables * axes * lengths rows
-    counts = {(r.t, r.b, r.norm): r.n for r in hashed.select("norm", F.posexplode("bucket").alias("t", "b")).groupBy("t", "b", "norm").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return spark.createDataFrame([], out)
     longest = {r.norm: r.length for r in hashed.groupBy("norm").agg(F.max("length").alias("length")).collect()}
-    held: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-    for (t, b, norm), n in sorted(counts.items()):
-        held.setdefault((t, b), []).append((norm, -(-n // BLOCK), n))
-    signs = rotations(dimensions, tables)
-    met = np.zeros(2 * signs.shape[2], np.int64)
-    for (t, b), parts in held.items():
-        if t == 0:
-            met[b] += sum(n for _, _, n in parts)
-
-    reach = widths(signs.shape[2], tables)
+    if not longest:
+        return spark.createDataFrame([], out)
+    # buckets of several blocks: at most tables * vectors / BLOCK rows
+    large = hashed.select("norm", F.posexplode("bucket").alias("t", "b")).groupBy("t", "b", "norm").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    blocks = {(r.t, r.b, r.norm): -(-r.n // BLOCK) for r in large.toLocalIterator()}
+    every = (2 * size) ** hashes
+    # turned vectors of length 1 are longer by this than those that the costs are counted for
+    scale = np.sqrt(size) / size**1.5
+    reach = reaches(size, tables, hashes)
 
     def cells(batch, row, key):
         """The batch's rows beside the keys of blocks that they look at."""
         for at in range(0, len(row), 20_000):
             part = batch.take(pa.array(row[at : at + 20_000]))
-            t, b, norm, block = (pa.array(c, pa.int32()) for c in zip(*key[at : at + 20_000], strict=True))
-            yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("embedding"), t, b, norm, block], names=["vec_id", "embedding", "t", "b", "norm", "block"])
+            t, b, norm, block = zip(*key[at : at + 20_000], strict=True)
+            yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("embedding"), pa.array(t, pa.int32()), pa.array(b, pa.int64()), pa.array(norm, pa.int32()), pa.array(block, pa.int32())], names=["vec_id", "embedding", "t", "b", "norm", "block"])
 
-    def looks(batch):
-        """(lengths, and for each table its axes in order and how many the first look takes) of a batch of queries."""
+    def looked(batch):
+        """(lengths, and of each table the costs of the axes of each of its rotations) of a batch of queries."""
         x, _ = matrix(batch.column("embedding"), dimensions)
-        length = np.sqrt((x / np.abs(x).max(axis=1, initial=1e-300, keepdims=True)) ** 2 @ np.ones(dimensions)) * np.abs(x).max(axis=1, initial=1e-300)
+        length = lengths(x)
         unit = x / length[:, None]
-        out = []
-        for t in range(tables):
-            order = axes_in_order(turned(unit, signs[t]))
-            width = np.full(len(order), probes)
-            if t == 0:
-                before = np.cumsum(met[order], axis=1) - met[order]
-                width = np.maximum(probes, (before < least_met).sum(axis=1))
-            out.append((order.tolist(), width.tolist()))
-        return length, out
+        return length, [[costs(turned(unit, s) * scale) for s in table] for table in signs]
 
     def first_look(batches):
         for batch in batches:
             row, key = [], []
-            for t, (order, width) in enumerate(looks(batch)[1]):
-                for i, (axes, w) in enumerate(zip(order, width, strict=True)):
-                    for b in axes[:w]:
-                        for norm, blocks, _ in held.get((t, b), ()):
-                            for block in range(blocks):
+            for t, each in enumerate(looked(batch)[1]):
+                for i in range(len(batch)):
+                    for b in cheapest([c[i] for c in each], np.inf, probes)[0].tolist():
+                        for norm in longest:
+                            for block in range(blocks.get((t, b, norm), 1)):
                                 row.append(i)
                                 key.append((t, b, norm, block))
             yield from cells(batch, row, key)
 
     def second_look(batches):
         for batch in batches:
-            length, tables_of = looks(batch)
+            length, tables_of = looked(batch)
             row, key = [], []
             least = batch.column("least").to_numpy(zero_copy_only=False).astype(float)
             for i in range(len(batch)):
-                wide = {}
-                for norm, most in longest.items():
+                most = {}
+                for norm, there in longest.items():
                     # null: fewer than k were found, so any vector counts; rounding must not lose one at the bound
-                    cosine = least[i] / length[i] / most * (1 - 1e-9) if least[i] > 0 else 0.0
-                    wide[norm] = int(reach[int(cosine * COSINES)]) if cosine <= 1 else 0
-                whole = {norm for norm, w in wide.items() if w * tables >= len(met)}
-                for t, (order, width) in enumerate(tables_of):
-                    last = len(met) if t == 0 and whole else max(wide.values())
-                    for place in range(width[i], last):
-                        b = order[i][place]
-                        for norm, blocks, _ in held.get((t, b), ()):
-                            if t == 0 if norm in whole else place < wide[norm]:
-                                for block in range(blocks):
-                                    row.append(i)
-                                    key.append((t, b, norm, block))
+                    cosine = least[i] / length[i] / there * (1 - 1e-9) if least[i] > 0 else 0.0
+                    if cosine <= 1:
+                        most[norm] = reach[int(cosine * COSINES)] if cosine > 0 else np.inf
+                finite = [m for m in most.values() if m < np.inf]
+                found = [cheapest([c[i] for c in each], max(finite)) if finite else (np.empty(0, np.int64), np.empty(0)) for each in tables_of]
+                whole = {norm for norm, m in most.items() if m == np.inf or sum(np.searchsorted(cost, m, "right") for _, cost in found) >= every}
+                for t, (buckets, cost) in enumerate(found):
+                    for norm, m in most.items():
+                        if norm in whole:
+                            chosen = np.setdiff1d(np.arange(every), cheapest([c[i] for c in tables_of[0]], np.inf, probes)[0]).tolist() if t == 0 else []
+                        else:
+                            # the first so many have been looked at
+                            chosen = buckets[probes : np.searchsorted(cost, m, "right")].tolist()
+                        for b in chosen:
+                            for block in range(blocks.get((t, b, norm), 1)):
+                                row.append(i)
+                                key.append((t, b, norm, block))
             yield from cells(batch, row, key)
 
-    sizes = F.element_at(
-        F.from_json(F.lit("{" + ",".join(f'"{t}/{b}/{n}":{-(-c // BLOCK)}' for (t, b, n), c in counts.items()) + "}"), "map<string,int>"),
-        F.concat_ws("/", "t", "b", "norm"),
-    )
+    sizes = F.element_at(F.from_json(F.lit("{" + ",".join(f'"{t}/{b}/{n}":{c}' for (t, b, n), c in blocks.items()) + "}"), "map<string,int>"), F.concat_ws("/", "t", "b", "norm"))
     queries = hashed.where(is_query).select("vec_id", "embedding")
-    base = places.withColumn("block", F.pmod(F.xxhash64("vec_id"), sizes.cast("long")).cast("int"))
+    base = places.withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding"), F.coalesce(sizes, F.lit(1)).cast("long")).cast("int"))
     key = ["t", "b", "norm", "block"]
 
     def near(qx, qi, cx, ci):
@@ -235,8 +266,13 @@ def search(vectors: DataFrame, is_query, k: int = 20, tables: int = TABLES, prob
         if not len(qi) or not len(ci):
             return found
         rough = qx @ cx.T
+        repeated = len(np.unique(ci)) < len(ci)
         rough[qi[:, None] == ci[None, :]] = -np.inf
         for i, r in enumerate(rough):
+            if repeated:  # an id counts once, with its best row
+                order = np.lexsort((-r, ci))
+                r = r.copy()
+                r[order[1:][ci[order][1:] == ci[order][:-1]]] = -np.inf
             least = np.partition(r, len(r) - k)[len(r) - k] if len(r) > k else -np.inf
             some = np.flatnonzero((r >= least - SLACK * max(1.0, abs(least) if np.isfinite(least) else 1.0)) & (r > -np.inf))
             if len(some) > 4 * k:  # of copies of one vector only the smallest ids can be kept
@@ -283,7 +319,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, tables: int = TABLES, prob
 
     def candidates(asked: DataFrame, look) -> DataFrame:
         """query_id, vec_id, score of what lies in the blocks that ``look`` chooses."""
-        asked = asked.mapInArrow(look, "vec_id long, embedding array<float>, t int, b int, norm int, block int")
+        asked = asked.mapInArrow(look, f"vec_id long, embedding array<{element}>, t int, b long, norm int, block int")
         both = asked.withColumn("side", F.lit(0)).select(*key, "side", "vec_id", "embedding").union(base.withColumn("side", F.lit(1)).select(*key, "side", "vec_id", "embedding"))
         dealt = both.repartition(n, *key).sortWithinPartitions(*key)
         return dealt.mapInArrow(rerank, "query_id long, vec_id long, score double")
@@ -294,6 +330,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, tables: int = TABLES, prob
         return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
     first, _ = scratch.keep(best(candidates(queries, first_look)))
+    if not second:
+        return first
     least = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
     more = candidates(queries.join(least, "vec_id", "left").select("vec_id", "embedding", "least"), second_look)
     return best(first.select("query_id", "vec_id", "score").union(more))
