@@ -2,7 +2,9 @@
 
 Candidates are long runs of letters, digits and a few signs. Each is scored by first-order Markov models
 of random strings and of ordinary identifiers; the mean log-likelihood ratio of its transitions decides.
-All of it is built-in SQL functions: positions come from the lengths of what lies between the matches.
+Ordinary ones are made of the corpus's own words in the shapes that identifiers have: joined by signs, in
+camel case, as paths, with numbers, versions and dates. All of it is built-in SQL functions: positions come
+from the lengths of what lies between the matches.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from commitloom.functions.text import let
 from commitloom.llm.common import sample
 
 #: Kinds in the order that breaks ties, with pattern, group whose length counts, and least length.
@@ -25,31 +28,39 @@ BASE = [
 CANDIDATE, LEAST = r"[A-Za-z0-9+/_=-]{20,}", 20
 ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_=-"
 #: A candidate is a secret from this mean log-likelihood ratio of a transition on.
-MARGIN = 0.5
-#: Counts that smooth each character's transitions.
-BACKED_OFF = 20
-#: Labelled strings of each kind that the models are fitted to, at most.
-SAMPLE = 20_000
+MARGIN = 0.35
+#: The share of each transition's probability that is its kind's (small letter to digit, and so on): no corpus has all pairs of letters that identifiers have.
+BY_KIND = 0.4
+#: Triples of words that ordinary strings are made of, at most, and numbers that random ones are.
+SAMPLE, RANDOM = 10_000, 6_000
 #: Documents whose words are taken for it, at most.
 SAMPLE_DOCS = 1_000
 
 
+#: Elements that running() goes through one after the other; its work grows little more than an array does.
+STRIDE = 64
+
+
+def running(steps: Column, joined) -> Column:
+    """Of each element of an array of ints, what ``joined`` (of two ints, 0 being neutral) makes of all before it."""
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    walk = lambda x, of: F.aggregate(x, empty, lambda acc, y: F.struct(joined(acc["at"], of(y)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / STRIDE).cast("int")), lambda c: walk(F.slice(steps, c * STRIDE + 1, STRIDE), lambda y: y))
+    whole = let(parts, lambda p: let(walk(p, lambda y: y["at"])["out"], lambda base: F.flatten(F.transform(p, lambda x, i: F.transform(x["out"], lambda v: joined(F.get(base, i), v))))))
+    return F.when(F.size(steps) > 0, whole).otherwise(F.array().cast("array<int>"))
+
+
 def _matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, found>> of leftmost non-overlapping matches, in code points."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.transform(F.split(text, pattern, -1), F.length)
-    step = F.arrays_zip(between.alias("gap"), found.alias("found"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("spans"))
-    return F.aggregate(
-        step, start,
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.coalesce(F.length(x["found"]), F.lit(0))).alias("at"),
-            F.when(x["found"].isNull(), acc["spans"]).otherwise(
-                F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["found"])).alias("end"), x["found"].alias("found"))))
-            ).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    # each match's start: all gaps and matches before it, and its own gap
+    starts = lambda x: running(F.transform(x["found"], lambda f, i: F.get(x["gap"], i) + F.length(f)), lambda a, b: a + b)
+    spans = lambda x: let(
+        starts(x),
+        lambda before: F.transform(x["found"], lambda f, i: let(F.get(before, i) + F.get(x["gap"], i), lambda at: F.struct(at.alias("start"), (at + F.length(f)).alias("end"), f.alias("found")))),
+    )
+    return let(F.struct(found.alias("found"), gaps.alias("gap")), spans)
 
 
 def spans_of(text: Column, pattern: str) -> Column:
@@ -82,44 +93,84 @@ def transition_counts(samples: DataFrame) -> DataFrame:
     return codes.select("label", F.explode(pairs).alias("pair")).groupBy("label", "pair").agg(F.count("*").alias("n"))
 
 
+def _kind_of(code: int) -> int:
+    """Of a place in ALPHABET: small letters, capitals, digits, and signs with all else."""
+    return min(code - 1, 62) // 26 if code else 3
+
+
 def fit(samples: DataFrame) -> list[float]:
     """Log-likelihood ratio (label 1, random, over label 0, ordinary) of each transition.
 
-    A transition's probability is its share after its first character, smoothed by BACKED_OFF counts dealt by
-    how often its second character occurs at all (each once more). Null and one-character strings teach
-    nothing; without samples of a label all its characters are as likely. At most the alphabet's square of
-    counts for each label reaches the driver.
+    A transition's probability is its share after its first character, mixed with BY_KIND of what its kind
+    gives: the share of the second character's kind after the first one's, times the second's share of its
+    kind. Every character and kind counts once more. Null and one-character strings teach nothing; without
+    samples of a label all characters of a kind are as likely. At most the alphabet's square of counts for
+    each label reaches the driver.
     """
     width = len(ALPHABET) + 1
     counts = [[0] * (width * width) for _ in (0, 1)]
     for label, pair, n in transition_counts(samples).toLocalIterator():
         counts[label][pair] += n
+    kind = [_kind_of(i) for i in range(width)]
     logs = []
     for c in counts:
+        after = [sum(c[a * width : (a + 1) * width]) for a in range(width)]
         ends = [1 + sum(c[b::width]) for b in range(width)]
-        share = [x / sum(ends) for x in ends]
-        sums = [sum(c[r * width : (r + 1) * width]) for r in range(width)]
-        logs.append([math.log((c[i] + BACKED_OFF * share[i % width]) / (sums[i // width] + BACKED_OFF)) for i in range(width * width)])
+        of_kind = [sum(n for n, k in zip(ends, kind, strict=True) if k == j) for j in range(4)]
+        step = [[1] * 4 for _ in range(4)]
+        for i, n in enumerate(c):
+            step[kind[i // width]][kind[i % width]] += n
+        logs.append([])
+        for i, n in enumerate(c):
+            a, b = divmod(i, width)
+            rough = step[kind[a]][kind[b]] / sum(step[kind[a]]) * ends[b] / of_kind[kind[b]]
+            logs[-1].append(math.log((1 - BY_KIND) * n / after[a] + BY_KIND * rough if after[a] else rough))
     return [b - a for a, b in zip(*logs, strict=True)]
 
 
-def made_random(spark: SparkSession, n: int = 4000) -> DataFrame:
-    """(label 1, string): digests in hexadecimal and base 64, and access-key shapes, of the numbers below n."""
+def made_random(spark: SparkSession, n: int = RANDOM) -> DataFrame:
+    """(label 1, string): digests of the numbers below n in hexadecimal of either case, base 64, base 36 and access-key shapes, of several lengths."""
     i = F.col("id").cast("string")
-    kinds = F.array(F.md5(i), F.sha1(i), F.regexp_replace(F.base64(F.unhex(F.sha2(i, 256))), "=", ""), F.concat(F.lit("AKIA"), F.substring(F.upper(F.conv(F.substring(F.md5(i), 1, 15), 16, 36)), 1, 12)))
+    base64 = F.regexp_replace(F.base64(F.unhex(F.sha2(i, 256))), "=", "")
+    base36 = F.lower(F.concat(*[F.conv(F.substring(F.md5(i), 1 + 12 * k, 12), 16, 36) for k in (0, 1)], F.conv(F.substring(F.sha1(i), 1, 12), 16, 36)))
+    cut = lambda s: F.substring(s, F.lit(1), (20 + F.col("id") % 24).cast("int"))
+    kinds = F.array(cut(F.md5(i)), F.upper(F.substring(F.sha1(i), 1, 24)), base64, cut(F.translate(base64, "+/", "-_")), cut(F.regexp_replace(base64, "[+/]", "")), base36, F.concat(F.lit("AKIA"), F.upper(F.substring(base36, 1, 16))))
     return spark.range(n).select(F.lit(1).alias("label"), F.explode(kinds).alias("string"))
 
 
+def made_ordinary(words: DataFrame) -> DataFrame:
+    """(label 0, string): identifiers of each row's three words (a, b, c) and numbers that their hash gives, in all usual shapes."""
+    a, b, c = (F.lower(x) for x in ("a", "b", "c"))
+    h = F.xxhash64("a", "b", "c")
+    # the hash's own digits, one use each
+    number = lambda at, size, low=0: (F.pmod(F.shiftright(h, at), F.lit(size)) + low).cast("string")
+    two = lambda at, size, low=0: F.lpad(number(at, size, low), 2, "0")
+    sign = F.element_at(F.array(F.lit("_"), F.lit("-"), F.lit("/")), (F.pmod(h, F.lit(3)) + 1).cast("int"))
+    year, month, day = number(3, 40, 1990), two(9, 12, 1), two(14, 28, 1)
+    clock = [two(19, 24), two(24, 60), two(30, 60)]
+    shapes = F.array(
+        F.concat(a, sign, F.col("b"), sign, F.initcap("c")),
+        F.concat(a, F.initcap("b"), number(36, 10), F.initcap("c"), number(40, 100), F.initcap("a")),
+        F.concat(F.initcap("a"), F.initcap("b"), F.initcap("c"), number(36, 1000)),
+        F.concat(a, F.lit("/"), year, F.lit("/"), month, F.lit("/"), b, F.lit("-"), c, F.lit("-"), number(36, 100)),
+        F.concat(year, F.lit("-"), month, F.lit("-"), day, F.lit("T"), F.concat_ws("-", *clock), F.lit("Z-"), a, F.lit("-"), b),
+        F.concat(a, F.lit("_"), year, month, day, F.lit("_"), *clock, F.lit("_"), b),
+        F.concat(a, number(36, 10), F.lit("_"), b, F.lit("_"), c, number(40, 10), F.lit("_"), F.lpad(number(44, 1000), 4, "0")),
+        F.concat_ws("/", F.substring(a, 1, 3), b, c, F.concat(a, number(36, 100)), F.concat(F.initcap("b"), F.initcap("c"), number(44, 10))),
+        F.concat(F.upper("a"), F.lit("_"), F.upper("b"), F.lit("_"), number(36, 10_000), F.lit("="), c, number(48, 100)),
+        F.concat(a, F.lit("-"), number(36, 20), F.lit("-"), number(40, 20), F.lit("-"), b, F.lit("-"), c, F.lit("_"), number(44, 256)),
+    )
+    return words.select(F.lit(0).alias("label"), F.explode(shapes).alias("string"))
+
+
 def labelled_samples(docs: DataFrame, limit: int = SAMPLE) -> DataFrame:
-    """(label, string): made random strings, and as ordinary ones at most ``limit`` different words of
-    SAMPLE_DOCS documents, each joined with itself as identifiers are. Documents and words are those with the
-    smallest hashes, so the sample depends on the corpus and not on the order of its rows."""
-    spark = docs.sparkSession
-    word = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{3,16}"), F.lit(0))))
-    words = sample(docs.where(F.col("text").isNotNull()), SAMPLE_DOCS).select(word.alias("w")).distinct().orderBy(F.xxhash64("w"), "w").limit(limit)
-    sign = F.element_at(F.array(F.lit("_"), F.lit("-"), F.lit("/")), (F.pmod(F.xxhash64("w"), F.lit(3)) + 1).cast("int"))
-    ordinary = words.select(F.lit(0).alias("label"), F.concat(F.lower("w"), sign, "w", sign, F.initcap("w")).alias("string"))
-    return made_random(spark).union(ordinary)
+    """(label, string): made random strings, and ordinary ones of at most ``limit`` different triples of
+    neighbouring words of SAMPLE_DOCS documents. Documents and triples are those with the smallest hashes, so the
+    sample depends on the corpus and not on the order of its rows."""
+    words = F.regexp_extract_all("text", F.lit(r"[A-Za-z]{2,16}"), F.lit(0))
+    triples = let(words, lambda w: F.transform(F.sequence(F.lit(0), F.floor(F.size(w) / 3).cast("int")), lambda i: F.struct(F.get(w, 3 * i).alias("a"), F.get(w, 3 * i + 1).alias("b"), F.get(w, 3 * i + 2).alias("c"))))
+    chosen = sample(docs.where(F.col("text").isNotNull()), SAMPLE_DOCS).select(F.explode(triples).alias("x")).select("x.*").where("c is not null").distinct()
+    return made_random(docs.sparkSession).union(made_ordinary(chosen.orderBy(F.xxhash64("a", "b", "c"), "a", "b", "c").limit(limit)))
 
 
 def ratio_of(candidate: Column, model: Column) -> Column:
@@ -169,14 +220,13 @@ def written(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every span, overlapping ones together, replaced by the mark."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, x: F.struct(
-        F.greatest(acc["at"], x["end"]).alias("at"),
-        F.when((x["start"] < acc["at"]), acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).alias("out"),
+    """The text with every span (by start), overlapping ones together, replaced by the mark."""
+    ends = lambda: F.transform(spans, lambda x: x["end"])
+    pieces = let(
+        running(ends(), F.greatest),
+        lambda before: F.transform(spans, lambda x, i: F.when(x["start"] >= F.get(before, i), F.concat(F.substring(text, F.get(before, i) + 1, x["start"] - F.get(before, i)), F.lit(mark))).otherwise(F.lit(""))),
     )
-    joined = F.aggregate(spans, start, step, lambda acc: F.struct(acc["at"], acc["out"]))
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(joined["out"], F.substring(text, joined["at"] + 1, 2**31 - 1)))
+    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(pieces, ""), F.substring(text, F.array_max(ends()) + 1, F.length(text))))
 
 
 def model_of(docs: DataFrame) -> list[float]:

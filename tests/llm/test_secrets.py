@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import random
 import re
@@ -37,18 +38,63 @@ def test_base_spans_equal_brute_force(spark, tmp_path):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x.startswith(k) for x in want) for k in ("assign", "access", "hex"))
 
 
-def test_models_tell_random_strings_from_identifiers(spark):
+@pytest.fixture(scope="module")
+def model(spark):
+    return secrets.model_of(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def ratio(s, model):
+    codes = [secrets.ALPHABET.find(c) + 1 for c in s]
+    return sum(model[a * (len(secrets.ALPHABET) + 1) + b] for a, b in zip(codes, codes[1:])) / (len(s) - 1)
+
+
+def ordinary_and_keys():
+    """Identifiers of words that the corpus doesn't have, all with digits; and keys."""
     r = random.Random(1)
-    syllables = ["par", "ser", "con", "fig", "in", "dex", "wri", "ter", "val", "ue", "stre", "am", "fil", "ta", "ble", "col", "um", "mer", "ge", "com", "mit", "bran", "ch", "rea", "der", "buf", "fer", "to", "ken"]
-    ordinary = ["".join(r.choices(syllables, k=r.randint(2, 4))) for _ in range(500)]
-    docs = spark.createDataFrame([(i, " ".join(r.choices(ordinary, k=30))) for i in range(50)], "doc_id long, text string")
-    model = secrets.model_of(docs)
-    chars = secrets.ALPHABET[:62]
-    strings = [(1, "".join(r.choices(chars, k=32))) for _ in range(200)] + [(0, "_".join(r.choices(ordinary, k=5)) + str(r.randint(0, 9))) for _ in range(200)]
-    df = spark.createDataFrame([(i, s, y) for i, (y, s) in enumerate(strings)], "doc_id long, text string, y int")
+    words = "get set user cache from async index page file name server client request token list update read write date value error handler service factory config data model column stream thread queue tree node graph route query filter group count summary article backup release branch commit merge".split()
+    w = lambda: r.choice(words)
+    ordinary, keys = [], []
+    for i in range(100):
+        y, mo, d = r.randint(1990, 2030), r.randint(1, 12), r.randint(1, 28)
+        ordinary += [f"{w()}/{y}/{mo:02}/{w()}-{w()}-{r.randint(1, 99)}", f"{y}-{mo:02}-{d:02}T{r.randint(0, 23):02}-{r.randint(0, 59):02}-00Z-{w()}-{w()}", f"{w()}{w().title()}{r.randint(1, 9)}{w().title()}{w().title()}{r.randint(1, 99)}", f"{w()}_{y}{mo:02}{d:02}_{r.randint(0, 235959):06}_{w()}", f"src/main/{w()}/{w()}/{w()}{r.randint(1, 9)}/{w().title()}Test", f"{w().upper()}_{w().upper()}_{r.randint(1, 999)}_{w().upper()}", f"{w()}-{w()}-v{r.randint(1, 9)}-{r.randint(0, 9)}-{w()}", f"{w()}{r.randint(1, 9)}_{w()}_{w()}_{r.randint(0, 9999)}_{w()}"]
+        digest = hashlib.sha256(f"key {i}".encode()).digest()
+        keys += [base64.b64encode(digest).decode().rstrip("=")[: r.randint(20, 43)], digest.hex()[: r.randint(20, 31)], base64.urlsafe_b64encode(digest).decode().rstrip("=")]
+    ordinary += ["wiki/2019/05/some-article-title-12", "2024-01-05T10-00-00Z-server-log", "utf8_general_ci_utf8mb4_0900", "src/main/java/com/example/app2/Test1", "img_20210304_120000_edited", "getUserById2FromCache3Async"]
+    fit = lambda xs: [x for x in xs if len(x) >= secrets.LEAST and re.search("[0-9]", x) and re.search("[A-Za-z]", x)]
+    return fit(ordinary), fit(keys)
+
+
+def test_models_tell_keys_from_identifiers(spark, model):
+    ordinary, keys = ordinary_and_keys()
+    assert len(ordinary) >= 500 and len(keys) >= 200
+    df = spark.createDataFrame(list(enumerate(ordinary + keys)), "doc_id long, text string")
     found = {x.doc_id for x in secrets.scan(df, model).where(F.size("spans") > 0).collect()}
-    right = sum((i in found) == bool(y) for i, (y, _) in enumerate(strings))
-    assert right >= 0.97 * len(strings)
+    assert sum(i < len(ordinary) for i in found) <= 0.02 * len(ordinary)
+    assert sum(i >= len(ordinary) for i in found) >= 0.95 * len(keys)
+
+
+def test_markov_spans_equal_a_plain_scorer(spark, model):
+    r = random.Random(4)
+    ordinary, keys = ordinary_and_keys()
+    rows = [(i, "".join(r.choice([*ordinary, *keys, "token=abcdefgh12345", "0123456789abcdef" * 2, "é", "😀 "]) + r.choice([" ", "\n", "(", "."]) for _ in range(r.choice([1, 5, 300])))) for i in range(60)]
+    got = {x.doc_id: x.spans for x in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    some = 0
+    for i, text in rows:
+        known = [(m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 8]
+        known += [m.span() for m in re.finditer(r"AKIA[A-Z0-9]{12,}|[0-9a-f]{32,}", text)]
+        want = [m.span() for m in re.finditer(secrets.CANDIDATE, text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and ratio(m[0], model) >= secrets.MARGIN and not any(s < m.end() and m.start() < e for s, e in known)]
+        assert [(x["start"], x["end"]) for x in got[i] if x["kind"] == "markov"] == want
+        some += len(want)
+    assert some > 500
+
+
+def test_running(spark):
+    r = random.Random(2)
+    rows = [[], [3], [r.randint(0, 9) for _ in range(64)], [r.randint(0, 9) for _ in range(65)], [r.randint(0, 99) for _ in range(1000)]]
+    df = spark.createDataFrame([(x,) for x in rows], "x array<int>").coalesce(1)
+    got = df.select(secrets.running(F.col("x"), lambda a, b: a + b).alias("s"), secrets.running(F.col("x"), F.greatest).alias("m")).collect()
+    for x, g in zip(rows, got, strict=True):
+        assert g.s == [sum(x[:i]) for i in range(len(x))] and g.m == [max([0, *x[:i]]) for i in range(len(x))]
 
 
 def test_redact_and_empty(spark):
