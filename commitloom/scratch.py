@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where none is set."""
+    """The session's checkpoint folder. Without one, on local masters only, a new one in the warehouse; elsewhere it must be set."""
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="commitloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if spark.sparkContext.master.split("[")[0] != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            named = f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+        spark.sparkContext.setCheckpointDir(named)
     return context.getCheckpointDir().get()
 
 
-def keep(df: DataFrame) -> tuple[DataFrame, str]:
-    """``df`` written as Parquet and read again, and where it lies."""
+def keep(df: DataFrame, *folders: str) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet and read again, and where it lies; values of columns named in ``folders`` get a folder each."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*folders) if folders else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
