@@ -3,7 +3,9 @@
 Level 0 holds the listed keys; level 1 the keys of the universe that level 0 lets through by mistake;
 level 2 the listed keys that level 1 lets through by mistake; and so on until a level makes no
 mistake. A key of the universe is listed exactly when the first level without it is an odd one.
-The filters travel as binary literals in the plan, so pages are judged in one pass without a join.
+The filters travel as binary literals in the plan, so pages are judged without a join. Where they would be
+too large for one plan, keys are dealt into parts by a hash, each with a cascade of its own over its part of
+the universe, and each part's pages are judged by its cascade.
 """
 
 from __future__ import annotations
@@ -17,8 +19,10 @@ from commitloom import scratch
 
 #: Bits for a key, and hash functions, of each level.
 BITS_PER_KEY, HASHES = 12, 6
-#: The listed keys and the first level's mistakes may take so many bytes of filters in a plan; beyond that membership is a join.
-MOST_BYTES = 16 << 20
+#: Bytes of filters that one part's listed keys and first level's mistakes take, about: keys are dealt into parts accordingly.
+MOST_BYTES = 8 << 20
+#: The share of other keys that a level lets through, about.
+MISTAKEN = 0.005
 
 
 @dataclass(frozen=True)
@@ -59,12 +63,9 @@ class Level:
 
     def holds(self, key: Column, level: int) -> Column:
         """Whether this level lets the key through."""
-        out = F.lit(True)
-        for h in range(HASHES):
-            at = F.pmod(F.xxhash64(F.lit(level * HASHES + h), key), F.lit(self.bits))
-            byte = F.conv(F.hex(F.substring(F.lit(self.data), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-            out = out & (F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1)
-        return out
+        places = F.array(*[F.pmod(F.xxhash64(F.lit(level * HASHES + h), key), F.lit(self.bits)) for h in range(HASHES)])
+        byte = lambda at: F.conv(F.hex(F.substring(F.lit(self.data), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        return F.forall(places, lambda at: F.getbit(byte(at), F.pmod(at, F.lit(8)).cast("int")) == 1)
 
 
 def build_level(keys: DataFrame, count: int, level: int) -> Level:
@@ -83,23 +84,30 @@ def build_level(keys: DataFrame, count: int, level: int) -> Level:
     return Level(bits, bytes(data))
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame) -> list[Level] | None:
+def build_cascade(listed: DataFrame, universe: DataFrame) -> list[Level]:
     """Levels that tell listed keys of ``universe`` from the others, both with one column, key, of
-    distinct strings, listed ones being part of the universe. None if the levels would pass MOST_BYTES."""
+    distinct strings, listed ones being part of the universe."""
+    spark = listed.sparkSession
     inside, outside = listed, universe.join(listed, "key", "left_anti")
     levels: list[Level] = []
-    left, size = inside.count(), 0
+    written: list[str] = []
+    left = inside.count()
     while left:
-        size += left * BITS_PER_KEY // 8
-        if size > MOST_BYTES:
-            return None
         levels.append(made := build_level(inside, left, len(levels)))
-        passed, _ = scratch.keep(outside.where(made.holds(F.col("key"), len(levels) - 1)))
+        passed, path = scratch.keep(outside.where(made.holds(F.col("key"), len(levels) - 1)))
+        written.append(path)
         inside, outside = passed, inside
         left = inside.count()
+    for path in written:
+        scratch.drop(spark, path)
     return levels
 
 
+def parts_of(listed: int, every: int) -> int:
+    """Into how many parts keys are dealt, of so many listed ones among so many."""
+    return max(1, -(-int((listed + MISTAKEN * every) * BITS_PER_KEY) // (8 * MOST_BYTES)))
+
+
 def listed_by(levels: list[Level], key: Column) -> Column:
     """Exact membership of a key of the universe."""
     out = F.lit(len(levels) % 2 == 1)
@@ -117,18 +125,33 @@ def filter_urls(pages: DataFrame, rules: list[Rule], listed: DataFrame) -> DataF
     without :// have empty host and path, fit no rule, and are allowed unless the empty host is listed.
     Repeated rows are all judged; an empty table gives no rows.
     """
-    parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    universe, _ = scratch.keep(parts.select(F.col("host").alias("key")).distinct())
-    inside, _ = scratch.keep(universe.join(listed.select("key").distinct(), "key", "left_semi"))
-    levels = build_cascade(inside, universe)
-    if levels is None:
-        found = inside.select(F.col("key").alias("host"), F.lit(True).alias("found"))
-        parts, hit = parts.join(found, "host", "left"), F.coalesce(F.col("found"), F.lit(False))
+    spark = pages.sparkSession
+    split = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    universe, universe_at = scratch.keep(split.select(F.col("host").alias("key")).distinct())
+    inside, inside_at = scratch.keep(universe.join(listed.select("key").distinct(), "key", "left_semi"))
+    parts = parts_of(inside.count(), universe.count())
+    if parts == 1:
+        judged = _judged(split, rules, build_cascade(inside, universe))
     else:
-        hit = listed_by(levels, F.col("host"))
-    actions = F.lit("block")
+        # each part is a folder, so that judging it reads no other
+        at = lambda key: F.pmod(F.xxhash64(F.lit(-1), key), F.lit(parts)).cast("int").alias("part")
+        tables = [scratch.keep(df.select("*", at(key)), "part") for df, key in ((split, "host"), (universe, "key"), (inside, "key"))]
+        judged = None
+        for p in range(parts):
+            own, every, some = (df.where(F.col("part") == p).drop("part") for df, _ in tables)
+            one = _judged(own, rules, build_cascade(some, every))
+            judged = one if judged is None else judged.union(one)
+        for _, path in tables[1:]:
+            scratch.drop(spark, path)
+    for path in (universe_at, inside_at):
+        scratch.drop(spark, path)
+    return judged
+
+
+def _judged(split: DataFrame, rules: list[Rule], levels: list[Level]) -> DataFrame:
     rule = longest_rule(F.col("host"), F.col("path"), rules)
+    actions = F.lit("block")
     for r in rules:
         actions = F.when(F.col("rule") == r.text, F.lit(r.action)).otherwise(actions)
-    verdict = F.when(F.col("rule").isNotNull(), actions).when(hit, F.lit("block")).otherwise(F.lit("allow"))
-    return parts.withColumn("rule", rule).select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+    verdict = F.when(F.col("rule").isNotNull(), actions).when(listed_by(levels, F.col("host")), F.lit("block")).otherwise(F.lit("allow"))
+    return split.withColumn("rule", rule).select("page_id", "host", "path", "rule", verdict.alias("verdict"))

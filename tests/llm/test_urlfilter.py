@@ -49,10 +49,11 @@ def test_verdicts_equal_brute_force(spark):
     assert run(spark, [], listed) == []
 
 
-def test_a_cascade_beyond_its_bound_is_a_join(spark, monkeypatch):
+def test_a_cascade_beyond_its_bound_is_dealt_into_parts(spark, monkeypatch):
     rows = list(enumerate(urls()))
     listed = {parts(u)[0] for u in urls() if "ads" in parts(u)[0]}
-    monkeypatch.setattr(urlfilter, "MOST_BYTES", 4)
+    monkeypatch.setattr(urlfilter, "MOST_BYTES", 32)
+    assert urlfilter.parts_of(len(listed), 4 * len(listed)) >= 3
     assert run(spark, rows, sorted(listed)) == brute(rows, listed)
 
 
