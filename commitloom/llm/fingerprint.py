@@ -11,15 +11,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from commitloom.functions.text import let
 from commitloom.llm import common
 
 #: Cells of a fingerprint (in three parts), and how many times as many each retry has.
@@ -155,28 +157,51 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - third] + after[:third]
 
 
+def below(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds lie below a value: whole strides of them first, then those of one stride."""
+    if not bounds:
+        return F.lit(0)
+    stride = math.isqrt(len(bounds)) + 1
+    longs = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<bigint>")
+    count = lambda xs: F.size(F.filter(xs, lambda x: x < value))
+    return let(count(longs(bounds[stride - 1 :: stride])) * stride, lambda whole: whole + count(F.slice(longs(bounds), whole + 1, stride)))
+
+
+def dealing_keys(spark: SparkSession, n: int) -> list[int]:
+    """For each of n partitions a number that a shuffle by it sends there."""
+    out: dict[int, int] = {}
+    size = 8 * n + 64
+    while len(out) < n:
+        size *= 2
+        rows = spark.range(size).groupBy(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("at")).agg(F.min("id").alias("id"))
+        out = {r["at"]: r["id"] for r in rows.collect()}
+    return [out[p] for p in range(n)]
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, part, ghost: documents dealt in ranges of doc_id, null first, each range led by a copy of
-    the last document of the range before it (``ghost``), the first by the last of all."""
+    the last document of the range before it (``ghost``), the first by the last of all.
+
+    ``part`` is a number that a shuffle by it into as many partitions as the session has sends to a partition
+    of the range's own."""
     spark = docs.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # at most n + 1 bounds reach the driver
     bounds = plain.where("doc_id is not null").stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (8 * n)) if n > 1 else []
     bounds = sorted({int(b) for b in bounds})
-    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: F.col("doc_id") > b)) if bounds else F.lit(0)
-    dealt = plain.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(part).cast("int"))
+    dealt = plain.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(below(F.col("doc_id"), bounds)).cast("int"))
     lasts = {r.part: r.doc_id for r in dealt.groupBy("part").agg(F.max("doc_id").alias("doc_id")).collect()}
     parts = sorted(lasts)
     follow = {p: parts[(i + 1) % len(parts)] for i, p in enumerate(parts)}
-    target = F.lit(None).cast("int")
-    for p in parts:
-        target = F.when(F.col("part") == p, F.lit(follow[p])).otherwise(target)
-    ends = [lasts[p] for p in parts if lasts[p] is not None]
+    keys = dealing_keys(spark, n)
+    table = lambda of: F.get(F.array(*[F.lit(of.get(p, 0)) for p in range(n)]), F.col("part"))
     # of repeated rows the one that sorts last
-    is_end = F.col("doc_id").isin(ends) if None not in lasts.values() else F.col("doc_id").isin(ends) | F.col("doc_id").isNull()
-    ghosts = dealt.where(is_end).groupBy("doc_id", "part").agg(F.max("text").alias("text")).select("doc_id", "text", target.alias("part"), F.lit(True).alias("ghost"))
-    return dealt.withColumn("ghost", F.lit(False)).select("doc_id", "text", "part", "ghost").union(ghosts)
+    ends = spark.createDataFrame([(p, d) for p, d in lasts.items()], "part int, last long")
+    is_end = F.col("doc_id").eqNullSafe(F.col("last"))
+    ghosts = dealt.join(F.broadcast(ends), "part").where(is_end).groupBy("doc_id", "part").agg(F.max("text").alias("text")).select("doc_id", "text", table(follow).alias("part"), F.lit(True).alias("ghost"))
+    every = dealt.withColumn("ghost", F.lit(False)).select("doc_id", "text", "part", "ghost").union(ghosts)
+    return every.withColumn("part", table(dict(enumerate(keys))).cast("int"))
 
 
 SCHEMA = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]

@@ -4,6 +4,7 @@ import random
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from commitloom.llm import fingerprint as fp
 
@@ -67,3 +68,14 @@ def test_equal_fingerprints_and_edits_are_near():
     text = "\n".join(f"line {i} of a longer text with some words in it" for i in range(60))
     a, b = fp.digests(text), fp.digests(fp.edited(text, "something else entirely " * 200))
     assert fp.written([a]) == fp.written([fp.digests(text)]) and fp.likeness([a], [b])[0] > 0.3
+
+
+def test_ranges_and_their_partitions(spark):
+    for n in (1, 2, 5, 37):
+        bounds = [3 * i for i in range(n)]
+        got = spark.range(-2, 3 * n + 2).select("id", fp.below(F.col("id"), bounds).alias("b")).collect()
+        assert all(r.b == sum(x < r.id for x in bounds) for r in got)
+        keys = fp.dealing_keys(spark, n)
+        spread = spark.createDataFrame([(k,) for k in keys], "part int").repartition(n, "part").select("part", F.spark_partition_id().alias("p")).collect()
+        assert sorted(r.p for r in spread) == list(range(n)) and all(keys[r.p] == r.part for r in spread)
+    assert spark.range(3).select(fp.below(F.col("id"), []).alias("b")).distinct().collect()[0].b == 0
