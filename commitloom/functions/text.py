@@ -79,6 +79,17 @@ def deleted_lines(diff: Column) -> Column:
     return F.filter(lines(diff), lambda x: x.startswith("-") & ~x.startswith("---"))
 
 
+def line_counts(diff: Column) -> Column:
+    """struct<added, deleted>: how many lines a diff adds and deletes, cut once."""
+    count = lambda x, sign: F.size(F.filter(x, lambda l: l.startswith(sign) & ~l.startswith(3 * sign))).cast("long")  # noqa: E731, E741
+    return let(lines(diff), lambda x: F.struct(count(x, "+").alias("added"), count(x, "-").alias("deleted")))
+
+
+def not_blank(text: Column) -> Column:
+    """Whether anything but white space is in it."""
+    return text.rlike(r"(?U)[^\s\x1c-\x1f]")
+
+
 def normalize_diff(diff: Column) -> Column:
     """Without volatile and blank lines, and without white space at the ends of the others."""
     return F.array_join(F.transform(F.filter(lines(diff), lambda x: ~x.rlike(VOLATILE)), rstrip), "\n")

@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 from commitloom import scratch
 from commitloom.functions import text as T
+from commitloom.operators.graph import components
 
 #: Tokens of a shingle, characters that stand for a text without tokens, bits of a signature.
 SHINGLE, HEAD, BITS = 5, 32, 64
+#: Edges of a group of near rows that one task walks through, at most.
+GROUP_EDGES = 1_000_000
 
 
 def _first(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,17 +36,17 @@ def with_drop_reason(commits: DataFrame) -> DataFrame:
     sha all the same. Only keys, not diffs, are shuffled to find the first ones.
     """
     sha, repo = T.strip(F.coalesce("sha", F.lit(""))), T.strip(F.coalesce("repo", F.lit("")))
-    norm = T.normalize_diff(F.coalesce("diff_text", F.lit("")))
-    keyed = commits.select("*", repo.alias("_repo"), sha.alias("_sha"), F.when(norm != "", F.md5(norm)).alias("norm_md5"))
-    keys, _ = scratch.keep(keyed.select("seq", "_repo", "_sha", "norm_md5"))
+    norm_md5 = T.let(T.normalize_diff(F.coalesce("diff_text", F.lit(""))), lambda norm: F.when(norm != "", F.md5(norm)))
+    keys, _ = scratch.keep(commits.select("seq", repo.alias("_repo"), sha.alias("_sha"), norm_md5.alias("norm_md5")))
     blank = F.col("_sha") == ""
     passed = keys.where(blank).select("seq", "norm_md5").union(
         keys.where(~blank).groupBy("_repo", "_sha").agg(F.min_by(F.struct("seq", "norm_md5"), "seq").alias("x")).select("x.seq", "x.norm_md5")
     )
     kept = _first(passed.where(F.col("norm_md5").isNotNull()), ["norm_md5"])
-    reasons = passed.select("seq", F.lit(True).alias("_passed")).join(kept.select("seq", F.lit(True).alias("_kept")), "seq", "left")
-    reason = F.when(F.col("_passed").isNull(), "sha").when(F.col("_kept").isNull(), "diff")
-    return keyed.drop("_repo", "_sha").join(reasons, "seq", "left").withColumn("drop_reason", reason).drop("_passed", "_kept")
+    marks = passed.select("seq", F.lit(1).alias("m")).union(kept.select("seq", F.lit(2).alias("m"))).groupBy("seq").agg(F.max("m").alias("_m"))
+    reason = F.when(F.col("_m").isNull(), "sha").when(F.col("_m") == 1, "diff")
+    reasons = keys.select("seq", "norm_md5").join(marks, "seq", "left").select("seq", "norm_md5", reason.alias("drop_reason"))
+    return commits.join(reasons, "seq", "left")
 
 
 def shingles(tokens: Column) -> Column:
@@ -112,29 +115,55 @@ def near_pairs(sigs: DataFrame, threshold: int = 3, bands: int = 4) -> DataFrame
 def near_duplicates(sigs: DataFrame, threshold: int = 3, bands: int = 4) -> DataFrame:
     """seq of the rows of ``sigs`` (seq, sig) that go, in first-seen order: those near an earlier row that stays.
 
-    Of equal signatures all but the first go at once. For the others, rounds settle what is certain: a row
-    goes once an earlier neighbour stays, and stays once all earlier neighbours go. A row that goes can't
-    drop another. Rounds are as many as the longest chain of neighbours; each is written.
+    Of equal signatures all but the first go at once. The others are walked through in order, each connected
+    group of neighbours in one task. Groups of more than GROUP_EDGES edges are settled in rounds instead: a row
+    goes once an earlier neighbour stays, and stays once all earlier neighbours go; each round is written. A row
+    that goes can't drop another.
     """
-    spark = sigs.sparkSession
     sigs, _ = scratch.keep(sigs.select("seq", "sig"))
     firsts = _first(sigs, ["sig"])
     edges, _ = scratch.keep(near_pairs(firsts, threshold, bands).select("lo", "hi"))
-    gone, old = scratch.keep(sigs.join(firsts.select("seq"), "seq", "left_anti").select("seq"))
-    results = [gone]
+    equal = sigs.join(firsts.select("seq"), "seq", "left_anti").select("seq")
+    group = components(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v"))).select(F.col("node").alias("lo"), "component")
+    grouped, _ = scratch.keep(edges.join(group, "lo"))
+    large = grouped.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_EDGES).select("component")
+    large, _ = scratch.keep(large)
+    return equal.union(_walked(grouped.join(large, "component", "left_anti"))).union(_in_rounds(grouped.join(large, "component", "left_semi").select("lo", "hi")))
+
+
+def _walked(edges: DataFrame) -> DataFrame:
+    """seq of the rows that go, of whole connected groups (component, lo, hi)."""
+
+    def run(batches):
+        now, gone = None, set()
+        for batch in batches:
+            out = []
+            for component, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("component", "lo", "hi")), strict=True):
+                if component != now:
+                    now, gone = component, set()
+                # by hi, so that whether lo goes is known
+                if lo not in gone and hi not in gone:
+                    gone.add(hi)
+                    out.append(hi)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["seq"])
+
+    return edges.repartition("component").sortWithinPartitions("component", "hi", "lo").mapInArrow(run, "seq long")
+
+
+def _in_rounds(edges: DataFrame) -> DataFrame:
+    spark = edges.sparkSession
+    edges, _ = scratch.keep(edges)
+    out = spark.createDataFrame([], "seq long")
     while edges.limit(1).count():
         # rows that have no open earlier neighbour stay; their later neighbours go
         stay = edges.select(F.col("lo").alias("seq")).distinct().join(edges.select(F.col("hi").alias("seq")).distinct(), "seq", "left_anti")
-        stay, stay_at = scratch.keep(stay)
+        stay, _ = scratch.keep(stay)
         drop, _ = scratch.keep(edges.join(stay.withColumnRenamed("seq", "lo"), "lo", "left_semi").select(F.col("hi").alias("seq")).distinct())
-        results.append(drop)
+        out = out.union(drop)
         settled = stay.union(drop)
         edges, _ = scratch.keep(
             edges.join(settled.withColumnRenamed("seq", "lo"), "lo", "left_anti").join(settled.withColumnRenamed("seq", "hi"), "hi", "left_anti").select("lo", "hi")
         )
-    out = results[0]
-    for r in results[1:]:
-        out = out.union(r)
     return out
 
 

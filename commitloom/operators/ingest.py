@@ -15,39 +15,40 @@ def parse_log(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.where(F.size(parts) == 3).select(*[c for c in lines.columns if c != column], *[parts[i].alias(n) for i, n in enumerate(("sha", "epoch", "subject"))])
 
 
-def numstat_files(shows: DataFrame, skip_binary: bool = True) -> DataFrame:
-    """sha, pos, additions, deletions, path of each file of a numstat text (sha, stat).
+def numstat_of(stat: Column, skip_binary: bool = True) -> Column:
+    """struct<files_changed, additions, deletions, top_exts> of a numstat text, within the row.
 
     Fields are between white space and the third goes to the line's end. Binary files, which have a dash
-    for a number, are skipped, or counted with no lines if not ``skip_binary``.
+    for a number, are skipped, or counted with no lines if not ``skip_binary``. Texts without a counted file,
+    null ones too, have zeros.
     """
-    one = shows.select("sha", F.posexplode(T.lines(F.col("stat"))).alias("pos", "line")).select("sha", "pos", F.split(F.regexp_replace("line", r"(?U)^\s+", ""), r"(?U)\s+", 3).alias("f"))
-    files = one.where(F.size("f") == 3).select("sha", "pos", F.col("f")[0].alias("a"), F.col("f")[1].alias("d"), F.col("f")[2].alias("path"))
-    binary = (F.col("a") == "-") | (F.col("d") == "-")
-    if skip_binary:
-        files = files.where(~binary)
-    return files.select("sha", "pos", *[F.coalesce(F.col(c).try_cast("long"), F.lit(0)).alias(n) for c, n in (("a", "additions"), ("d", "deletions"))], "path")
+    number = lambda x: F.coalesce(x.try_cast("long"), F.lit(0))
+    fields = F.transform(T.lines(F.coalesce(stat, F.lit(""))), lambda x: F.split(F.regexp_replace(x, r"(?U)^\s+", ""), r"(?U)\s+", 3))
+    counted = F.filter(fields, lambda f: (F.size(f) == 3) & (((F.get(f, 0) != "-") & (F.get(f, 1) != "-")) if skip_binary else F.lit(True)))
+    total = lambda fs, i: F.aggregate(fs, F.lit(0).cast("long"), lambda n, f: n + number(f[i]))
+    return T.let(
+        counted,
+        lambda fs: F.struct(
+            F.size(fs).cast("long").alias("files_changed"), total(fs, 0).alias("additions"), total(fs, 1).alias("deletions"),
+            F.coalesce(T.top_extensions(F.transform(fs, lambda f: f[2])), F.lit("")).alias("top_exts"),
+        ),
+    )
 
 
 def numstat(shows: DataFrame, skip_binary: bool = True) -> DataFrame:
-    """sha, files_changed, additions, deletions, top_exts of numstat texts; commits without a counted file have zeros."""
-    sums = numstat_files(shows, skip_binary).groupBy("sha").agg(
-        F.count("*").alias("n"), F.sum("additions").alias("a"), F.sum("deletions").alias("d"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "path"))), lambda x: x["path"]).alias("paths")
-    )
-    zero = lambda c, n: F.coalesce(c, F.lit(0)).cast("long").alias(n)
-    return shows.select("sha").join(sums, "sha", "left").select("sha", zero("n", "files_changed"), zero("a", "additions"), zero("d", "deletions"), F.coalesce(T.top_extensions(F.col("paths")), F.lit("")).alias("top_exts"))
+    """sha, files_changed, additions, deletions, top_exts of numstat texts (sha, stat), see ``numstat_of``."""
+    return shows.select("sha", numstat_of(F.col("stat"), skip_binary).alias("_s")).select("sha", "_s.*")
 
 
-def mined_records(log: DataFrame, shows: DataFrame, repo: str) -> DataFrame:
-    """Commit records of a local repository from its labelled log (sha, epoch, subject, label) and its shows (sha, stat, diff).
+def mined_records(shown: DataFrame, repo: Column) -> DataFrame:
+    """Commit records of local repositories from their labelled log and shows (sha, epoch, subject, label, stat, diff).
 
-    Commits without statistics or diff are dropped. Times are UTC.
+    Commits without a diff are dropped. Times are UTC. Nothing is shuffled.
     """
-    kept = log.join(numstat(shows), "sha").join(shows.where(F.coalesce("diff", F.lit("")) != "").select("sha", "diff"), "sha")
-    name = F.lit(repo)
+    kept = shown.where(F.coalesce("diff", F.lit("")) != "").withColumn("_s", numstat_of(F.col("stat"))).withColumn("_repo", repo)
     return kept.select(
-        F.concat(F.lit("local://"), name, F.lit("/"), "sha").alias("url"), F.lit("local").alias("owner"), name.alias("repo"), "sha", F.col("subject").alias("message"),
-        T.truncate(F.col("diff"), MAX_DIFF, "\n[TRUNCATED]").alias("diff_text"), "files_changed", "additions", "deletions", "top_exts", "label",
+        F.concat(F.lit("local://"), "_repo", F.lit("/"), "sha").alias("url"), F.lit("local").alias("owner"), F.col("_repo").alias("repo"), "sha", F.col("subject").alias("message"),
+        T.truncate(F.col("diff"), MAX_DIFF, "\n[TRUNCATED]").alias("diff_text"), "_s.files_changed", "_s.additions", "_s.deletions", "_s.top_exts", "label",
         F.date_format(F.timestamp_seconds(F.col("epoch").cast("long")), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("labeled_at"),
     )
 
@@ -56,11 +57,11 @@ def _record(rows: DataFrame, scheme: str, project: Column, paths: Column, files:
     """The record that both external sources share, from rows with _first and _diff."""
     sha = F.coalesce("hash", F.lit(""))
     label = T.conventional_label(F.col("_first"))
-    kept = rows.withColumn("_label", label).where(F.col("_label").isNotNull() & (T.strip(F.col("_diff")) != ""))
+    kept = rows.withColumn("_label", label).where(F.col("_label").isNotNull() & T.not_blank(F.col("_diff"))).withColumn("_lines", T.line_counts(F.col("_diff")))
     return kept.select(
         *[c for c in ("seq",) if c in rows.columns], F.concat(F.lit(f"{scheme}://"), project, F.lit("/"), sha).alias("url"), T.owner_of(project).alias("owner"), T.name_of(project).alias("repo"),
         sha.alias("sha"), F.col("_first").alias("message"), T.truncate(F.col("_diff")).alias("diff_text"), files.cast("long").alias("files_changed"),
-        F.size(T.added_lines(F.col("_diff"))).cast("long").alias("additions"), F.size(T.deleted_lines(F.col("_diff"))).cast("long").alias("deletions"),
+        F.col("_lines.added").alias("additions"), F.col("_lines.deleted").alias("deletions"),
         T.top_extensions(paths).alias("top_exts"), F.col("_label").alias("label"), date.alias("labeled_at"),
     )
 

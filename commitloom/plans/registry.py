@@ -72,6 +72,20 @@ def dedup_counters(spark, sf_dir):
     return dedup.deduplicate(commits(spark, sf_dir))[1]
 
 
+#: The walk in first-seen order over ``placed`` (seq, sig, i from 1): rows near a kept earlier one that shares a 16-bit band go.
+_WALK = """walk AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept, []::BIGINT[] AS gone
+  UNION ALL SELECT p.i, CASE WHEN near THEN kept ELSE list_append(kept, sig) END, CASE WHEN near THEN list_append(gone, p.seq) ELSE gone END
+  FROM (SELECT w.kept, w.gone, p.i, p.seq, p.sig, len(list_filter(w.kept, lambda k: bit_count(xor(k, p.sig)) <= THRESHOLD AND
+    (xor(k, p.sig) & 65535 = 0 OR (xor(k, p.sig) >> 16) & 65535 = 0 OR (xor(k, p.sig) >> 32) & 65535 = 0 OR (xor(k, p.sig) >> 48) & 65535 = 0))) > 0 AS near
+    FROM walk w JOIN placed p ON p.i = w.i + 1) p),
+gone AS (SELECT unnest(gone) AS seq FROM walk WHERE i = (SELECT max(i) FROM placed))"""
+
+
+def _sig_sql(source: str) -> str:
+    """CTEs that end in sigs (seq, sig) of the rows (doc_id, text) of a query."""
+    return _SIG.replace("FROM documents)", f"FROM ({source}))")
+
+
 @query()
 def dedup_with_near(spark, sf_dir):
     return dedup.deduplicate(commits(spark, sf_dir), near=True)[0].select("seq", "repo", "sha")
@@ -151,6 +165,20 @@ def duplicates_csv(spark, sf_dir):
     return spark.read.option("header", "true").option("escape", '"').schema("key string, value string, count long, line_numbers string").csv(path)
 
 
+ORACLES["dedup_with_near"] = (
+    _MARKED.replace("WITH commits", "WITH RECURSIVE commits")
+    + ", " + _sig_sql("SELECT seq AS doc_id, norm AS text FROM marked WHERE drop_reason IS NULL")
+    + ", placed AS (SELECT seq, sig, row_number() OVER (ORDER BY seq) AS i FROM sigs), " + _WALK.replace("THRESHOLD", "3")
+    + " SELECT seq, repo, sha FROM marked WHERE drop_reason IS NULL AND seq NOT IN (SELECT seq FROM gone)"
+)
+
+
+@query(f"WITH RECURSIVE {_SIG}, placed AS (SELECT seq, sig, row_number() OVER (ORDER BY seq) AS i FROM sigs), {_WALK.replace('THRESHOLD', '5')} SELECT seq FROM gone")
+def near_duplicates_five_bits(spark, sf_dir):
+    sigs = dedup.with_simhash(documents(spark, sf_dir).select(F.col("doc_id").alias("seq"), "text"), "text").select("seq", "sig")
+    return dedup.near_duplicates(sigs, threshold=5)
+
+
 # Parsing and projection
 
 
@@ -385,12 +413,16 @@ def _probs_sql() -> str:
 _PROBS = _probs_sql()
 
 
+def _lines(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.array(F.lit(0), F.lit(1), F.lit(2)).alias("indices"), F.array("l_quantity", "l_discount", "l_tax").alias("values"))
+
+
 def _probs(spark, sf_dir):
     import numpy as np
 
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.array(F.lit(0), F.lit(1), F.lit(2)).alias("indices"), F.array("l_quantity", "l_discount", "l_tax").alias("values"))
     model = scoring.Model(CLASSES, [scoring.Fold(*(np.array(x, float) for x in f)) for f in FOLDS])
-    return scoring.score(lines, model)
+    return scoring.score(_lines(spark, sf_dir), model)
 
 
 #: Of each line the two best classes, and a made-up label of a path rule.
@@ -464,6 +496,21 @@ def parity_check(spark, sf_dir):
     return evaluation.parity(events.select("event_id", "value"), events.select("event_id", F.floor("value").cast("double").alias("value")), "event_id", "value", 0.5)
 
 
+@query("SELECT count(*) AS n, 0.0::DOUBLE AS max_abs_diff, 0::BIGINT AS over_tolerance, true AS same_classes, true AS ok FROM (SELECT l_orderkey, l_linenumber, count(*) AS c FROM lineitem GROUP BY ALL) a JOIN lineitem USING (l_orderkey, l_linenumber) WHERE c = 1")
+def payload_parity(spark, sf_dir):
+    """Scores of the made-up model and of what its exported JSON makes of it, for lines with a number of their own."""
+    import json
+
+    import numpy as np
+
+    model = scoring.Model(CLASSES, [scoring.Fold(*(np.array(x, float) for x in f)) for f in FOLDS])
+    spec = features.Spec(["a", "b"], [1.0, 1.0], ["p"], ["e"], [0.0] * 4, [1.0] * 4)
+    _, again = payloads.import_payload(json.loads(json.dumps(payloads.export_payload(spec, model))))
+    lines = _lines(spark, sf_dir)
+    once = lines.join(lines.groupBy("seq").agg(F.count("*").alias("c")).where("c = 1").select("seq"), "seq")
+    return evaluation.verify_scores(scoring.score(once, model), scoring.score(once, again), model.classes, again.classes)
+
+
 @query("SELECT doc_id AS seq, lang AS label, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) <= round(count(*) OVER (PARTITION BY lang) * 0.1) AS is_test FROM documents")
 def stratified_split(spark, sf_dir):
     return evaluation.stratified_split(_langs(spark, sf_dir))

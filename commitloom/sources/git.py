@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
+from commitloom import scratch
 from commitloom.functions import text as T
 from commitloom.operators import ingest
 
 
+#: What a log line holds, and what stands between its fields.
+LOG_FORMAT, LOG_SIGN = "%H|~|%at|~|%s", "|~|"
+
+
 def run_git(arguments: list[str], folder: str) -> str | None:
     """Stripped output of a git command, undecodable bytes replaced; null if it fails."""
     try:
@@ -38,9 +43,9 @@ class _LogReader(DataSourceReader):
 
     def read(self, partition):
         most = ["-n", str(2 * self.limit)] if self.limit else []
-        log = run_git(["log", "--pretty=format:%H|~|%at|~|%s", "--no-merges", *most], partition.path) or ""
+        log = run_git(["log", f"--pretty=format:{LOG_FORMAT}", "--no-merges", *most], partition.path) or ""
         for seq, line in enumerate(log.splitlines()):
-            parts = line.split("|~|", 2)
+            parts = line.split(LOG_SIGN, 2)
             if len(parts) == 3:
                 yield partition.path, seq, *parts
 
@@ -87,10 +92,6 @@ def mine(spark: SparkSession, repos: list[str], limit: int | None = None) -> Dat
     log = read_log(spark, repos, limit).withColumn("label", T.conventional_label(F.col("subject"))).where("label is not null")
     if limit:
         log = log.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy("seq"))).where(F.col("_n") <= limit).drop("_n")
-    shown = with_shows(log.repartition("sha"))
-    out = None
-    for repo in repos:
-        mine_ = shown.where(F.col("path") == repo)
-        one = ingest.mined_records(mine_.select("sha", "epoch", "subject", "label"), mine_.select("sha", "stat", "diff"), repo.rstrip("/").rsplit("/", 1)[-1])
-        out = one if out is None else out.unionByName(one)
-    return out
+    # written, as no filter or second reading may run git again
+    shown, _ = scratch.keep(with_shows(log.repartition("path", "sha")))
+    return ingest.mined_records(shown, F.substring_index(F.regexp_replace("path", "/+$", ""), "/", -1))

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from commitloom.operators import dedup, quotas
@@ -26,7 +27,9 @@ def test_chain_keeps_both_ends(spark):
     assert sorted(r.seq for r in dedup.near_duplicates(df).collect()) == [2, 4] == greedy(sigs, 3)
 
 
-def test_near_duplicates_equal_the_walk(spark):
+@pytest.mark.parametrize("most", [1_000_000, 5])
+def test_near_duplicates_equal_the_walk(spark, monkeypatch, most):
+    monkeypatch.setattr(dedup, "GROUP_EDGES", most)
     r = random.Random(4)
     for threshold in (3, 6):
         base = [r.getrandbits(64) for _ in range(12)]
@@ -71,3 +74,11 @@ def test_quota_in_order(spark):
     assert [r.seq for r in quotas.apply_quota(df, 2, 3).orderBy("seq").collect()] == [1, 2, 4]
     assert quotas.apply_quota(df).count() == 5
     assert quotas.quota_counts(df, 2, 3).first() == (3, 1)
+
+
+def test_equal_seqs_of_blank_rows_and_reasons_of_all_columns(spark):
+    rows = [(1, None, None, None, "x"), (2, "r", "S", "+a", "y")]
+    df = dedup.with_drop_reason(spark.createDataFrame(rows, "seq long, repo string, sha string, diff_text string, more string"))
+    assert df.columns == ["seq", "repo", "sha", "diff_text", "more", "norm_md5", "drop_reason"]
+    assert sorted((r.seq, r.drop_reason) for r in df.collect()) == [(1, "diff"), (2, None)]
+    assert dedup.with_drop_reason(df.drop("norm_md5", "drop_reason").where("false")).count() == 0

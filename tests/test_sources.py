@@ -7,7 +7,8 @@ from pyspark.sql import types as T
 
 from commitloom.operators.features import Spec
 from commitloom.operators.scoring import Fold, Model, score
-from commitloom.sources import git, payload, records
+from commitloom.plans import train as training_run
+from commitloom.sources import external, git, payload, records
 
 SCHEMA = T.StructType([T.StructField("sha", T.StringType()), T.StructField("n", T.LongType())])
 
@@ -80,3 +81,45 @@ def test_payload_and_ties(spark, tmp_path):
     for broken in ({**made, "schema_version": 2}, {**made, "tfidf": {**made["tfidf"], "token_pattern": "("}}):
         with pytest.raises(ValueError):
             payload.import_payload(broken)
+
+
+def test_two_repositories_and_forks(spark, tmp_path):
+    first = tmp_path / "one"
+    first.mkdir()
+
+    def run(*args, cwd=first):
+        subprocess.run(["git", "-c", "user.name=a", "-c", "user.email=a@b", *args], cwd=cwd, check=True, capture_output=True)
+
+    run("init", "-q")
+    (first / "a b.py").write_text("x\n")
+    run("add", "-A")
+    run("commit", "-q", "-m", "docs: one")
+    run("clone", "-q", str(first), str(tmp_path / "two"), cwd=tmp_path)
+    rows = git.mine(spark, [str(first), str(tmp_path / "two") + "/"]).collect()
+    assert sorted(r.repo for r in rows) == ["one", "two"] and len({r.sha for r in rows}) == 1 and all((r.files_changed, r.additions) == (1, 1) for r in rows)
+
+
+def test_external_collections(spark, tmp_path):
+    rows = [{"message": "feat: a\nbody", "repo": "o/r", "hash": "1", "date": "2024", "mods": [{"old_path": "a.py", "new_path": "a.py", "diff": "+x\n-y\n+++ z"}]}, {"message": "no header", "mods": [{"new_path": "b"}]}, {"message": "fix: b", "mods": []}]
+    (tmp_path / "x.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    kept = external.import_external(spark, [str(tmp_path / "x.jsonl")], "commitchronicle", f"{tmp_path}/out").collect()
+    assert [(r.sha, r.label, r.additions, r.deletions, r.top_exts) for r in kept] == [("1", "feat", 1, 1, ".py")]
+    assert spark.read.json(f"{tmp_path}/out").count() == 1
+    other = spark.createDataFrame([("fix: c", "+a", "o/p", "9"), ("fix: d", " \n", "o/p", "8"), ("fix: e", "-a", "o/p", "7")], "commit_message string, patch string, project string, hash string")
+    other.coalesce(1).write.parquet(f"{tmp_path}/y.parquet")
+    some = external.import_external(spark, [f"{tmp_path}/y.parquet"], "commitbench", per_label=1).collect()
+    assert [(r.sha, r.label) for r in some] == [("9", "fix")]
+    with pytest.raises(ValueError):
+        external.read_external(spark, [], "other")
+
+
+def test_training_run(spark, tmp_path):
+    rows = [(i, ["feat", "fix", "docs"][i % 3], f"+++ b/{['src/a.py', 'lib/b.rs', 'docs/c.md'][i % 3]}\n+{['make new thing', 'repair broken thing', 'describe thing'][i % 3]}", "1", i % 5, 0) for i in range(90)]
+    df = spark.createDataFrame([*rows, (900, None, "+x", "1", 0, 0)], "seq long, label string, diff_text string, files_changed string, additions long, deletions long")
+    made = training_run.train(df, f"{tmp_path}/out", share=0.2)
+    report = {r.label: r for r in made.report.collect()}
+    assert report["accuracy"].precision == 1.0 and report["feat"].support == 6
+    assert made.confusion.where("y = 'fix'").first().asDict() == {"y": "fix", "docs": 0, "feat": 0, "fix": 6}
+    check = made.check.first()
+    assert check.n == 18 and check.ok and check.max_abs_diff <= 1e-9
+    assert (tmp_path / "out" / "labels.txt").read_text() == "docs\nfeat\nfix"
