@@ -21,12 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def blocks(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose texts hold about BLOCK_CHARS bytes."""
+def blocks(batch: pa.RecordBatch, column: str = "text", most: int = BLOCK_CHARS) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts hold about ``most`` bytes."""
     lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     at, total = 0, 0
     for i, n in enumerate(lengths):
-        if total + n > BLOCK_CHARS and i > at:
+        if total + n > most and i > at:
             yield batch.slice(at, i - at)
             at, total = i, 0
         total += n
@@ -39,13 +39,13 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
-def by_block(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], column: str = "text"):
+def by_block(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], column: str = "text", most: int = BLOCK_CHARS):
     """A function for mapInArrow: ``make`` is called once a task, what it returns once a block."""
 
     def run(batches):
         work = make()
         for batch in batches:
-            for block in blocks(batch, column):
+            for block in blocks(batch, column, most):
                 yield work(block)
 
     return run
@@ -63,10 +63,16 @@ def mix64(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def one_of_each(rows: DataFrame) -> DataFrame:
+    """Of rows of equal doc_id the one whose other columns sort first, nulls before all."""
+    rest = [c for c in rows.columns if c != "doc_id"]
+    return rows.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_rest")).select("doc_id", "_rest.*").select(*rows.columns)
+
+
 def sample(docs: DataFrame, n: int, salt: int = 0, each: Callable[[DataFrame], DataFrame] = lambda chosen: chosen) -> DataFrame:
-    """At most n rows of ``docs``: those whose doc_id has the smallest hashes. Only ids are sorted; n ids are broadcast.
+    """At most n rows of ``docs``: those whose doc_id has the smallest hashes, one of each. Only ids are sorted; n ids are broadcast.
 
     ``each`` may make smaller rows of those chosen, one of each, where they lie.
     """
     ids = docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64(F.lit(salt), "doc_id"), "doc_id").limit(n)
-    return each(docs.join(F.broadcast(ids), "doc_id", "left_semi")).limit(n)
+    return one_of_each(each(docs.join(F.broadcast(ids), "doc_id", "left_semi")))

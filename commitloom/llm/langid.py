@@ -27,6 +27,8 @@ LEXICON = 2_000
 #: The pipeline keeps a document whose language has this mean probability, or whose words, each in the language
 #: that it fits best, have a mean probability of LEAST_FIT: clean text of several languages has no large share of one.
 LEAST_SCORE, LEAST_FIT = 0.4, 0.7
+#: Characters of a block, about: marginals of all its words are held at a time.
+BLOCK_CHARS = 1_000_000
 #: Words of a document that are walked through one after another; the walks of different stretches run side by side.
 STRETCH = 32
 
@@ -262,4 +264,4 @@ def identify(docs: DataFrame, model: Model, fit: bool = False) -> DataFrame:
         return work
 
     schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*names).mapInArrow(common.by_block(make), schema.add("fit", "double") if fit else schema)
+    return docs.select(*names).mapInArrow(common.by_block(make, most=BLOCK_CHARS), schema.add("fit", "double") if fit else schema)

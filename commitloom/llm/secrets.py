@@ -169,7 +169,7 @@ def labelled_samples(docs: DataFrame, limit: int = SAMPLE) -> DataFrame:
     sample depends on the corpus and not on the order of its rows."""
     words = F.regexp_extract_all("text", F.lit(r"[A-Za-z]{2,16}"), F.lit(0))
     triples = let(words, lambda w: F.transform(F.sequence(F.lit(0), F.floor(F.size(w) / 3).cast("int")), lambda i: F.struct(F.get(w, 3 * i).alias("a"), F.get(w, 3 * i + 1).alias("b"), F.get(w, 3 * i + 2).alias("c"))))
-    chosen = sample(docs.where(F.col("text").isNotNull()), SAMPLE_DOCS).select(F.explode(triples).alias("x")).select("x.*").where("c is not null").distinct()
+    chosen = sample(docs.where(F.col("text").isNotNull()).select("doc_id", "text"), SAMPLE_DOCS).select(F.explode(triples).alias("x")).select("x.*").where("c is not null").distinct()
     return made_random(docs.sparkSession).union(made_ordinary(chosen.orderBy(F.xxhash64("a", "b", "c"), "a", "b", "c").limit(limit)))
 
 

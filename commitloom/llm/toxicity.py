@@ -92,12 +92,12 @@ def different_words(batches):
 def fit(docs: DataFrame, labels: DataFrame, salt: int = 9) -> Model:
     """A model of at most TRAIN_DOCS of the documents (doc_id, text) that ``labels`` (doc_id, toxic) covers.
 
-    Null texts, ids and labels are left out; of several labels of a document the largest counts. Whole texts
-    count, but only their different words reach the driver.
+    Null texts, ids and labels are left out; of several labels of a document the largest counts, and of several
+    texts of an id one. Whole texts count, but only their different words reach the driver.
     """
     chosen = common.sample(labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")), TRAIN_DOCS, salt)
     taught = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
-    rows = taught.mapInArrow(different_words, taught.schema).limit(TRAIN_DOCS).collect()
+    rows = common.one_of_each(taught.mapInArrow(different_words, taught.schema)).collect()
     return train([(r.text, int(r.toxic > 0)) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))])
 
 

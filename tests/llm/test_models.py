@@ -86,7 +86,7 @@ def test_toxicity_held_out(spark):
     label = {r.doc_id: r.toxic for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
     assert len(rows) == 1000 and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
     pairs = [(a.score, b.score) for a in rows if a.held_out and label.get(a.doc_id) == 1 for b in rows if b.held_out and label.get(b.doc_id) == 0]
-    assert np.mean([a > b for a, b in pairs]) >= 0.75
+    assert np.mean([a > b for a, b in pairs]) >= 0.97
 
 
 def test_toxicity_cases(spark):
@@ -121,3 +121,50 @@ def test_language_id_learns_from_whole_texts(spark):
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert langid.Predictor(model)(["le chat et chien", "el gato y perro"])[0] == ["fr", "es"]
     assert all(s > 0.8 for s in langid.Predictor(model)(["le chat et chien", "el gato y perro"])[1])
+
+
+def test_language_id_query_equals_a_plain_version(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    taught = sorted((r.doc_id, r.text, r.lang) for r in docs if r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2)
+    assert len(taught) <= langid.TRAIN_DOCS
+    spans = []
+    for doc_id, text, lang in taught:
+        words = wordgrams.words_of(text)
+        at = zlib.crc32(text.encode()) % max(1, len(words) - langid.TRAIN_WORDS + 1)
+        spans.append((doc_id, " ".join(words[at : at + langid.TRAIN_WORDS]), lang))
+    model = langid.train([(x, y) for _, x, y in sorted(spans)])
+    got = {r.doc_id: r for r in queries.op4_language_id(spark, DATA).collect()}
+    assert len(got) == len(docs)
+    for r in docs:
+        words = wordgrams.words_of(r.text or "")
+        if not words:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        mean = langid.forward_backward(model.emissions(words)[None], model.transitions)[0][0].mean(axis=0)
+        assert got[r.doc_id].lang_pred == model.langs[mean.argmax()] and abs(got[r.doc_id].score - mean.max()) < 1e-6
+
+
+def test_toxicity_query_equals_a_plain_version(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    label = {r.doc_id: r.toxic for r in spark.read.parquet(f"{DATA}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    taught = sorted((r.doc_id, " ".join(sorted(set(wordgrams.words_of(r.text)))), label[r.doc_id]) for r in docs if r.text is not None and r.doc_id in label)
+    model = toxicity.train([(x, y) for _, x, y in taught])
+    got = {r.doc_id: r for r in queries.op9_toxicity(spark, DATA).collect()}
+    weight = {}
+    for r in docs:
+        z = model.bias
+        for w in set(wordgrams.words_of(r.text or "")):
+            if w not in weight:
+                _, features = wordgrams.hashed([w], toxicity.SIZES, toxicity.BITS)
+                weight[w] = sum(float(model.weights[f, 0]) for f in features)
+            z += weight[w]
+        assert abs(got[r.doc_id].score - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-6
+
+
+def test_samples_do_not_depend_on_the_order_of_rows(spark):
+    from commitloom.llm import common
+
+    rows = [(i % 7, f"text {i}") for i in range(40)] + [(3, None), (None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = (sorted(map(tuple, common.sample(d, 5).collect())) for d in (df, df.orderBy(df.text.desc()).repartition(5)))
+    assert one == two and len(one) == 5 == len({i for i, _ in one})
