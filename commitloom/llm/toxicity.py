@@ -24,6 +24,10 @@ SIZES, BITS = (3, 4, 5), 18
 SMOOTH, STEPS, RATE, SHRINK = 20.0, 60, 0.05, 10.0
 
 
+#: Words whose features are made at once in training.
+WORDS_AT_ONCE = 10_000
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -44,9 +48,16 @@ def train(samples: list[tuple[str, int]]) -> Model:
         own = sorted(set(wordgrams.words_of(text)))
         docs.append(np.full(len(own), i, np.int32))
         words.append(np.array([names.setdefault(w, len(names)) for w in own], np.int32))
+    if not names:
+        return Model(np.zeros((2**BITS, 1), np.float32), bias)
     doc, word = np.concatenate(docs), np.concatenate(words)
-    of, feature = wordgrams.hashed(list(names), SIZES, BITS)
-    of, feature = of.astype(np.int32), feature.astype(np.int32)
+    # some words at a time, which bounds the driver's memory
+    every_word, parts = list(names), []
+    for at in range(0, len(every_word), WORDS_AT_ONCE):
+        of, feature = wordgrams.hashed(every_word[at : at + WORDS_AT_ONCE], SIZES, BITS)
+        parts.append((of.astype(np.int32) + np.int32(at), feature.astype(np.int32)))
+    of, feature = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del every_word, parts
     cells = 2**BITS
     ones = np.bincount(feature, np.bincount(word, y[doc], len(names))[of], cells)
     every = np.bincount(feature, np.bincount(word, minlength=len(names)).astype(float)[of], cells)

@@ -95,7 +95,7 @@ def test_toxicity_cases(spark):
     got = {(r.doc_id, r.text and r.text[:4]): r.score for r in toxicity.score(df, model).collect()}
     assert got[1, None] == got[2, ""] and got[3, "idio"] > 0.5 > got[3, "nice"]
     assert toxicity.score(df.where("false"), model).count() == 0
-    for samples in ([], [("a", 1)], [("a", 0), ("b", 0)]):
+    for samples in ([], [("a", 1)], [("a", 0), ("b", 0)], [("", 1), ("1", 0)]):
         assert 0 < toxicity.Scorer(toxicity.train(samples))(["a b"])[0] < 1
 
 
