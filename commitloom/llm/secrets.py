@@ -32,7 +32,7 @@ MARGIN = 0.35
 #: The share of each transition's probability that is its kind's (small letter to digit, and so on): no corpus has all pairs of letters that identifiers have.
 BY_KIND = 0.4
 #: Triples of words that ordinary strings are made of, at most, and numbers that random ones are.
-SAMPLE, RANDOM = 10_000, 6_000
+SAMPLE, RANDOM = 4_000, 3_000
 #: Documents whose words are taken for it, at most.
 SAMPLE_DOCS = 1_000
 
