@@ -16,6 +16,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -47,7 +48,7 @@ class SpaceCutEncoder:
         self.special = [t["content"] for t in data["added_tokens"]]
         self.ranked = by_rank(data)
         #: Ids of words after a space.
-        self.known: dict[str, bytes] = {}
+        self.known = common.Cache(common.CACHE_WORDS)
 
     @functools.cached_property
     def tokenizer(self):
@@ -59,42 +60,54 @@ class SpaceCutEncoder:
         made.no_padding()
         return made
 
-    def _slow(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _slow(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts without special tokens."""
         if self.ranked is None:
             return self._slow(texts)
-        return [np.array(self.ranked[0].encode_ordinary(t), "<u4").tobytes() for t in texts]
-
-    def _learn(self, words: list[str]) -> None:
-        joined = [w for w in words if self.JOINS.fullmatch(w)] if self.ranked else []
-        if joined:
+        return [np.array(self.ranked[0].encode_ordinary(t), np.int64) for t in texts]
+
+    def _made(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words after a space, one after the other, and how many each has."""
+        joins = np.array([self.ranked is not None and bool(self.JOINS.fullmatch(w)) for w in words], bool)
+        sizes = np.zeros(len(words), np.int64)
+        together = np.empty(0, np.int64)
+        if joins.any():
             encoding, lengths = self.ranked
-            ids = np.array(encoding.encode_ordinary(" " + " ".join(joined)), "<u4")
-            ends = np.cumsum([len(w.encode()) + 1 for w in joined])
-            at = np.searchsorted(np.cumsum(lengths[ids]), ends) + 1
-            self.known.update(zip(joined, [x.tobytes() for x in np.split(ids, at[:-1])], strict=True))
-        rest = [w for w in words if w not in self.known]
-        self.known.update(zip(rest, self._encode([" " + w for w in rest]), strict=True))
+            joined = [w for w, ok in zip(words, joins.tolist(), strict=True) if ok]
+            together = encoding.encode_to_numpy(" " + " ".join(joined)).astype(np.int64)
+            ends = np.cumsum(pc.binary_length(pa.array(joined, pa.large_string())).to_numpy() + 1)
+            sizes[joins] = np.diff(np.searchsorted(np.cumsum(lengths[together]), ends) + 1, prepend=0)
+        alone = self._encode([" " + w for w, ok in zip(words, joins.tolist(), strict=True) if not ok])
+        sizes[~joins] = [len(x) for x in alone]
+        flat, of = np.empty(sizes.sum(), np.int64), np.repeat(joins, sizes)
+        flat[of], flat[~of] = together, np.concatenate([np.empty(0, np.int64), *alone])
+        return flat, sizes
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > common.CACHE_WORDS:
-            self.known.clear()
         out: list[bytes] = [b""] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
+        cut: list[int] = []
         for i, text in enumerate(texts):
             if any(s in text for s in self.special):
-                out[i] = self._slow([text])[0]
+                out[i] = self._slow([text])[0].astype("<u4").tobytes()
             elif self.WHOLE.search(text):
-                out[i] = self._encode([text])[0]
+                out[i] = self._encode([text])[0].astype("<u4").tobytes()
             else:
-                cut.append((i, text.split(" ")))
-        known = self.known
-        self._learn(list({w for _, words in cut for w in words[1:] if w not in known}))
-        for (i, words), first in zip(cut, self._encode([words[0] for _, words in cut]), strict=True):
-            out[i] = first + b"".join([known[w] for w in words[1:]])
+                cut.append(i)
+        # a text's first word follows no space
+        words = pc.split_pattern(pa.array([texts[i] for i in cut], pa.large_string()), " ")
+        sizes = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, later = words.flatten(), np.ones(sizes.sum(), bool)
+        firsts = np.cumsum(sizes) - sizes
+        later[firsts] = False
+        kinds = flat.filter(pa.array(later)).dictionary_encode()
+        rows = self.known.rows(kinds.dictionary.to_pylist(), self._made)[kinds.indices.to_numpy()]
+        ids = self.known.ids(rows).astype("<u4").tobytes()
+        ends = (4 * np.cumsum(np.r_[0, self.known.sizes[rows]])[np.cumsum(sizes - 1)]).tolist()
+        for i, first, a, b in zip(cut, self._encode(flat.take(pa.array(firsts)).to_pylist()), [0, *ends], ends, strict=False):
+            out[i] = first.astype("<u4").tobytes() + ids[a:b]
         return out
 
 
