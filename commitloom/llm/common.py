@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -56,50 +55,6 @@ def record(schema: list[tuple[str, pa.DataType]], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, t) in zip(columns, schema, strict=True)], names=[n for n, _ in schema])
 
 
-def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The stretches of ``flat`` that begin at ``starts`` and have ``sizes`` elements, one after the other."""
-    ends = np.cumsum(sizes)
-    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)]
-
-
-class Cache:
-    """Ids by name, in one flat array. When it is full, names that nobody has asked for since it last was go."""
-
-    def __init__(self, most: int):
-        self.most = most
-        self.at: dict[str, int] = {}
-        self.flat, self.starts, self.sizes, self.used = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
-
-    def rows(self, names: list[str], make) -> np.ndarray:
-        """The rows of different names; ``make`` gives the ids of those not known, and how many each has."""
-        if len(self.at) > self.most:
-            self._age()
-        at = self.at
-        found = np.fromiter(map(at.get, names, itertools.repeat(-1)), np.int64, len(names))
-        missing = np.flatnonzero(found < 0)
-        if len(missing):
-            new = [names[i] for i in missing.tolist()]
-            flat, sizes = make(new)
-            found[missing] = np.arange(len(at), len(at) + len(new))
-            at.update(zip(new, found[missing].tolist(), strict=True))
-            self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(sizes) - sizes]
-            self.flat, self.sizes = np.r_[self.flat, flat.astype(np.int32)], np.r_[self.sizes, sizes]
-            self.used = np.r_[self.used, np.ones(len(new), bool)]
-        self.used[found] = True
-        return found
-
-    def _age(self) -> None:
-        keep = np.flatnonzero(self.used)[-(self.most // 2) :]
-        names = list(self.at)
-        self.at = {names[i]: k for k, i in enumerate(keep.tolist())}
-        self.flat = gathered(self.flat, self.starts[keep], self.sizes[keep])
-        self.sizes = self.sizes[keep]
-        self.starts, self.used = np.cumsum(self.sizes) - self.sizes, np.zeros(len(keep), bool)
-
-    def ids(self, rows: np.ndarray) -> np.ndarray:
-        return gathered(self.flat, self.starts[rows], self.sizes[rows])
-
-
 def mix64(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijection of 64-bit numbers that scatters them (splitmix64's finalizer)."""
     x = x.astype(np.uint64) + np.uint64((salt * 0x9E3779B97F4A7C15 + 0x9E3779B97F4A7C15) % 2**64)
