@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitloom.llm import ann, bpe, chat, fingerprint, langid, ngram_join, packing, secrets, toxicity, urlfilter
+from commitloom.llm import ann, bpe, chat, fingerprint, langid, lexical, mainhtml, ngram_join, packing, secrets, spelling, toxicity, urlfilter
 from commitloom.llm.common import table
 
 #: Fixed values of the URL query.
@@ -115,6 +115,18 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainhtml.extract(table(spark, sf_dir, "pages"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), every=97)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -133,5 +145,8 @@ QUERIES = {
     "op8_secret_scans": op8_secret_scans,
     "op9_toxicity": op9_toxicity,
     "op10_url_filters": op10_url_filters,
+    "op11_html_extraction": op11_html_extraction,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_lexical_search": op13_lexical_search,
 }
-ORACLES = {"op6_chat_formatting": OP6_SQL, "op10_url_filters": OP10_SQL}
+ORACLES = {"op6_chat_formatting": OP6_SQL, "op10_url_filters": OP10_SQL, "op13_lexical_search": lexical.SQL}
