@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from commitloom.operators.firsts import mark_first
+from commitloom.operators.scoring import Model
 
 
 def shuffled(seed: int, key: str) -> Column:
@@ -72,3 +74,38 @@ def verify_scores(left: DataFrame, right: DataFrame, left_classes: list[str], ri
     largest = F.when(F.size("a") == F.size("b"), F.array_max(F.zip_with("a", "b", lambda x, y: F.abs(x - y)))).otherwise(F.lit(float("inf")))
     found = both.select(F.coalesce(largest, F.lit(0.0)).alias("d")).agg(F.count("*").alias("n"), F.max("d").alias("max_abs_diff"), F.count_if(F.col("d") > tolerance).alias("over_tolerance"))
     return found.withColumn("same_classes", F.lit(left_classes == right_classes)).withColumn("ok", F.col("same_classes") & (F.col("over_tolerance") == 0))
+
+
+def at_minimum(rows: DataFrame, model: Model, tolerance: float = 1e-6) -> DataFrame:
+    """fold, label, taught, calibrated, share, at_minimum: how far from their minimum a model's coefficients are for its training rows.
+
+    ``rows``: (label, fold, indices, values). ``share`` is the length of the gradient of |w|^2 / 2 + sum of
+    cost * max(0, 1 - y * (x w))^2 at the coefficients, by its length at 0. Features of a row meet the
+    coefficients, one row for each feature, by a join.
+    """
+    spark, width = rows.sparkSession, model.folds[0].coef.shape[1]
+    weights = [(f, c, i, float(v)) for f, fold in enumerate(model.folds) for c in range(len(model.classes)) for i, v in [*((int(j), fold.coef[c][j]) for j in np.flatnonzero(fold.coef[c])), (width, fold.intercept[c])]]
+    w = spark.createDataFrame(weights, "f int, c int, idx int, w double")
+    label = F.array_position(F.array(*map(F.lit, model.classes)), F.col("label")).cast("int") - 1
+    one = F.struct(F.lit(width).alias("idx"), F.lit(1.0).alias("value"))
+    x = rows.withColumn("_id", F.monotonically_increasing_id()).select("_id", label.alias("_label"), "fold", F.explode(F.concat(F.array(one), F.arrays_zip(F.col("indices").alias("idx"), F.col("values").alias("value")))).alias("x")).select("_id", "_label", "fold", "x.*")
+    counts = rows.groupBy("label", "fold").agg(F.count("*").alias("n"))
+    sizes = counts.agg(F.sum("n")).first()[0]
+    ns = {(r.label, r.fold): r.n for r in counts.collect()}
+    per = []
+    for f in range(len(model.folds)):
+        n = sizes - sum(v for (_, g), v in ns.items() if g == f)
+        for c, name in enumerate(model.classes):
+            own = ns.get((name, f), 0)
+            taught = sum(v for (k, _), v in ns.items() if k == name) - own
+            per.append((f, c, name, taught, own, n / (len(model.classes) * taught) if taught else 0.0))
+    problems = F.broadcast(spark.createDataFrame(per, "f int, c int, label string, taught long, calibrated long, weight double"))
+    margin = x.join(F.broadcast(w), "idx").where("fold <> f").groupBy("_id", "_label", "f", "c").agg(F.sum(F.col("value") * F.col("w")).alias("margin"))
+    mine = F.col("_label") == F.col("c")
+    sign, cost = F.when(mine, 1.0).otherwise(-1.0), F.when(mine, F.col("weight")).otherwise(1.0)
+    pull = margin.join(problems, ["f", "c"]).select("_id", "f", "c", (-2 * sign * cost * F.greatest(F.lit(0.0), 1 - sign * F.col("margin"))).alias("here"), (-2 * sign * cost).alias("at_zero"))
+    sums = x.select("_id", "idx", "value").join(pull, "_id").groupBy("f", "c", "idx").agg(F.sum(F.col("value") * F.col("here")).alias("here"), F.sum(F.col("value") * F.col("at_zero")).alias("at_zero"))
+    both = sums.join(F.broadcast(w), ["f", "c", "idx"], "left").select("f", "c", (F.col("here") + F.coalesce("w", F.lit(0.0))).alias("here"), "at_zero")
+    lengths = both.groupBy("f", "c").agg(F.sqrt(F.sum(F.col("here") ** 2)).alias("here"), F.sqrt(F.sum(F.col("at_zero") ** 2)).alias("at_zero"))
+    share = F.coalesce(F.col("here") / F.nullif(F.col("at_zero"), F.lit(0.0)), F.lit(0.0))
+    return problems.join(lengths, ["f", "c"], "left").select(F.col("f").alias("fold"), "label", "taught", "calibrated", share.alias("share"), (share <= tolerance).alias("at_minimum"))

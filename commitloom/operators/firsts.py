@@ -28,3 +28,18 @@ def mark_first(df: DataFrame, group: str, bucket: Column, order: list[Column], q
     plain = rows.where(~split).select(*names, (F.col("_before") < F.col("_quota")).alias(out))
     place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
     return plain.union(rows.where(split).select(*names, (F.col("_before") + place <= F.col("_quota")).alias(out)))
+
+
+def with_place(df: DataFrame, group: str, bucket: Column, order: list[Column], out: str) -> DataFrame:
+    """``df`` with ``out``: a row's place (from 1) in its group by ``order``, each (group, bucket) sorted on its own.
+
+    ``bucket`` must never fall while ``order`` rises.
+    """
+    names = df.columns
+    rows = df.withColumn("_bucket", bucket)
+    counts = rows.groupBy(F.col(group).alias("_group"), F.col("_bucket").alias("_b")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_group").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_group", "_b", before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(*order))
+    placed = rows.withColumn("_place_in", place).join(counts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_bucket") == F.col("_b")))
+    return placed.select(*names, (F.col("_before") + F.col("_place_in")).alias(out))

@@ -1,138 +1,332 @@
 """Fitting the calibrated linear classifier: one-vs-rest support vectors in three folds, each with Platt scaling.
 
-A bounded sample of labelled rows is broadcast, and each task solves one class of one fold: the sums over
-rows that a step needs are sparse products, so no step is a job of its own.
+Labelled rows stay where they are, as sparse blocks in partitions. All problems, one for each class of each fold,
+are solved together by Newton steps: each pass over the blocks sums gradients, or products of directions with the
+second derivative, of all problems that are still open, by a tree of partial sums. What is sent to the tasks and
+what comes back are vectors of features for each problem, whose size is the model's and not the data's.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from commitloom import scratch
+from commitloom.operators.evaluation import shuffled
+from commitloom.operators.firsts import with_place
 from commitloom.operators.scoring import Fold, Model, Sparse
 
 #: Fixed value: folds of the calibration.
 FOLDS = 3
-#: Labelled rows that a model is fitted to, at most: those whose keys have the smallest hashes.
-MAX_ROWS = 20_000
+#: The seed of the order that deals rows out to folds.
+SEED = 42
 #: A solution's gradient is at most this share of the first one's.
-TOLERANCE = 1e-8
+TOLERANCE = 1e-9
+#: Elements of a block of rows, and of the blocks of a task, about (one row at least).
+BLOCK_VALUES, TASK_VALUES = 50_000, 1_000_000
+#: Partial sums that one task, or the driver, adds up, about.
+FAN = 16
 
 
-def fit(features: DataFrame, width: int, folds: int = FOLDS, max_iter: int = 100, key: str = "seq", max_rows: int = MAX_ROWS) -> Model:
-    """A model of rows (key, label, indices, values), of at most ``max_rows`` of them; null labels teach nothing.
+@dataclass
+class Block:
+    """Sparse rows with their labels (as numbers) and folds, by row and by feature. Every row has the intercept's 1 as its last element."""
 
-    Each class is told from the others by support vectors with the squared hinge loss, its own rows weighing
-    n / (classes * n of the class) of the fold's training rows. Folds deal out each class by hashes of the
-    key. A class that a fold's training or other rows don't have gets coefficients of 0 there. No rows give a
-    model without classes.
+    rows: Sparse
+    label: np.ndarray
+    fold: np.ndarray
+
+    def __post_init__(self):
+        self.order = np.argsort(self.rows.at, kind="stable")
+        self.features, self.starts = np.unique(self.rows.at[self.order], return_index=True)
+        self.owner = self.rows.owner[self.order]
+        self.value = self.rows.value[self.order][:, None]
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """(rows, problems): each row's products with vectors of features (features, problems)."""
+        return np.add.reduceat(w[self.rows.at] * self.rows.value[:, None], self.rows.starts[:-1], axis=0)
+
+    def back(self, r: np.ndarray, into: np.ndarray) -> None:
+        """Adds to (features, problems) the sum of the rows, each times its numbers of ``r`` (rows, problems)."""
+        into[self.features] += np.add.reduceat(r[self.owner] * self.value, self.starts, axis=0)
+
+
+def with_fold(rows: DataFrame, folds: int = FOLDS, key: str = "seq", seed: int = SEED) -> DataFrame:
+    """``rows`` (key, label and others) with fold: each label's different keys are dealt out in turn, in the order of a seeded shuffle.
+
+    Rows of one key and label share a fold.
     """
-    spark = features.sparkSession
-    mixed = F.xxhash64(F.col(key).cast("string"))
-    chosen = features.where("label is not null").select(mixed.alias("_h"), F.col(key).cast("string").alias("_k"), "label", "indices", "values")
-    table = chosen.orderBy("_h", "_k").limit(max_rows).toArrow()
-    classes, label = np.unique(np.array(table["label"].to_pylist(), object).astype(str), return_inverse=True)
-    classes = classes.tolist()
-    # rows are in the order of their hashes, so that a class's rows are dealt out by them
-    order = np.argsort(label, kind="stable")
-    place = np.empty(len(label), np.int64)
-    place[order] = np.arange(len(label)) - np.searchsorted(label[order], label[order])
-    sent = spark.sparkContext.broadcast((Sparse.of(table["indices"].combine_chunks(), table["values"].combine_chunks()), label, place % folds))
-    out = [Fold(np.zeros((len(classes), width)), *(np.zeros(len(classes)) for _ in range(3))) for _ in range(folds)]
-    if not classes:
-        return Model(classes, out)
-    schema = [("fold", pa.int64()), ("class", pa.int64()), ("coef", pa.list_(pa.float64())), ("rest", pa.list_(pa.float64()))]
+    keys = rows.select(key, "label").distinct()
+    mixed = shuffled(seed, key)
+    placed = with_place(keys, "label", F.conv(F.substring(mixed, 1, 3), 16, 10).cast("long"), [mixed, F.col(key)], "_place")
+    return rows.join(placed.select(key, "label", ((F.col("_place") - 1) % folds).cast("int").alias("fold")), [key, "label"])
+
+
+#: Columns of a row of blocks: where rows begin, places, values, labels, folds.
+_COLUMNS = {"starts": np.int64, "at": np.int32, "value": np.float64, "label": np.int32, "fold": np.int32}
+
+
+def _blocks(rows: DataFrame, classes: list[str], width: int) -> DataFrame:
+    """Rows (label, fold, indices, values) as a row of arrays for each block."""
+    place = {c: i for i, c in enumerate(classes)}
 
     def run(batches):
-        x, y, fold = sent.value
         for batch in batches:
-            for p in batch.column("id").to_pylist():
-                f, c = divmod(p, len(classes))
-                solved = one_against_rest(x, y, fold != f, c, len(classes), width, max_iter)
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip((f, c, *solved), schema, strict=True)], names=[n for n, _ in schema])
-
-    problems = spark.range(0, folds * len(classes), 1, folds * len(classes))
-    # folds * classes rows of as many numbers as there are features
-    for r in problems.mapInArrow(run, "fold long, class long, coef array<double>, rest array<double>").toLocalIterator():
-        fold = out[r["fold"]]
-        fold.coef[r["class"]] = r["coef"]
-        fold.intercept[r["class"]], fold.a[r["class"]], fold.b[r["class"]] = r["rest"]
-    return Model(classes, out)
-
-
-def one_against_rest(x: Sparse, label: np.ndarray, inside: np.ndarray, c: int, classes: int, width: int, max_iter: int) -> tuple[list[float], list[float]]:
-    """(coefficients, [intercept, a, b]) of class c, fitted to the rows ``inside`` and calibrated on the others."""
-    mine = label == c
-    if any(part.all() or not part.any() for part in (mine[inside], mine[~inside])):
-        return [0.0] * width, [0.0] * 3
-    train, n = x.taken(np.flatnonzero(inside)), np.count_nonzero(inside)
-    cost = np.where(mine[inside], n / (classes * np.count_nonzero(mine[inside])), 1.0)
-    w = squared_hinge(train, np.where(mine[inside], 1.0, -1.0), cost, width, max_iter)
-    margin = x.taken(np.flatnonzero(~inside)).times(w[:-1]) + w[-1]
-    return w[:-1].tolist(), [float(w[-1]), *platt(margin, mine[~inside])]
-
-
-def squared_hinge(x: Sparse, y: np.ndarray, cost: np.ndarray, width: int, max_iter: int = 100) -> np.ndarray:
-    """Coefficients, the intercept last, that minimize |w|^2 / 2 + sum of cost * max(0, 1 - y * (x w))^2.
+            sizes = batch.column("indices").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            label = np.array([place[x] for x in batch.column("label").to_pylist()], np.int32)
+            fold = batch.column("fold").to_numpy()
+            x = Sparse.of(batch.column("indices"), batch.column("values"))
+            # the intercept: one more element at the end of each row
+            at = np.insert(x.at, x.starts[1:], width)
+            value = np.insert(x.value, x.starts[1:], 1.0)
+            x = Sparse(np.r_[0, np.cumsum(sizes + 1)].astype(np.int64), at, value)
+            part = x.starts[:-1] // BLOCK_VALUES
+            cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)] if len(part) else np.zeros(1, int)
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                y = x.taken(np.arange(a, b))
+                columns = zip((y.starts, y.at, y.value, label[a:b], fold[a:b]), _COLUMNS.values(), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([np.asarray(c, t).tobytes()], pa.binary()) for c, t in columns], names=list(_COLUMNS))
+
+    return rows.mapInArrow(run, ", ".join(f"{c} binary" for c in _COLUMNS))
+
+
+def _block(batch: pa.RecordBatch, i: int) -> Block:
+    starts, at, value, label, fold = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in _COLUMNS.items())
+    return Block(Sparse(starts, at, value), label, fold)
+
+
+def _added(totals) -> list[np.ndarray] | None:
+    """The sum of what ``totals`` gives, lists of arrays in bytes."""
+    out = None
+    for total in totals:
+        arrays = pickle.loads(total)
+        out = arrays if out is None else [x + y for x, y in zip(out, arrays, strict=True)]
+    return out
+
+
+def summed(blocks: DataFrame, sent, part: Callable) -> list[np.ndarray]:
+    """The sum of ``part(sent, block, total)`` over all blocks; ``part`` adds to its total (None at first) and returns a list of arrays.
+
+    Every task gives one sum; FAN of them at a time are added in tasks, until the driver has about FAN to add.
+    """
+    spark, n = blocks.sparkSession, blocks.rdd.getNumPartitions()
+    shared = spark.sparkContext.broadcast(sent)
+    row = lambda total: pa.RecordBatch.from_arrays([pa.array([pickle.dumps(total)], pa.binary())], names=["total"])
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            for i in range(len(batch)):
+                total = part(shared.value, _block(batch, i), total)
+        if total is not None:
+            yield row(total)
+
+    def add(batches):
+        total = _added(x.as_py() for batch in batches for x in batch.column("total"))
+        if total is not None:
+            yield row(total)
+
+    totals = blocks.mapInArrow(run, "total binary")
+    while n > FAN:
+        n = -(-n // FAN)
+        totals = totals.repartition(n).mapInArrow(add, "total binary")
+    return _added(r.total for r in totals.toLocalIterator())
+
+
+@dataclass
+class Problems:
+    """For each problem its fold and class, and what its class's rows weigh in training."""
+
+    fold: np.ndarray
+    label: np.ndarray
+    weight: np.ndarray
+
+    def taken(self, some: np.ndarray) -> Problems:
+        return Problems(self.fold[some], self.label[some], self.weight[some])
+
+    def of(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, problems): 1 or -1, and the cost of each row in each problem (0 for those of its own fold)."""
+        mine = block.label[:, None] == self.label
+        return np.where(mine, 1.0, -1.0), np.where(block.fold[:, None] == self.fold, 0.0, np.where(mine, self.weight, 1.0))
+
+
+def _gradient(sent, block, total):
+    """Adds each problem's loss and gradient."""
+    problems, w = sent
+    loss, gradient = total or (np.zeros(w.shape[1]), np.zeros(w.shape))
+    y, cost = problems.of(block)
+    slack = np.maximum(0, 1 - y * block.times(w))
+    block.back(-2 * cost * y * slack, gradient)
+    return [loss + (cost * slack**2).sum(axis=0), gradient]
+
+
+def _bent(sent, block, total):
+    """Adds each problem's product of a direction with the second derivative."""
+    problems, w, direction = sent
+    (out,) = total or (np.zeros(w.shape),)
+    y, cost = problems.of(block)
+    block.back(2 * cost * (y * block.times(w) < 1) * block.times(direction), out)
+    return [out]
+
+
+def _shorter(sent, block, total):
+    """Adds each problem's losses at several lengths of a step."""
+    problems, w, step, lengths = sent
+    (out,) = total or (np.zeros((len(lengths), w.shape[1])),)
+    y, cost = problems.of(block)
+    at, along = block.times(w), block.times(step)
+    return [out + np.stack([(cost * np.maximum(0, 1 - y * (at + t * along)) ** 2).sum(axis=0) for t in lengths])]
+
+
+def support_vectors(blocks: DataFrame, problems: Problems, width: int, max_iter: int = 100) -> np.ndarray:
+    """(width + 1, problems): coefficients, the intercept last, that minimize |w|^2 / 2 + sum of cost * max(0, 1 - y * (x w))^2.
 
     The intercept is a coefficient of a feature that is 1 in every row. Newton steps, each solved by conjugate
-    gradients and shortened until it descends; the minimum is the only one.
+    gradients and shortened until it descends; the minimum is the only one. A problem that is solved takes no
+    part in further passes.
     """
-    forward = lambda v: x.times(v[:-1]) + v[-1]
-    back = lambda r: np.append(x.back(r, width), r.sum())
-    w = np.zeros(width + 1)
-    margin, first = forward(w), None
-    value = lambda w, slack: 0.5 * w @ w + cost @ slack**2
-    slack = np.maximum(0, 1 - y * margin)
+    square = lambda v: (v * v).sum(axis=0)
+    w = np.zeros((width + 1, len(problems.fold)))
+    loss, gradient = summed(blocks, (problems, w), _gradient)
+    value, gradient = loss + 0.5 * square(w), gradient + w
+    first = np.sqrt(square(gradient))
+    stuck = np.zeros(len(first), bool)
     for _ in range(max_iter):
-        gradient = w - 2 * back(cost * y * slack)
-        size = np.sqrt(gradient @ gradient)
-        first = size if first is None else first
-        if size <= TOLERANCE * first:
-            break
-        curve = 2 * cost * (slack > 0)
-        step, left = np.zeros_like(w), -gradient
-        direction, square = left.copy(), left @ left
-        while np.sqrt(square) > min(0.1, np.sqrt(size / first)) * size * 0.1:
-            bent = direction + back(curve * forward(direction))
-            far = square / (direction @ bent)
-            step += far * direction
-            left -= far * bent
-            square, before = left @ left, square
-            direction = left + square / before * direction
-        along, slope, now, t = forward(step), gradient @ step, value(w, slack), 1.0
-        while t > 1e-12:
-            there = np.maximum(0, 1 - y * (margin + t * along))
-            if value(w + t * step, there) <= now + 1e-4 * t * slope:
-                break
-            t /= 2
-        else:
+        size = np.sqrt(square(gradient))
+        open_ = np.flatnonzero((size > TOLERANCE * first) & ~stuck)
+        if not len(open_):
             break
-        w, margin = w + t * step, margin + t * along
-        slack = np.maximum(0, 1 - y * margin)
+        mine = problems.taken(open_)
+        step = _newton_step(blocks, mine, w[:, open_], gradient[:, open_], size[open_], first[open_])
+        slope, now = (gradient[:, open_] * step).sum(axis=0), value[open_]
+        t = np.ones(len(open_))
+        fits = lambda there, t: there <= now + 1e-4 * t * slope  # noqa: B023, E731
+        loss, next_ = summed(blocks, (mine, w[:, open_] + step), _gradient)
+        there = loss + 0.5 * square(w[:, open_] + step)
+        if not (good := fits(there, t)).all():
+            bad = np.flatnonzero(~good)
+            lengths = 0.5 ** np.arange(1, 41)
+            (losses,) = summed(blocks, (mine.taken(bad), w[:, open_[bad]], step[:, bad], lengths), _shorter)
+            losses += 0.5 * np.stack([square(w[:, open_[bad]] + s * step[:, bad]) for s in lengths])
+            right = losses <= now[bad] + 1e-4 * lengths[:, None] * slope[bad]
+            t[bad] = np.where(right.any(axis=0), lengths[right.argmax(axis=0)], 0)
+            stuck[open_[bad]] = t[bad] == 0
+            loss, next_ = summed(blocks, (mine, w[:, open_] + t * step), _gradient)
+            there = loss + 0.5 * square(w[:, open_] + t * step)
+        w[:, open_] += t * step
+        value[open_], gradient[:, open_] = there, next_ + w[:, open_]
     return w
 
 
-def platt(margin: np.ndarray, mine: np.ndarray, max_iter: int = 100) -> tuple[float, float]:
-    """a, b of p = 1 / (1 + exp(a * margin + b)), by Newton steps, with targets softened by the classes' sizes."""
-    high, low = np.count_nonzero(mine), np.count_nonzero(~mine)
-    target = np.where(mine, (high + 1) / (high + 2), 1 / (low + 2))
-    loss = lambda ab: (np.logaddexp(0, ab[0] * margin + ab[1]) - (1 - target) * (ab[0] * margin + ab[1])).sum()
-    ab = np.array([0.0, np.log((low + 1) / (high + 1))])
-    for _ in range(max_iter):
-        z = np.clip(ab[0] * margin + ab[1], -500, 500)
-        p = 1 / (1 + np.exp(z))
-        gradient = np.array([(target - p) @ margin, (target - p).sum()])
-        if np.abs(gradient).max() < 1e-10 * len(margin):
-            break
+def _newton_step(blocks: DataFrame, problems: Problems, w: np.ndarray, gradient: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Steps by conjugate gradients, one pass for each of their iterations; each problem ends by its own measure."""
+    step, left = np.zeros_like(w), -gradient
+    direction, square = left.copy(), (left * left).sum(axis=0)
+    enough = np.minimum(0.5, np.sqrt(size / first)) * size
+    while len(go := np.flatnonzero(np.sqrt(square) > enough)):
+        (bent,) = summed(blocks, (problems.taken(go), w[:, go], direction[:, go]), _bent)
+        bent += direction[:, go]
+        far = square[go] / (direction[:, go] * bent).sum(axis=0)
+        step[:, go] += far * direction[:, go]
+        left[:, go] -= far * bent
+        after = (left[:, go] ** 2).sum(axis=0)
+        direction[:, go] = left[:, go] + after / square[go] * direction[:, go]
+        square[go] = after
+    return step
+
+
+def _platt_sums(sent, block, total):
+    """Adds, of each problem, the loss and the derivatives of a sigmoid at (a, b): loss, two first ones, three second ones.
+
+    A block's margins come from the coefficients of each row's own fold.
+    """
+    ab, w, folds, high, low = sent
+    classes = ab.shape[1]
+    out = (total or (np.zeros((6, len(folds), classes)),))[0]
+    for i, f in enumerate(folds):
+        some = np.flatnonzero(block.fold == f)
+        if not len(some):
+            continue
+        margin = block.times(w[i])[some]
+        target = np.where(block.label[some][:, None] == np.arange(classes), (high[i] + 1) / (high[i] + 2), 1 / (low[i] + 2))
+        z = ab[i, :, 0] * margin + ab[i, :, 1]
+        p = 1 / (1 + np.exp(np.clip(z, -500, 500)))
         q = p * (1 - p) + 1e-12
-        step = np.linalg.solve(np.array([[q @ margin**2, q @ margin], [q @ margin, q.sum()]]) + 1e-12 * np.eye(2), -gradient)
-        t, now = 1.0, loss(ab)
-        while t > 1e-10 and loss(ab + t * step) > now + 1e-4 * t * (gradient @ step):
-            t /= 2
-        if t <= 1e-10:
+        out[:, i] += np.stack([x.sum(axis=0) for x in (np.logaddexp(0, z) - (1 - target) * z, (target - p) * margin, target - p, q * margin**2, q * margin, q)])
+    return [out]
+
+
+def platt(blocks: DataFrame, w: np.ndarray, high: np.ndarray, low: np.ndarray, max_iter: int = 100) -> np.ndarray:
+    """(folds, classes, 2): a, b of p = 1 / (1 + exp(a * margin + b)) of each problem, on the rows of its own fold.
+
+    ``w``: (folds, width + 1, classes); ``high`` and ``low``: (folds, classes) rows of a class, and other ones, in
+    each fold. Newton steps, targets softened by the classes' sizes.
+    """
+    folds = np.arange(len(w))
+    sums = lambda ab: summed(blocks, (ab, w, folds, high, low), _platt_sums)[0]
+    ab = np.stack([np.zeros(high.shape), np.log((low + 1) / (high + 1))], axis=2)
+    now, done = sums(ab), np.zeros(high.shape, bool)
+    for _ in range(max_iter):
+        done |= np.abs(now[1:3]).max(axis=0) < 1e-10 * (high + low)
+        if done.all():
             break
-        ab = ab + t * step
-    return float(ab[0]), float(ab[1])
+        second = np.stack([np.stack([now[3], now[4]], axis=-1), np.stack([now[4], now[5]], axis=-1)], axis=-2) + 1e-12 * np.eye(2)
+        first = np.stack([now[1], now[2]], axis=-1)
+        step = np.linalg.solve(second, -first[..., None])[..., 0]
+        slope, t = (first * step).sum(axis=-1), np.where(done, 0.0, 1.0)
+        while True:
+            there = sums(ab + t[..., None] * step)
+            bad = ~done & (there[0] > now[0] + 1e-4 * t * slope + 1e-13 * np.abs(now[0]))  # rounding aside
+            if not bad.any():
+                break
+            t[bad] /= 2
+            late = bad & (t <= 1e-10)
+            done |= late
+            t[late] = 0
+        ab, now = ab + t[..., None] * step, there
+    return ab
+
+
+def fit(features: DataFrame, width: int, folds: int = FOLDS, max_iter: int = 100, key: str = "seq") -> Model:
+    """A model of all rows (key, label, indices, values) of ``features``; null labels teach nothing.
+
+    Each class is told from the others by support vectors with the squared hinge loss, its own rows weighing
+    n / (classes * n of the class) of the fold's training rows. Folds deal out each class in the order of a
+    seeded shuffle of the keys. A class that a fold's training or other rows don't have gets coefficients of 0
+    there. Rows without features count by the intercept, rows without a key teach nothing, and no rows give a
+    model without classes. Every pass reads the written blocks, so a lost executor costs its tasks only.
+    """
+    spark = features.sparkSession
+    rows = features.where("label is not null").select(key, "label", "indices", "values")
+    elements = rows.agg(F.sum(F.coalesce(F.size("indices"), F.lit(0)) + 1)).first()[0] or 0
+    n = max(1, -(-elements // TASK_VALUES))
+    # the same rows in the same order however they came, so that sums don't depend on that
+    table, path = scratch.keep(with_fold(rows, folds, key).repartition(n, key).sortWithinPartitions(key, "label"))
+    counts = table.groupBy("label", "fold").agg(F.count("*").alias("n")).collect()  # one row a class and fold
+    classes = sorted({r["label"] for r in counts})
+    if not classes:
+        return Model([], [Fold(np.zeros((0, width)), *(np.zeros(0) for _ in range(3))) for _ in range(folds)])
+    held = np.zeros((folds, len(classes)))
+    for r in counts:
+        held[r["fold"], classes.index(r["label"])] = r["n"]
+    inside = held.sum(axis=0) - held
+    other = lambda x: x.sum(axis=1, keepdims=True) - x
+    solvable = (held > 0) & (other(held) > 0) & (inside > 0) & (other(inside) > 0)
+    at = np.argwhere(solvable)
+    w = np.zeros((folds, width + 1, len(classes)))
+    ab = np.zeros((folds, len(classes), 2))
+    if len(at):
+        weight = inside.sum(axis=1, keepdims=True) / (len(classes) * np.maximum(inside, 1))
+        blocks, blocks_path = scratch.keep(_blocks(table, classes, width))
+        solved = support_vectors(blocks, Problems(at[:, 0], at[:, 1], weight[at[:, 0], at[:, 1]]), width, max_iter)
+        w[at[:, 0], :, at[:, 1]] = solved.T
+        ab = np.where(solvable[..., None], platt(blocks, w, held, other(held), max_iter), 0.0)
+        scratch.drop(spark, blocks_path)
+    scratch.drop(spark, path)
+    return Model(classes, [Fold(w[f, :-1].T.copy(), w[f, -1].copy(), ab[f, :, 0].copy(), ab[f, :, 1].copy()) for f in range(folds)])

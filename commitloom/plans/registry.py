@@ -391,6 +391,24 @@ def fitted_scores(spark, sf_dir):
     return scoring.top_k(scoring.score(vectors, model), model.classes)
 
 
+@query(
+    f"""{_WITH}, l AS (SELECT seq, {_LABEL} AS label FROM commits), f AS (SELECT label, ((row_number() OVER (PARTITION BY label ORDER BY md5('42:' || seq), seq) - 1) % 3)::INT AS fold FROM l WHERE label IS NOT NULL)
+SELECT a.fold, b.label, count(*) FILTER (WHERE f.fold <> a.fold AND f.label = b.label) AS taught, count(*) FILTER (WHERE f.fold = a.fold AND f.label = b.label) AS calibrated, true AS at_minimum
+FROM f, (SELECT DISTINCT fold FROM f) a, (SELECT DISTINCT label FROM f) b GROUP BY a.fold, b.label"""
+)
+def fitted_minimum(spark, sf_dir):
+    """Of each class in each fold how many of its rows teach and calibrate, and whether the fitted coefficients are at their minimum.
+
+    They are if the gradient there, summed anew over exploded rows, is at most 1e-6 of the gradient at 0.
+    """
+    rows, _ = scratch.keep(_numbered(spark, sf_dir))
+    spec = features.fit(rows, max_terms=1_000, max_paths=100)
+    vectors, _ = scratch.keep(features.transform(rows, spec).join(rows.select("seq", "label"), "seq"))
+    model = training.fit(vectors, spec.width)
+    placed, _ = scratch.keep(training.with_fold(vectors))
+    return evaluation.at_minimum(placed, model).select("fold", "label", "taught", "calibrated", "at_minimum")
+
+
 # Scoring and evaluation: a small made-up model, so that SQL can follow the algebra
 
 #: Made-up values: weights of (quantity, discount, tax) for three classes in two folds, with sigmoids.

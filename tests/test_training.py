@@ -1,6 +1,9 @@
 import numpy as np
 
-from commitloom.operators import scoring, training
+from commitloom import scratch
+from commitloom.operators import features, scoring, training
+from commitloom.plans import registry
+from tests import plain_training
 
 
 def dense(x):
@@ -13,7 +16,7 @@ def test_squared_hinge_is_at_its_minimum():
     x = rng.normal(size=(80, 6)) * (rng.random((80, 6)) < 0.5)
     y = np.where(x[:, 0] + 0.5 * rng.normal(size=80) > 0, 1.0, -1.0)
     cost = np.where(y > 0, 1.7, 1.0)
-    w = training.squared_hinge(dense(x), y, cost, 6)
+    w = plain_training.squared_hinge(dense(x), y, cost, 6)
     full = np.c_[x, np.ones(80)]
     value = lambda v: 0.5 * v @ v + cost @ np.maximum(0, 1 - y * (full @ v)) ** 2
     gradient = w - 2 * full.T @ (cost * y * np.maximum(0, 1 - y * (full @ w)))
@@ -25,7 +28,7 @@ def test_platt_is_at_its_minimum():
     rng = np.random.default_rng(3)
     margin = rng.normal(size=200)
     mine = margin + rng.normal(size=200) > 0.5
-    a, b = training.platt(margin, mine)
+    a, b = plain_training.platt(margin, mine)
     high, low = mine.sum(), (~mine).sum()
     target = np.where(mine, (high + 1) / (high + 2), 1 / (low + 2))
     p = lambda a, b: 1 / (1 + np.exp(a * margin + b))
@@ -59,3 +62,51 @@ def test_fit_tells_classes_apart(spark):
         assert np.allclose(r["probs"], want, atol=1e-12)
     empty = training.fit(df.where("label = 'none'"), 5)
     assert empty.classes == [] and scoring.score(df, empty).first()["probs"] == []
+
+
+def held_against_plain(model, rows, folds=3):
+    """Whether a model's coefficients and sigmoids are those of the plain solvers, given rows (label, fold, indices, values)."""
+    width = model.folds[0].coef.shape[1]
+    starts = np.r_[0, np.cumsum([len(r["indices"]) for r in rows])].astype(np.int64)
+    x = scoring.Sparse(starts, np.concatenate([r["indices"] for r in rows]).astype(np.int64), np.concatenate([r["values"] for r in rows]).astype(float))
+    label = np.array([model.classes.index(r["label"]) for r in rows])
+    fold = np.array([r["fold"] for r in rows])
+    solved = 0
+    for f in range(folds):
+        for c in range(len(model.classes)):
+            coef, rest = plain_training.one_against_rest(x, label, fold != f, c, len(model.classes), width, 100)
+            got = model.folds[f]
+            assert np.abs(got.coef[c] - coef).max() < 1e-6
+            assert np.allclose([got.intercept[c], got.a[c], got.b[c]], rest, rtol=1e-5, atol=1e-6)
+            solved += rest != [0.0] * 3
+    return solved
+
+
+def test_fit_equals_plain_solvers_on_small_rows(spark, monkeypatch):
+    monkeypatch.setattr(training, "BLOCK_VALUES", 20)
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(150):
+        some = sorted(rng.choice(12, rng.integers(0, 6), replace=False).tolist())
+        rows.append((i, rng.choice(["a", "b", "c"], p=[0.6, 0.3, 0.1]), some, rng.normal(size=len(some)).tolist()))
+    rows += [(200, "once", [1], [1.0]), (201, None, [1], [9.0]), (3, rows[3][1], [2], [0.5]), (202, "a", None, None)]
+    df = spark.createDataFrame(rows, "seq long, label string, indices array<int>, values array<double>")
+    model = training.fit(df, 12)
+    dealt = training.with_fold(df.where("label is not null")).collect()
+    assert len(dealt) == len(rows) - 1 and len({r["fold"] for r in dealt if r["seq"] == 3}) == 1
+    plain = [{"label": r["label"], "fold": r["fold"], "indices": r["indices"] or [], "values": r["values"] or []} for r in dealt]
+    assert held_against_plain(model, plain) == 9 and (model.folds[0].coef[3] == 0).all()
+
+
+def test_fit_of_the_delivered_documents_equals_plain_solvers(spark):
+    rows, _ = scratch.keep(registry._numbered(spark, "/root/testdata/sf0.01"))
+    spec = features.fit(rows, max_terms=300, max_paths=50)
+    vectors, _ = scratch.keep(features.transform(rows, spec).join(rows.select("seq", "label"), "seq"))
+    model = training.fit(vectors, spec.width)
+    assert held_against_plain(model, training.with_fold(vectors).collect()) == 33
+
+
+def test_folds_deal_out_each_label_evenly(spark):
+    df = spark.range(1000).selectExpr("id AS seq", "CASE WHEN id % 10 = 0 THEN 'x' ELSE 'y' END AS label")
+    sizes = {(r.label, r.fold): r["count"] for r in training.with_fold(df).groupBy("label", "fold").count().collect()}
+    assert sorted(sizes.values()) == [33, 33, 34, 300, 300, 300]
