@@ -174,8 +174,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, tables: int = TABLES, prob
     rotations (None: as many as the number of vectors asks for). Vectors of very different lengths are hashed
     by direction and kept apart by length. After a first look of ``probes`` buckets a table at all lengths,
     every query looks at more buckets for those lengths at which vectors of a wider angle can still be among
-    the k nearest; where that comes to as many as one table has, it looks at all of that. ``second=False``
-    leaves that out, to measure what the first look finds.
+    the k nearest. Only a query that has found fewer than k, so that any vector counts, looks at all buckets of
+    one table. ``second=False`` leaves that out, to measure what the first look finds.
     """
     spark = vectors.sparkSession
     element = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
@@ -193,20 +193,21 @@ def search(vectors: DataFrame, is_query, k: int = 20, tables: int = TABLES, prob
     longest = {r.norm: r.length for r in hashed.groupBy("norm").agg(F.max("length").alias("length")).collect()}
     if not longest:
         return spark.createDataFrame([], out)
-    # buckets of several blocks: at most tables * vectors / BLOCK rows
-    large = hashed.select("norm", F.posexplode("bucket").alias("t", "b")).groupBy("t", "b", "norm").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
-    blocks = {(r.t, r.b, r.norm): -(-r.n // BLOCK) for r in large.toLocalIterator()}
+    # buckets of several blocks, and how many: joined, as they grow with the vectors
+    large, _ = scratch.keep(
+        hashed.select("norm", F.posexplode("bucket").alias("t", "b")).groupBy("t", "b", "norm").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("t", "b", "norm", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    )
     every = (2 * size) ** hashes
     # turned vectors of length 1 are longer by this than those that the costs are counted for
     scale = np.sqrt(size) / size**1.5
     reach = reaches(size, tables, hashes)
 
     def cells(batch, row, key):
-        """The batch's rows beside the keys of blocks that they look at."""
+        """The batch's rows beside the buckets that they look at."""
         for at in range(0, len(row), 20_000):
             part = batch.take(pa.array(row[at : at + 20_000]))
-            t, b, norm, block = zip(*key[at : at + 20_000], strict=True)
-            yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("embedding"), pa.array(t, pa.int32()), pa.array(b, pa.int64()), pa.array(norm, pa.int32()), pa.array(block, pa.int32())], names=["vec_id", "embedding", "t", "b", "norm", "block"])
+            t, b, norm = zip(*key[at : at + 20_000], strict=True)
+            yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("embedding"), pa.array(t, pa.int32()), pa.array(b, pa.int64()), pa.array(norm, pa.int32())], names=["vec_id", "embedding", "t", "b", "norm"])
 
     def looked(batch):
         """(lengths, and of each table the costs of the axes of each of its rotations) of a batch of queries."""
@@ -222,9 +223,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, tables: int = TABLES, prob
                 for i in range(len(batch)):
                     for b in cheapest([c[i] for c in each], np.inf, probes)[0].tolist():
                         for norm in longest:
-                            for block in range(blocks.get((t, b, norm), 1)):
-                                row.append(i)
-                                key.append((t, b, norm, block))
+                            row.append(i)
+                            key.append((t, b, norm))
             yield from cells(batch, row, key)
 
     def second_look(batches):
@@ -241,7 +241,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, tables: int = TABLES, prob
                         most[norm] = reach[int(cosine * COSINES)] if cosine > 0 else np.inf
                 finite = [m for m in most.values() if m < np.inf]
                 found = [cheapest([c[i] for c in each], max(finite)) if finite else (np.empty(0, np.int64), np.empty(0)) for each in tables_of]
-                whole = {norm for norm, m in most.items() if m == np.inf or sum(np.searchsorted(cost, m, "right") for _, cost in found) >= every}
+                whole = {norm for norm, m in most.items() if m == np.inf}
                 for t, (buckets, cost) in enumerate(found):
                     for norm, m in most.items():
                         if norm in whole:
@@ -249,15 +249,12 @@ def search(vectors: DataFrame, is_query, k: int = 20, tables: int = TABLES, prob
                         else:
                             # the first so many have been looked at
                             chosen = buckets[probes : np.searchsorted(cost, m, "right")].tolist()
-                        for b in chosen:
-                            for block in range(blocks.get((t, b, norm), 1)):
-                                row.append(i)
-                                key.append((t, b, norm, block))
+                        row += [i] * len(chosen)
+                        key += [(t, b, norm) for b in chosen]
             yield from cells(batch, row, key)
 
-    sizes = F.element_at(F.from_json(F.lit("{" + ",".join(f'"{t}/{b}/{n}":{c}' for (t, b, n), c in blocks.items()) + "}"), "map<string,int>"), F.concat_ws("/", "t", "b", "norm"))
     queries = hashed.where(is_query).select("vec_id", "embedding")
-    base = places.withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding"), F.coalesce(sizes, F.lit(1)).cast("long")).cast("int"))
+    base = places.join(large, ["t", "b", "norm"], "left").withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding"), F.coalesce("blocks", F.lit(1)).cast("long")).cast("int"))
     key = ["t", "b", "norm", "block"]
 
     def near(qx, qi, cx, ci):
@@ -319,7 +316,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, tables: int = TABLES, prob
 
     def candidates(asked: DataFrame, look) -> DataFrame:
         """query_id, vec_id, score of what lies in the blocks that ``look`` chooses."""
-        asked = asked.mapInArrow(look, f"vec_id long, embedding array<{element}>, t int, b long, norm int, block int")
+        asked = asked.mapInArrow(look, f"vec_id long, embedding array<{element}>, t int, b long, norm int").join(large, ["t", "b", "norm"], "left")
+        asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)).cast("int") - 1)))
         both = asked.withColumn("side", F.lit(0)).select(*key, "side", "vec_id", "embedding").union(base.withColumn("side", F.lit(1)).select(*key, "side", "vec_id", "embedding"))
         dealt = both.repartition(n, *key).sortWithinPartitions(*key)
         return dealt.mapInArrow(rerank, "query_id long, vec_id long, score double")

@@ -109,7 +109,7 @@ def test_recall_of_mixed_lengths(spark, sigma):
     assert recall(spark, x.astype(np.float32), 200) >= 0.9
 
 
-@pytest.mark.parametrize("sf, step", [("sf0.1", 20), ("check_s", 100)])
+@pytest.mark.parametrize("sf, step", [("sf0.01", 20), ("sf0.1", 20)])
 def test_recall_of_the_delivered_tables(spark, sf, step):
     t = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").orderBy("vec_id").toPandas()
     assert recall(spark, np.stack(t.embedding), step) >= 0.9
