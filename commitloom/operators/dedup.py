@@ -35,18 +35,30 @@ def with_drop_reason(commits: DataFrame) -> DataFrame:
     and one whose normalized diff was seen among those that passed: a row that goes here has claimed its
     sha all the same. Only keys, not diffs, are shuffled to find the first ones.
     """
+    keys, _ = scratch.keep(keys_of(commits))
+    return commits.join(reasons(keys), "seq", "left")
+
+
+def keys_of(commits: DataFrame) -> DataFrame:
+    """seq, _repo, _sha and norm_md5 (null for an empty normalized diff) of ``commits``."""
     sha, repo = T.strip(F.coalesce("sha", F.lit(""))), T.strip(F.coalesce("repo", F.lit("")))
     norm_md5 = T.let(T.normalize_diff(F.coalesce("diff_text", F.lit(""))), lambda norm: F.when(norm != "", F.md5(norm)))
-    keys, _ = scratch.keep(commits.select("seq", repo.alias("_repo"), sha.alias("_sha"), norm_md5.alias("norm_md5")))
+    return commits.select("seq", repo.alias("_repo"), sha.alias("_sha"), norm_md5.alias("norm_md5"))
+
+
+def reasons(keys: DataFrame, known_shas: DataFrame | None = None, known_diffs: DataFrame | None = None) -> DataFrame:
+    """seq, norm_md5, drop_reason of rows of ``keys_of``; shas (_repo, _sha) and diffs (norm_md5) that are known count as seen before."""
     blank = F.col("_sha") == ""
-    passed = keys.where(blank).select("seq", "norm_md5").union(
-        keys.where(~blank).groupBy("_repo", "_sha").agg(F.min_by(F.struct("seq", "norm_md5"), "seq").alias("x")).select("x.seq", "x.norm_md5")
-    )
+    firsts = keys.where(~blank).groupBy("_repo", "_sha").agg(F.min_by(F.struct("seq", "norm_md5"), "seq").alias("x"))
+    if known_shas is not None:
+        firsts = firsts.join(known_shas, ["_repo", "_sha"], "left_anti")
+    passed = keys.where(blank).select("seq", "norm_md5").union(firsts.select("x.seq", "x.norm_md5"))
     kept = _first(passed.where(F.col("norm_md5").isNotNull()), ["norm_md5"])
+    if known_diffs is not None:
+        kept = kept.join(known_diffs, "norm_md5", "left_anti")
     marks = passed.select("seq", F.lit(1).alias("m")).union(kept.select("seq", F.lit(2).alias("m"))).groupBy("seq").agg(F.max("m").alias("_m"))
     reason = F.when(F.col("_m").isNull(), "sha").when(F.col("_m") == 1, "diff")
-    reasons = keys.select("seq", "norm_md5").join(marks, "seq", "left").select("seq", "norm_md5", reason.alias("drop_reason"))
-    return commits.join(reasons, "seq", "left")
+    return keys.select("seq", "norm_md5").join(marks, "seq", "left").select("seq", "norm_md5", reason.alias("drop_reason"))
 
 
 def shingles(tokens: Column) -> Column:

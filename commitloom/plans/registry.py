@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from commitloom import scratch
 from commitloom.functions import diff_features as D
 from commitloom.functions import rules
 from commitloom.functions import text as T
-from commitloom.operators import dedup, evaluation, features, ingest, quotas, scoring, training
+from commitloom.operators import dedup, evaluation, features, incremental, ingest, quotas, scoring, training
 from commitloom.plans.commit_view import DUCKDB, commits
 from commitloom.schema import LABELS
 from commitloom.sources import payload as payloads
@@ -65,6 +67,20 @@ def dedup_reasons(spark, sf_dir):
     return dedup.with_drop_reason(commits(spark, sf_dir)).select("seq", "norm_md5", "drop_reason")
 
 
+@query(f"{_MARKED} SELECT seq, md5(norm) AS norm_md5, drop_reason FROM marked")
+def incremental_reasons(spark, sf_dir):
+    """The same in three batches, each held against the index of keys that those before it left."""
+    rows = commits(spark, sf_dir)
+    least, most = rows.agg(F.min("seq"), F.max("seq")).first()
+    path = f"{scratch.folder(spark)}/seen_{uuid.uuid4().hex}"
+    third = F.least(F.floor((F.col("seq") - least) * 3 / max(most - least, 1)), F.lit(2)) if least is not None else F.lit(0)
+    out = None
+    for i in range(3):
+        marked, _ = scratch.keep(incremental.deduplicate_batch(rows.where(third == i), incremental.SeenKeys(spark, path), str(i)).select("seq", "norm_md5", "drop_reason"))
+        out = marked if out is None else out.union(marked)
+    return out
+
+
 @query(
     f"{_MARKED} SELECT count(*) AS total, count(*) FILTER (WHERE drop_reason = 'sha') AS dropped_sha, count(*) FILTER (WHERE drop_reason = 'diff') AS dropped_diff, 0::BIGINT AS dropped_near, count(*) FILTER (WHERE drop_reason IS NULL) AS kept FROM marked"
 )
