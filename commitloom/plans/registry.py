@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from commitloom import scratch
 from commitloom.functions import diff_features as D
 from commitloom.functions import rules
 from commitloom.functions import text as T
-from commitloom.operators import dedup, evaluation, features, incremental, ingest, quotas, scoring, training
+from commitloom.operators import dedup, evaluation, features, incremental, ingest, quotas, scoring, stages, training
 from commitloom.plans.commit_view import DUCKDB, commits
 from commitloom.schema import LABELS
 from commitloom.sources import payload as payloads
@@ -407,6 +408,25 @@ def fitted_scores(spark, sf_dir):
     return scoring.top_k(scoring.score(vectors, model), model.classes)
 
 
+@query(
+    f"""{_WITH} SELECT 'features' AS stage, count(*) AS n, 0::BIGINT AS differing FROM commits WHERE {_LABEL} IS NOT NULL
+UNION ALL SELECT 'classifier', count(*), 0::BIGINT FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)"""
+)
+def persisted_stages(spark, sf_dir):
+    """Rows that saved and loaded stages of a pipeline make other than the functions do: features at their default sizes, and the made-up classifier."""
+    path = f"{scratch.folder(spark)}/stages_{uuid.uuid4().hex}"
+    rows, _ = scratch.keep(_numbered(spark, sf_dir))
+    lines, _ = scratch.keep(_lines(spark, sf_dir).dropDuplicates(["seq"]))
+    fitted = stages.DiffFeatures().fit(rows)
+    for name, model in (("features", fitted), ("classifier", stages.CalibratedSVCModel(_made_up()))):
+        PipelineModel([model]).save(f"{path}/{name}")
+    load = lambda name: PipelineModel.load(f"{path}/{name}")
+    x = features.transform(rows, fitted.spec).join(load("features").transform(rows).select("seq", F.col("indices").alias("i"), F.col("values").alias("v")), "seq", "full")
+    p = scoring.score(lines, _made_up()).join(load("classifier").transform(lines).select("seq", F.col("probs").alias("p")), "seq", "full")
+    count = lambda df, name, same: df.agg(F.count("*").alias("n"), F.count_if(~F.coalesce(same, F.lit(False))).alias("differing")).select(F.lit(name).alias("stage"), "n", "differing")
+    return count(x, "features", (F.col("indices") == F.col("i")) & (F.col("values") == F.col("v"))).union(count(p, "classifier", F.col("probs") == F.col("p")))
+
+
 @query(
     f"""{_WITH}, l AS (SELECT seq, {_LABEL} AS label FROM commits), f AS (SELECT label, ((row_number() OVER (PARTITION BY label ORDER BY md5('42:' || seq), seq) - 1) % 3)::INT AS fold FROM l WHERE label IS NOT NULL)
 SELECT a.fold, b.label, count(*) FILTER (WHERE f.fold <> a.fold AND f.label = b.label) AS taught, count(*) FILTER (WHERE f.fold = a.fold AND f.label = b.label) AS calibrated, true AS at_minimum
@@ -452,11 +472,14 @@ def _lines(spark, sf_dir):
     return lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.array(F.lit(0), F.lit(1), F.lit(2)).alias("indices"), F.array("l_quantity", "l_discount", "l_tax").alias("values"))
 
 
-def _probs(spark, sf_dir):
+def _made_up():
     import numpy as np
 
-    model = scoring.Model(CLASSES, [scoring.Fold(*(np.array(x, float) for x in f)) for f in FOLDS])
-    return scoring.score(_lines(spark, sf_dir), model)
+    return scoring.Model(CLASSES, [scoring.Fold(*(np.array(x, float) for x in f)) for f in FOLDS])
+
+
+def _probs(spark, sf_dir):
+    return scoring.score(_lines(spark, sf_dir), _made_up())
 
 
 #: Of each line the two best classes, and a made-up label of a path rule.

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from commitloom import scratch
-from commitloom.operators import evaluation, features, scoring, training
+from commitloom.operators import evaluation, features, scoring, stages, training
 from commitloom.sources import payload, records
 
 
@@ -25,7 +26,7 @@ def train(rows: DataFrame, out: str, share: float = 0.1, seed: int = 42, key: st
     """Fit a model of commit rows (key, label, diff_text, counts of files and lines) and save it under ``out``.
 
     ``share`` of each label, by hashes of seed and key, is held out and gives the report and the confusion
-    matrix. ``out`` gets the payload (model) and the sorted labels (labels.txt); ``check`` holds the saved
+    matrix. ``out`` gets the fitted stages (pipeline), the payload (model) and the sorted labels (labels.txt); ``check`` holds the saved
     model's scores of the held-out rows against the fitted one's. Rows without a label are left out.
     ``sizes`` are those of ``features.fit``.
     """
@@ -39,6 +40,8 @@ def train(rows: DataFrame, out: str, share: float = 0.1, seed: int = 42, key: st
     held = vectors.where("is_test")
     probs, _ = scratch.keep(scoring.score(held, model, key))
     pairs = held.select(key, F.col("label").alias("y")).join(scoring.predict(probs, model.classes, key).withColumnRenamed("label", "pred"), key).select("y", "pred")
+    fitted = PipelineModel([stages.DiffFeaturesModel(spec).setParams(keyCol=key), stages.CalibratedSVCModel(model).setParams(keyCol=key)])
+    fitted.write().overwrite().save(f"{out}/pipeline")
     payload.write_payload(spark, payload.export_payload(spec, model), f"{out}/model")
     records.write_labels(labelled, f"{out}/labels.txt")
     _, saved = payload.import_payload(payload.read_payload(spark, f"{out}/model"))
