@@ -590,6 +590,34 @@ def jsonl_round_trip(spark, sf_dir):
     return spark.read.schema(rows.schema).json(path)
 
 
+def _documents_of(rows, before, between, after):
+    """Lines of one document for each partition: every row's JSON, and what stands around and between them."""
+    import pyarrow as pa
+
+    def run(batches):
+        first = True
+        for batch in batches:
+            lines = batch.column("value").to_pylist()
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array([(before if first else "") + (between.join(lines) if first else between + between.join(lines))])], names=["value"])
+                first = False
+        if not first:
+            yield pa.RecordBatch.from_arrays([pa.array([after])], names=["value"])
+
+    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).repartition(4).mapInArrow(run, "value string")
+
+
+@query(f"{_WITH} SELECT seq, repo, sha, message FROM commits")
+def json_array_records(spark, sf_dir):
+    """Commits written as files that are arrays, objects with an array under data, and broken arrays with a record a line, all read at once."""
+    path = f"{scratch.folder(spark)}/json_arrays_{uuid.uuid4().hex}"
+    rows = commits(spark, sf_dir).select(F.col("seq").alias("n"), "repo", "sha", "message")
+    for i, around in enumerate((("[", ",", "]"), ('{"meta": [1, 2], "data": [', ", ", ']}'), ("[\n", "\n", "\n"))):
+        _documents_of(rows.where(F.col("n") % 3 == i), *around).write.text(f"{path}/{i}")
+    files = sorted(f for i in range(3) for f in spark.read.text(f"{path}/{i}").inputFiles())
+    return records.read_records(spark, files, rows.schema).select(F.col("n").alias("seq"), "repo", "sha", "message")
+
+
 def _streamed(spark, sf_dir, make, mode="append"):
     """What a stream over the documents, each bucket a file, writes until its input ends."""
     base = f"{scratch.folder(spark)}/stream_{make.__name__}_{abs(hash((sf_dir, mode))) % 10**9}"
