@@ -58,19 +58,20 @@ def confusion(pairs: DataFrame, labels: list[str]) -> DataFrame:
 
 
 def parity(left: DataFrame, right: DataFrame, key: str, value: str, tolerance: float = 1e-6) -> DataFrame:
-    """n, max_abs_diff, over_tolerance, ok of two versions of a value."""
-    both = left.select(key, F.col(value).alias("a")).join(right.select(key, F.col(value).alias("b")), key)
+    """n, max_abs_diff, over_tolerance, ok of two versions of a value; a row that one side lacks is over the tolerance."""
+    both = left.select(key, F.col(value).alias("a"), F.lit(1).alias("_left")).join(right.select(key, F.col(value).alias("b"), F.lit(1).alias("_right")), key, "full")
     difference = F.abs(F.col("a") - F.col("b"))
-    return both.agg(F.count("*").alias("n"), F.max(difference).alias("max_abs_diff"), F.count_if(difference > tolerance).alias("over_tolerance")).withColumn("ok", F.col("over_tolerance") == 0)
+    over = (difference > tolerance) | F.col("_left").isNull() | F.col("_right").isNull()
+    return both.agg(F.count("*").alias("n"), F.max(difference).alias("max_abs_diff"), F.count_if(over).alias("over_tolerance")).withColumn("ok", F.col("over_tolerance") == 0)
 
 
 def verify_scores(left: DataFrame, right: DataFrame, left_classes: list[str], right_classes: list[str], key: str = "seq", tolerance: float = 1e-6) -> DataFrame:
     """n, max_abs_diff, over_tolerance, same_classes, ok of two versions of each row's array ``probs``.
 
     A row counts once, by its largest difference. Other classes, or the same in another order, are never ok,
-    and neither are rows whose arrays differ in length.
+    and neither are rows whose arrays differ in length or that one side lacks.
     """
-    both = left.select(key, F.col("probs").alias("a")).join(right.select(key, F.col("probs").alias("b")), key)
+    both = left.select(key, F.col("probs").alias("a")).join(right.select(key, F.col("probs").alias("b")), key, "full")
     largest = F.when(F.size("a") == F.size("b"), F.array_max(F.zip_with("a", "b", lambda x, y: F.abs(x - y)))).otherwise(F.lit(float("inf")))
     found = both.select(F.coalesce(largest, F.lit(0.0)).alias("d")).agg(F.count("*").alias("n"), F.max("d").alias("max_abs_diff"), F.count_if(F.col("d") > tolerance).alias("over_tolerance"))
     return found.withColumn("same_classes", F.lit(left_classes == right_classes)).withColumn("ok", F.col("same_classes") & (F.col("over_tolerance") == 0))
