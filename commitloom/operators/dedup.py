@@ -21,6 +21,8 @@ from commitloom.operators.graph import components
 SHINGLE, HEAD, BITS = 5, 32, 64
 #: Edges of a group of near rows that one task walks through, at most.
 GROUP_EDGES = 1_000_000
+#: Signatures of a bucket that are compared with so many others in one go, at most, about.
+BUCKET = 4_096
 
 
 def _first(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -103,7 +105,9 @@ def near_pairs(sigs: DataFrame, threshold: int = 3, bands: int = 4) -> DataFrame
 
     ``sigs`` has seq and different sigs. Sharing a band is part of what a pair is. The other bits are cut into
     one piece more than may differ, so one piece agrees as well; joining on band and piece keeps buckets
-    small where a 16-bit band alone would fill with the data.
+    small where a 16-bit band alone would fill with the data. A bucket of more than BUCKET signatures is dealt
+    into parts by hashes of seq, and every part meets every part in a tile of its own: a signature is copied as
+    often as its bucket has parts, and no tile grows with the bucket.
     """
     if BITS % bands:
         raise ValueError("bands must divide 64")
@@ -117,10 +121,14 @@ def near_pairs(sigs: DataFrame, threshold: int = 3, bands: int = 4) -> DataFrame
             piece = F.shiftrightunsigned(F.shiftleft(turned(b), BITS - high), BITS - high + low) if high > low else F.lit(0).cast("long")
             keys.append(F.struct(F.lit(b * pieces + p).alias("place"), F.shiftrightunsigned(turned(b), rest).alias("band"), piece.alias("piece")))
     rows = sigs.select("seq", "sig", F.explode(F.array(*keys)).alias("k")).select("seq", "sig", "k.*")
-    left = rows.select("place", "band", "piece", F.col("seq").alias("lo"), F.col("sig").alias("a"))
-    right = rows.select("place", "band", "piece", F.col("seq").alias("hi"), F.col("sig").alias("b"))
+    bucket = ["place", "band", "piece"]
+    large = rows.groupBy(*bucket).agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select(*bucket, F.ceil(F.col("n") / BUCKET).alias("parts"))
+    rows = rows.join(large, bucket, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("seq"), F.col("parts")))
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    left = rows.select(*bucket, F.col("part").alias("row"), others.alias("column"), F.col("seq").alias("lo"), F.col("sig").alias("a"))
+    right = rows.select(*bucket, others.alias("row"), F.col("part").alias("column"), F.col("seq").alias("hi"), F.col("sig").alias("b"))
     distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    found = left.join(right, ["place", "band", "piece"]).where((F.col("lo") < F.col("hi")) & (distance <= threshold))
+    found = left.join(right, [*bucket, "row", "column"]).where((F.col("lo") < F.col("hi")) & (distance <= threshold))
     return found.select("lo", "hi", distance.alias("distance")).distinct()
 
 

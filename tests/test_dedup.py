@@ -82,3 +82,13 @@ def test_equal_seqs_of_blank_rows_and_reasons_of_all_columns(spark):
     assert df.columns == ["seq", "repo", "sha", "diff_text", "more", "norm_md5", "drop_reason"]
     assert sorted((r.seq, r.drop_reason) for r in df.collect()) == [(1, "diff"), (2, None)]
     assert dedup.with_drop_reason(df.drop("norm_md5", "drop_reason").where("false")).count() == 0
+
+
+def test_crowded_buckets_are_dealt_into_tiles(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "BUCKET", 8)
+    # all in one band and one piece of the other bits; and a few elsewhere
+    sigs = [(i, i << 40) for i in range(120)] + [(500 + i, (i << 8) | (1 << 62)) for i in range(5)]
+    got = sorted(map(tuple, dedup.near_pairs(spark.createDataFrame(sigs, "seq long, sig long")).collect()))
+    shared = lambda x: any((x >> 16 * b) & 0xFFFF == 0 for b in range(4))
+    want = [(a, b, (x ^ y).bit_count()) for a, x in sigs for b, y in sigs if a < b and (x ^ y).bit_count() <= 3 and shared(x ^ y)]
+    assert got == sorted(want) and len(got) > 1_000
