@@ -2,13 +2,13 @@
 
 A word's score for each language is the sum of weights of its affixes and n-grams (hashed) and of its
 place in learned lexicons; learned transitions say how likely neighbouring words differ. Forward-backward
-gives every word's distribution, and a document's language is the one with the largest mean. Training
-sequences are spans of labelled documents, many of them two spans joined, so switches are seen.
+gives every word's distribution, and a document's language is the one with the largest mean (of equal ones
+the first by name). Whole texts of the sampled documents are cut into spans; training sequences are two
+spans joined, mostly of different documents, so switches are seen.
 """
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 
 from commitloom.llm import common, wordgrams
 
-#: Labelled documents that a model is fitted to, at most; and words of each that it sees.
-TRAIN_DOCS, TRAIN_WORDS = 3_000, 60
+#: Labelled documents that a model is fitted to, at most, each with its whole text; and words of a span of them.
+TRAIN_DOCS, SPAN = 1_000, 30
 SIZES, BITS = (2, 3, 4), 16
 EPOCHS, BATCH, RATE, SHRINK = 4, 32, 0.2, 1e-6
-#: Words of each language that form its lexicon, at most.
-LEXICON = 2_000
+#: Words that so many of a language's spans hold form its lexicon.
+LEXICON = 3
 #: The pipeline keeps a document whose language has this mean probability, or whose words, each in the language
 #: that it fits best, have a mean probability of LEAST_FIT: clean text of several languages has no large share of one.
 LEAST_SCORE, LEAST_FIT = 0.4, 0.7
@@ -69,48 +69,49 @@ def forward_backward(emissions: np.ndarray, transitions: np.ndarray) -> tuple[np
     return gamma, (pairs / pairs.sum(axis=(2, 3), keepdims=True)).sum(axis=(0, 1))
 
 
+def spans_of(words: np.ndarray) -> np.ndarray:
+    """Rows of SPAN words that cover a text: evenly spaced, overlapping where the length isn't a multiple; a shorter text is repeated."""
+    if len(words) <= SPAN:
+        return np.resize(words, (min(1, len(words)), SPAN))
+    n = -(-len(words) // SPAN)
+    return words[np.arange(n)[:, None] * (len(words) - SPAN) // (n - 1) + np.arange(SPAN)]
+
+
 def train(samples: list[tuple[str, str]], seed: int = 7) -> Model:
-    """A model of (text, language) samples; without any it knows no language."""
+    """A model of (text, language) samples, all words of which it sees in every epoch; without any it knows no language."""
     langs = sorted({lang for _, lang in samples})
     k = len(langs)
     rng = np.random.default_rng(seed)
-    spans = []
-    for text, lang in samples:
-        words = wordgrams.words_of(text)
-        if words:
-            at = int(rng.integers(0, max(1, len(words) - TRAIN_WORDS + 1)))
-            spans.append((words[at : at + TRAIN_WORDS], langs.index(lang)))
-    counts: list[dict[str, int]] = [{} for _ in langs]
-    for words, y in spans:
-        for w in words:
-            counts[y][w] = counts[y].get(w, 0) + 1
-    lexicons = [set(sorted((w for w, n in c.items() if n > 2), key=lambda w, c=c: (-c[w], w))[:LEXICON]) for c in counts]
+    names: dict[str, int] = {}
+    parts = [spans_of(np.array([names.setdefault(w, len(names)) for w in wordgrams.words_of(text)], np.int32)) for text, _ in samples]
+    spans = np.concatenate([np.zeros((0, SPAN), np.int32), *parts])
+    labels = np.repeat([langs.index(lang) for _, lang in samples], [len(p) for p in parts]).astype(int)
+    held = np.zeros((len(names), k), np.int64)
+    for i in range(0, len(spans), 10_000):
+        block = np.sort(spans[i : i + 10_000], axis=1)
+        first = np.diff(block, axis=1, prepend=-1) != 0
+        np.add.at(held, (block[first], np.repeat(labels[i : i + 10_000], first.sum(axis=1))), 1)
+    inside = (held >= LEXICON).astype(float)
+    words = list(names)
+    lexicons = [{words[i] for i in np.flatnonzero(inside[:, j])} for j in range(k)]
     model = Model(langs, np.zeros((2**BITS, k)), np.zeros((k, k)), lexicons, np.zeros((k, k)))
-    if k < 2 or not spans:
+    if k < 2 or not len(spans):
         return model
-    names = {w: i for i, w in enumerate(dict.fromkeys(w for words, _ in spans for w in words))}
-    of, feature = wordgrams.hashed(list(names), SIZES, BITS)
+    of, feature = wordgrams.hashed(words, SIZES, BITS)
     order = np.argsort(of, kind="stable")
     feature, bounds = feature[order], np.searchsorted(of[order], np.arange(len(names) + 1))
-    inside = np.array([[w in lexicon for lexicon in lexicons] for w in names], float)
     squares = [np.full(x.shape, 1e-6) for x in (model.weights, model.transitions, model.lexicon_weights)]
 
     def step(x: np.ndarray, square: np.ndarray, grad: np.ndarray, at=slice(None)) -> None:
         square[at] += grad**2
         x[at] += RATE * (grad - SHRINK * x[at]) / np.sqrt(square[at])
 
-    length = TRAIN_WORDS // 2
     for _ in range(EPOCHS):
-        order = rng.permutation(len(spans))
-        for at in range(0, len(order), BATCH):
-            ids, ys = [], []
-            for i in order[at : at + BATCH]:
-                (w, y), (v, z) = spans[i], spans[int(rng.integers(len(spans)))]
-                cut = int(rng.integers(1, length)) if rng.random() < 0.5 else length
-                w, v = (w * length)[:cut], (v * length)[: length - cut]
-                ids.append([names[x] for x in (*w, *v)])
-                ys.append([y] * len(w) + [z] * len(v))
-            ids, ys = np.array(ids), np.array(ys)
+        # every span once; with an odd number of them the first one twice
+        pairs_of = np.resize(rng.permutation(len(spans)), (-(-len(spans) // 2), 2))
+        for at in range(0, len(pairs_of), BATCH):
+            chosen = pairs_of[at : at + BATCH]
+            ids, ys = spans[chosen].reshape(len(chosen), -1), np.repeat(labels[chosen], SPAN, axis=1)
             used, back = np.unique(ids, return_inverse=True)
             back = back.reshape(ids.shape)
             sizes = bounds[used + 1] - bounds[used]
@@ -222,25 +223,13 @@ class Predictor:
         return langs, out, fits
 
 
-def spans_of(batches):
-    """Each text as its training span: TRAIN_WORDS words from a place that is drawn by a hash of the whole text."""
-    for batch in batches:
-        for block in common.blocks(batch):
-            cut = []
-            for text in common.texts(block):
-                words = wordgrams.words_of(text)
-                at = zlib.crc32(text.encode()) % max(1, len(words) - TRAIN_WORDS + 1)
-                cut.append(" ".join(words[at : at + TRAIN_WORDS]))
-            yield block.set_column(block.schema.get_field_index("text"), "text", pa.array(cut, pa.string()))
-
-
 def fit(docs: DataFrame, salt: int = 4) -> Model:
     """A model of at most TRAIN_DOCS of the rows of ``docs`` (doc_id, text, lang) that have a text and a lang.
 
-    Spans are drawn from whole texts, by the executors; only they reach the driver.
+    Their whole texts reach the driver; rows of equal doc_id count as one.
     """
     labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    rows = common.sample(labelled, TRAIN_DOCS, salt, lambda chosen: chosen.mapInArrow(spans_of, chosen.schema)).collect()
+    rows = common.sample(labelled, TRAIN_DOCS, salt).collect()
     return train([(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.doc_id, r.text, r.lang))])
 
 
@@ -248,7 +237,7 @@ def identify(docs: DataFrame, model: Model, fit: bool = False) -> DataFrame:
     """The columns of ``docs`` (doc_id, text and any others but those added), with lang_pred and score; and fit if asked for.
 
     Texts that are null or without a letter are ``und`` with score (and fit) 0; so are all if the model knows no
-    language. Whole texts are read, however long. Repeated rows give repeated results; an empty table none.
+    language. Of languages with equal means the first by name is chosen. Whole texts are read, however long. Repeated rows give repeated results; an empty table none.
     """
     added = ["lang_pred", "score", *(["fit"] if fit else [])]
     names = [c for c in docs.columns if c not in added]

@@ -123,16 +123,34 @@ def test_language_id_learns_from_whole_texts(spark):
     assert all(s > 0.8 for s in langid.Predictor(model)(["le chat et chien", "el gato y perro"])[1])
 
 
+def test_spans_cover_every_word():
+    for n in (0, 1, 7, 30, 31, 59, 60, 61, 1_000):
+        spans = langid.spans_of(np.arange(n))
+        assert set(spans.ravel()) == set(range(n)) and len(spans) == -(-n // langid.SPAN)
+
+
+def test_language_id_learns_from_one_place_of_long_texts(spark):
+    r = random.Random(9)
+    filler = lambda n: ["".join(r.choices("pqrstuvwxyz", k=6)) for _ in range(n)]
+    rows = []
+    for i in range(40):
+        words, at = filler(3_000), r.randrange(2_900)
+        words[at : at + 60] = ("le chat et chien" if i % 2 else "el gato y perro").split() * 15
+        rows.append((i, " ".join(words), "fr" if i % 2 else "es"))
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert langid.Predictor(model)(["le chat et chien", "el gato y perro"])[0] == ["fr", "es"]
+
+
+def test_equal_means_go_to_the_first_language():
+    model = langid.Model(["aa", "bb"], np.zeros((2**4, 2)), np.zeros((2, 2)), [set(), set()], np.zeros((2, 2)))
+    assert langid.Predictor(model)(["any words"]) == (["aa"], [0.5])
+
+
 def test_language_id_query_equals_a_plain_version(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
     taught = sorted((r.doc_id, r.text, r.lang) for r in docs if r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2)
     assert len(taught) <= langid.TRAIN_DOCS
-    spans = []
-    for doc_id, text, lang in taught:
-        words = wordgrams.words_of(text)
-        at = zlib.crc32(text.encode()) % max(1, len(words) - langid.TRAIN_WORDS + 1)
-        spans.append((doc_id, " ".join(words[at : at + langid.TRAIN_WORDS]), lang))
-    model = langid.train([(x, y) for _, x, y in sorted(spans)])
+    model = langid.train([(x, y) for _, x, y in taught])
     got = {r.doc_id: r for r in queries.op4_language_id(spark, DATA).collect()}
     assert len(got) == len(docs)
     for r in docs:
