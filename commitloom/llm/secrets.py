@@ -3,7 +3,8 @@
 Candidates are long runs of letters, digits and a few signs. Each is scored by first-order Markov models
 of random strings and of ordinary identifiers; the mean log-likelihood ratio of its transitions decides.
 Ordinary ones are made of the corpus's own words in the shapes that identifiers have: joined by signs, in
-camel case, as paths, with numbers, versions and dates. All of it is built-in SQL functions: positions come
+camel case, as paths, as constants, with numbers, versions and dates. Text in base 64 looks random to such
+models and counts as a secret, whatever it encodes; an identifier in the standard form of UUIDs doesn't. All of it is built-in SQL functions: positions come
 from the lengths of what lies between the matches.
 """
 
@@ -24,9 +25,11 @@ BASE = [
     ("access", r"AKIA[A-Z0-9]{12,}", 0, 16),
     ("hex", r"[0-9a-f]{32,}", 0, 32),
 ]
-#: What the models look at: runs of these characters of at least so many, with a digit and a letter in them.
+#: What the models look at: runs of these characters of at least so many, with a digit and a letter or with both cases in them.
 CANDIDATE, LEAST = r"[A-Za-z0-9+/_=-]{20,}", 20
 ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_=-"
+#: Identifiers that many systems write for every row, and that grant nothing.
+UUID = "^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"
 #: A candidate is a secret from this mean log-likelihood ratio of a transition on.
 MARGIN = 0.35
 #: The share of each transition's probability that is its kind's (small letter to digit, and so on): no corpus has all pairs of letters that identifiers have.
@@ -129,12 +132,12 @@ def fit(samples: DataFrame) -> list[float]:
 
 
 def made_random(spark: SparkSession, n: int = RANDOM) -> DataFrame:
-    """(label 1, string): digests of the numbers below n in hexadecimal of either case, base 64, base 36 and access-key shapes, of several lengths."""
+    """(label 1, string): digests of the numbers below n in hexadecimal of either case, base 64, letters only, base 36 and access-key shapes, of several lengths."""
     i = F.col("id").cast("string")
     base64 = F.regexp_replace(F.base64(F.unhex(F.sha2(i, 256))), "=", "")
     base36 = F.lower(F.concat(*[F.conv(F.substring(F.md5(i), 1 + 12 * k, 12), 16, 36) for k in (0, 1)], F.conv(F.substring(F.sha1(i), 1, 12), 16, 36)))
     cut = lambda s: F.substring(s, F.lit(1), (20 + F.col("id") % 24).cast("int"))
-    kinds = F.array(cut(F.md5(i)), F.upper(F.substring(F.sha1(i), 1, 24)), base64, cut(F.translate(base64, "+/", "-_")), cut(F.regexp_replace(base64, "[+/]", "")), base36, F.concat(F.lit("AKIA"), F.upper(F.substring(base36, 1, 16))))
+    kinds = F.array(cut(F.md5(i)), F.upper(F.substring(F.sha1(i), 1, 24)), base64, cut(F.translate(base64, "+/", "-_")), cut(F.regexp_replace(base64, "[+/]", "")), cut(F.regexp_replace(base64, "[+/0-9]", "")), base36, F.concat(F.lit("AKIA"), F.upper(F.substring(base36, 1, 16))))
     return spark.range(n).select(F.lit(1).alias("label"), F.explode(kinds).alias("string"))
 
 
@@ -158,6 +161,9 @@ def made_ordinary(words: DataFrame) -> DataFrame:
         F.concat(a, number(36, 10), F.lit("_"), b, F.lit("_"), c, number(40, 10), F.lit("_"), F.lpad(number(44, 1000), 4, "0")),
         F.concat_ws("/", F.substring(a, 1, 3), b, c, F.concat(a, number(36, 100)), F.concat(F.initcap("b"), F.initcap("c"), number(44, 10))),
         F.concat(F.upper("a"), F.lit("_"), F.upper("b"), F.lit("_"), number(36, 10_000), F.lit("="), c, number(48, 100)),
+        F.concat(F.upper("a"), number(36, 1000), F.lit("_"), F.upper(F.substring(b, 1, 3)), number(40, 100), F.lit("_"), F.upper("c"), F.lit("_"), F.upper(F.substring(a, 1, 1)), number(44, 100)),
+        F.concat(a, F.initcap("b"), F.initcap("c"), F.initcap("a")),
+        F.concat_ws("/", F.initcap("a"), b, F.concat(F.initcap("c"), F.initcap("b"))),
         F.concat(a, F.lit("-"), number(36, 20), F.lit("-"), number(40, 20), F.lit("-"), b, F.lit("-"), c, F.lit("_"), number(44, 256)),
     )
     return words.select(F.lit(0).alias("label"), F.explode(shapes).alias("string"))
@@ -183,11 +189,15 @@ def ratio_of(candidate: Column, model: Column) -> Column:
     return F.aggregate(_codes(candidate), start, step, lambda acc: acc["total"]) / (F.length(candidate) - 1)
 
 
+def is_candidate(found: Column) -> Column:
+    return (found.rlike("[0-9]") & found.rlike("[A-Za-z]") & ~found.rlike(UUID)) | (found.rlike("[a-z]") & found.rlike("[A-Z]") & ~found.rlike("[0-9]"))
+
+
 def spans_column(text: Column, model: list[float], margin: float = MARGIN) -> tuple[dict[str, Column], Column]:
     """Columns of base spans by kind, and of them (by name) and ``text`` the column of all spans."""
     weights = F.from_json(F.lit("[" + ",".join(f"{x:.9g}" for x in model) + "]"), "array<double>")
     names = {f"_{kind}_spans": spans for (kind, *_), spans in zip(BASE, base_spans(text), strict=True)}
-    mixed = F.filter(spans_of(text, CANDIDATE), lambda x: x["found"].rlike("[0-9]") & x["found"].rlike("[A-Za-z]") & (ratio_of(x["found"], weights) >= margin))
+    mixed = F.filter(spans_of(text, CANDIDATE), lambda x: is_candidate(x["found"]) & (ratio_of(x["found"], weights) >= margin))
     known = F.concat(*map(F.col, names))
     added = F.filter(mixed, lambda x: ~F.exists(known, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
     kinds = F.concat(known, F.transform(added, lambda x: F.struct(x["start"], x["end"], F.lit("markov").alias("kind"))))

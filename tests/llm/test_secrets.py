@@ -64,6 +64,33 @@ def ordinary_and_keys():
     return fit(ordinary), fit(keys)
 
 
+def candidate(x):
+    digit, small, large = (re.search(p, x) for p in ("[0-9]", "[a-z]", "[A-Z]"))
+    return (digit and (small or large) and not re.search(secrets.UUID, x)) or (small and large and not digit)
+
+
+def other_shapes():
+    """Constants with digits, names of letters only in both cases, UUIDs; and keys of letters only. Their words are neither the corpus's nor those above."""
+    r = random.Random(11)
+    words = "kernel vector matrix socket buffer packet driver render shader texture polygon mutex semaphore compiler parser lexer token scanner emitter linker loader debug trace profile sample metric gauge histogram bucket region cluster tenant invoice payment ledger".split()
+    w = lambda: r.choice(words)
+    chips = ["X86", "AVX512", "SHA256", "ARM64", "UTF8", "MD5", "V2", "I18N", "H264", "CRC32", "P384", "RSA2048"]
+    constants = ["_".join(r.sample([w().upper(), r.choice(chips), w().upper(), w().upper(), r.choice(chips)], 5)) for _ in range(400)]
+    names = [x for _ in range(150) for x in (w() + "".join(w().title() for _ in range(3)), "/".join([w(), w(), w().title() + w().title()]), "".join(w().title() for _ in range(4)), f"{w()}-{w()}_{w().title()}_{w()}")]
+    uuids = ["-".join((h := hashlib.md5(str(i).encode()).hexdigest())[a:b] for a, b in ((0, 8), (8, 12), (12, 16), (16, 20), (20, 32))) for i in range(100)]
+    letters = ["".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=r.randint(20, 43))) for _ in range(300)]
+    return constants, [x for x in names if len(x) >= secrets.LEAST], uuids, letters
+
+
+def test_other_shapes(spark, model):
+    groups = other_shapes()
+    df = spark.createDataFrame([(g, x) for g, xs in enumerate(groups) for x in xs], "doc_id long, text string")
+    flagged = {r.doc_id: r.n for r in secrets.scan(df, model).groupBy("doc_id").agg(F.count_if(F.size("spans") > 0).alias("n")).collect()}
+    constants, names, uuids, letters = ((flagged[g], len(xs)) for g, xs in enumerate(groups))
+    assert constants[0] <= 0.02 * constants[1] and names[0] <= 0.02 * names[1] and uuids[0] == 0
+    assert letters[0] >= 0.95 * letters[1]
+
+
 def test_models_tell_keys_from_identifiers(spark, model):
     ordinary, keys = ordinary_and_keys()
     assert len(ordinary) >= 500 and len(keys) >= 200
@@ -82,7 +109,7 @@ def test_markov_spans_equal_a_plain_scorer(spark, model):
     for i, text in rows:
         known = [(m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 8]
         known += [m.span() for m in re.finditer(r"AKIA[A-Z0-9]{12,}|[0-9a-f]{32,}", text)]
-        want = [m.span() for m in re.finditer(secrets.CANDIDATE, text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and ratio(m[0], model) >= secrets.MARGIN and not any(s < m.end() and m.start() < e for s, e in known)]
+        want = [m.span() for m in re.finditer(secrets.CANDIDATE, text) if candidate(m[0]) and ratio(m[0], model) >= secrets.MARGIN and not any(s < m.end() and m.start() < e for s, e in known)]
         assert [(x["start"], x["end"]) for x in got[i] if x["kind"] == "markov"] == want
         some += len(want)
     assert some > 500
