@@ -80,8 +80,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again. No rows give no rows."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written and read again; a stage's table goes once the next one's is written. No rows give no rows."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs, _ = scratch.keep(stage(spark, docs, sf_dir))
+        docs, path = scratch.keep(stage(spark, docs, sf_dir))
+        if before:
+            scratch.drop(spark, before)
+        before = path
     return docs
