@@ -23,6 +23,8 @@ SHINGLE, HEAD, BITS = 5, 32, 64
 GROUP_EDGES = 1_000_000
 #: Signatures of a bucket that are compared with so many others in one go, at most, about.
 BUCKET = 4_096
+#: Line numbers of a row of a report in pieces, about.
+PIECE = 100_000
 
 
 def _first(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -203,16 +205,50 @@ def deduplicate(commits: DataFrame, near: bool = False, hamming: int = 3, bands:
     return marked.where("drop_reason is null").drop("drop_reason", "norm_md5"), counts
 
 
-def duplicate_report(rows: DataFrame, keys: list[str], line: str = "line") -> DataFrame:
-    """key, value, count, line_numbers (ascending, joined by ;) of values on two lines at least, and key_ord for the order of the keys."""
+def _values(rows: DataFrame, keys: list[str], line: str) -> DataFrame:
+    """key_ord, key, value, _line of all values that are not null."""
     pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("key_ord"), F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for i, k in enumerate(keys)]))
-    found = rows.select(F.col(line).alias("_line"), pairs.alias("p")).select("_line", "p.*").where(F.col("value").isNotNull())
-    counts = found.groupBy("key_ord", "key", "value").agg(F.count("*").alias("count"), F.array_join(F.transform(F.array_sort(F.collect_list("_line")), lambda x: x.cast("string")), ";").alias("line_numbers"))
-    return counts.where("count >= 2")
+    return rows.select(F.col(line).alias("_line"), pairs.alias("p")).select("_line", "p.*").where(F.col("value").isNotNull())
+
+
+def duplicate_counts(rows: DataFrame, keys: list[str], line: str = "line") -> DataFrame:
+    """key_ord, key, value, count of values on two lines at least. Tasks count before the shuffle, so a hot value costs one row a task."""
+    return _values(rows, keys, line).groupBy("key_ord", "key", "value").agg(F.count("*").alias("count")).where("count >= 2")
+
+
+def duplicate_report(rows: DataFrame, keys: list[str], line: str = "line") -> DataFrame:
+    """key, value, count, line_numbers (ascending, joined by ;) of values on two lines at least, and key_ord for the order of the keys.
+
+    A value is one row, however many lines it is on; ``duplicate_pieces`` has rows of a bounded size.
+    """
+    numbers = F.array_join(F.transform(F.array_sort(F.collect_list("_line")), lambda x: x.cast("string")), ";")
+    return _values(rows, keys, line).groupBy("key_ord", "key", "value").agg(F.count("*").alias("count"), numbers.alias("line_numbers")).where("count >= 2")
+
+
+def duplicate_pieces(rows: DataFrame, keys: list[str], line: str = "line", most: int = PIECE) -> DataFrame:
+    """``duplicate_report`` with piece (from 0): a value on many lines has several rows, of about ``most`` numbers each, in ascending order.
+
+    Numbers are gathered by ranges of lines first, so that the lines of a value in every row are spread over
+    tasks; ranges are put together into pieces by running sums of their sizes, which alone meet in one task.
+    Line numbers differ in a range; a row without one counts and has no number.
+    """
+    span = F.floor(F.col("_line") / most)
+    ranges = _values(rows, keys, line).withColumn("_range", span).groupBy("key_ord", "key", "value", "_range").agg(F.count("*").alias("n"), F.collect_list("_line").alias("lines"))
+    ranges, _ = scratch.keep(ranges)
+    value = ["key_ord", "key", "value"]
+    own = Window.partitionBy(*value)
+    sizes = ranges.select(*value, "_range", "n").withColumn("count", F.sum("n").over(own)).where("count >= 2")
+    before = F.sum("n").over(own.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    piece = F.floor(F.coalesce(before, F.lit(0)) / most).cast("int")
+    places = sizes.select(F.col("key_ord").alias("_key"), F.col("value").alias("_value"), F.col("_range").alias("_place"), "count", piece.alias("piece"))
+    same = (F.col("key_ord") == F.col("_key")) & (F.col("value") == F.col("_value")) & F.col("_range").eqNullSafe(F.col("_place"))
+    joined = ranges.join(places, same).select(*value, "count", "piece", "lines")
+    numbers = F.array_join(F.transform(F.array_sort(F.flatten(F.collect_list("lines"))), lambda x: x.cast("string")), ";")
+    return joined.groupBy(*value, "count", "piece").agg(numbers.alias("line_numbers"))
 
 
 def duplicate_preview(report: DataFrame, n: int = 10) -> DataFrame:
-    """The n most frequent values of each key, and how many more there are."""
+    """The n most frequent values of each key of ``duplicate_counts`` or ``duplicate_report``, and how many more there are."""
     own = Window.partitionBy("key_ord")
     ranked = report.withColumn("rank", F.row_number().over(own.orderBy(F.desc("count"), "value"))).withColumn("more", F.greatest(F.count("*").over(own) - n, F.lit(0)))
     return ranked.where(F.col("rank") <= n)

@@ -158,9 +158,9 @@ p AS (SELECT 0 AS key_ord, 'md5' AS key, md5 AS value, line FROM r UNION ALL SEL
 report AS (SELECT key_ord, key, value, count(*) AS count, string_agg(line::VARCHAR, ';' ORDER BY line) AS line_numbers FROM p WHERE value IS NOT NULL GROUP BY ALL HAVING count(*) >= 2)"""
 
 
-def _report(spark, sf_dir):
+def _report(spark, sf_dir, make=dedup.duplicate_report):
     rows = documents(spark, sf_dir).select(F.col("doc_id").alias("line"), F.md5("text").alias("md5"), "source")
-    return dedup.duplicate_report(rows, ["md5", "source"])
+    return make(rows, ["md5", "source"])
 
 
 @query(f"{_REPORT} SELECT * FROM report")
@@ -172,13 +172,13 @@ def duplicate_report(spark, sf_dir):
     f"{_REPORT} SELECT key, value, count, rank, more FROM (SELECT *, row_number() OVER (PARTITION BY key_ord ORDER BY count DESC, value)::INT AS rank, greatest(count(*) OVER (PARTITION BY key_ord) - 10, 0) AS more FROM report) WHERE rank <= 10"
 )
 def duplicate_preview(spark, sf_dir):
-    return dedup.duplicate_preview(_report(spark, sf_dir)).select("key", "value", "count", "rank", "more")
+    return dedup.duplicate_preview(_report(spark, sf_dir, dedup.duplicate_counts)).select("key", "value", "count", "rank", "more")
 
 
 @query(f"{_REPORT} SELECT key, value, count, line_numbers FROM report")
 def duplicates_csv(spark, sf_dir):
     path = f"{scratch.folder(spark)}/duplicates_csv"
-    records.write_duplicates(_report(spark, sf_dir), path)
+    records.write_duplicates(_report(spark, sf_dir, dedup.duplicate_pieces), path)
     return spark.read.option("header", "true").option("escape", '"').schema("key string, value string, count long, line_numbers string").csv(path)
 
 

@@ -144,8 +144,9 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False, order: str | Non
 
 
 def write_duplicates(report: DataFrame, path: str) -> None:
-    """key, value, count, line_numbers as CSV: keys as they were asked for, most frequent values first."""
-    rows = report.orderBy("key_ord", F.desc("count"), "value").select("key", "value", "count", "line_numbers")
+    """key, value, count, line_numbers as CSV: keys as they were asked for, most frequent values first; a value's pieces, if it has some, follow each other."""
+    pieces = ["piece"] if "piece" in report.columns else []
+    rows = report.orderBy("key_ord", F.desc("count"), "value", *pieces).select("key", "value", "count", "line_numbers")
     rows.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
 
 

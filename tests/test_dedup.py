@@ -69,6 +69,30 @@ def test_duplicate_report(spark):
     assert [(r.value, r["more"]) for r in top] == [("u", 1), ("a", 1)]
 
 
+@pytest.mark.parametrize("most", [7, 100_000])
+def test_report_in_pieces(spark, tmp_path, most):
+    from commitloom.sources import records
+
+    r = random.Random(5)
+    rows = [(i, "hot", r.choice(["a", "b", None, f"only {i}"])) for i in r.sample(range(1, 900), 200)] + [(None, "hot", "none"), (None, "hot", "none")]
+    df = spark.createDataFrame(rows, "line long, url string, sha string").repartition(4)
+    pieces = dedup.duplicate_pieces(df, ["url", "sha"], most=most)
+    got = {}
+    for x in pieces.orderBy("key_ord", "value", "piece").collect():
+        count, numbers = got.setdefault((x.key, x.value), (x["count"], []))
+        assert count == x["count"]
+        some = [int(n) for n in x.line_numbers.split(";") if n]
+        assert len(some) <= 2 * most
+        numbers += some
+    want = {(x.key, x.value): (x["count"], [int(n) for n in x.line_numbers.split(";") if n]) for x in dedup.duplicate_report(df, ["url", "sha"]).collect()}
+    assert got == want and got["url", "hot"][0] == 202
+    assert {(x.key, x.value): x["count"] for x in dedup.duplicate_counts(df, ["url", "sha"]).collect()} == {k: n for k, (n, _) in want.items()}
+    records.write_duplicates(pieces, f"{tmp_path}/out")
+    lines = [line for p in sorted((tmp_path / "out").glob("part-*")) for line in p.read_text().splitlines() if line.startswith("url,hot,202,")]
+    assert [int(n) for line in lines for n in line.removeprefix("url,hot,202,").strip('"').split(";") if n] == want["url", "hot"][1]
+    assert dedup.duplicate_pieces(df.where("false"), ["url"]).count() == 0
+
+
 def test_quota_in_order(spark):
     df = spark.createDataFrame([(1, "f"), (2, "f"), (3, "f"), (4, "d"), (5, "d")], "seq long, label string")
     assert [r.seq for r in quotas.apply_quota(df, 2, 3).orderBy("seq").collect()] == [1, 2, 4]
