@@ -51,24 +51,36 @@ def train(samples: list[tuple[str, int]]) -> Model:
     if not names:
         return Model(np.zeros((2**BITS, 1), np.float32), bias)
     doc, word = np.concatenate(docs), np.concatenate(words)
-    # some words at a time, which bounds the driver's memory
+    # some words at a time, which bounds the driver's memory: features are kept in the smallest numbers that hold them
     every_word, parts = list(names), []
     for at in range(0, len(every_word), WORDS_AT_ONCE):
-        of, feature = wordgrams.hashed(every_word[at : at + WORDS_AT_ONCE], SIZES, BITS)
-        parts.append((of.astype(np.int32) + np.int32(at), feature.astype(np.int32)))
-    of, feature = (np.concatenate(x) for x in zip(*parts, strict=True))
-    del every_word, parts
+        own = every_word[at : at + WORDS_AT_ONCE]
+        of, feature = wordgrams.hashed(own, SIZES, BITS)
+        parts.append((slice(at, at + len(own)), of.astype(np.int16), feature.astype(np.int32)))
+    size = len(names)
+    del every_word, names, docs, words
     cells = 2**BITS
-    ones = np.bincount(feature, np.bincount(word, y[doc], len(names))[of], cells)
-    every = np.bincount(feature, np.bincount(word, minlength=len(names)).astype(float)[of], cells)
+
+    def spread(by_word: np.ndarray) -> np.ndarray:
+        """For each feature the sum of its words' numbers, in the order of all words."""
+        total = np.zeros(cells)
+        for some, of, feature in parts:
+            np.add.at(total, feature, by_word[some][of])
+        return total
+
+    ones = spread(np.bincount(word, y[doc], size))
+    every = spread(np.bincount(word, minlength=size).astype(float))
     rate = ones.sum() / every.sum()
     ratio = np.log((ones + SMOOTH * rate) / (every - ones + SMOOTH * (1 - rate))) - np.log(rate / (1 - rate))
     w, velocity, square = np.zeros(cells), np.zeros(cells), np.zeros(cells)
+    part = np.zeros(size)
     for step in range(1, STEPS + 1):
-        part = np.bincount(of, (ratio * w)[feature], len(names))
+        scaled = ratio * w
+        for some, of, feature in parts:
+            part[some] = np.bincount(of, scaled[feature], len(part[some]))
         z = np.bincount(doc, part[word], n) + bias
         error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        grad = ratio * np.bincount(feature, np.bincount(word, error[doc], len(names))[of], cells) / n + SHRINK * w / n
+        grad = ratio * spread(np.bincount(word, error[doc], size)) / n + SHRINK * w / n
         velocity, square = 0.9 * velocity + 0.1 * grad, 0.99 * square + 0.01 * grad**2
         w -= RATE * (velocity / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-6)
         bias -= RATE * 5 * error.mean()

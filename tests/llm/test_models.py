@@ -1,5 +1,6 @@
 import itertools
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -107,6 +108,18 @@ def test_equal_texts_have_equal_scores(salt):
     assert warm(["nice fool here idiot"]) == toxicity.Scorer(model)(["nice fool here idiot"])
 
 
+def test_toxicity_training_holds_few_bytes_a_feature():
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefghijklmnopqrst", k=9)) for _ in range(120_000)]
+    samples = [(" ".join(words[i::400]), i % 2) for i in range(400)]
+    features = len(wordgrams.hashed(words[:1_000], toxicity.SIZES, toxicity.BITS)[0]) * 120
+    tracemalloc.start()
+    toxicity.train(samples)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * features
+
+
 def test_toxicity_learns_from_ends_of_long_texts(spark):
     rows = [(i, "a nice day here " * 500 + ("you idiot fool" if i % 2 else "with some friends")) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
