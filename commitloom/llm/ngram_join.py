@@ -6,6 +6,7 @@
    the others by their hash. Two alike sets share so much that the first shingle they share stands among the
    first few of both, so a set stands in a tile (band, shingle) for each of these. The order decides only how
    many sets meet: which shingles come last is counted over all texts, and a tile found crowded joins them.
+   A tile is cut where sizes leave a gap that no two alike sets can have, so most chance meetings end there.
 3. In a tile, sizes and hashed bitmap signatures bound the overlap of two sets from above: the bits that
    differ are no more than the shingles that do. Sets that stay joined become groups.
 4. In a group, blocks of bounded size are compared by exact intersection of sorted arrays, once more behind
@@ -43,6 +44,8 @@ LAST_BITS, LAST_COUNT = 1 << 26, 64
 ROUNDS = 3
 #: Members of crowded tiles that one task puts together, about.
 MET_IN_A_TASK = 1_000_000
+#: Size classes of sets: so many for each doubling, in so many of a name's uppermost bits below the sign.
+CLASSES, CLASS_BITS = 64, 11
 #: Bytes of a word up to which words are hashed together.
 LONG_WORD = 64
 
@@ -68,6 +71,11 @@ class Similar:
         """Of the sets alike to one of n shingles, the largest size."""
         return 100 * n // self.percent
 
+    @property
+    def classes(self) -> int:
+        """Sets whose size classes differ by more are not alike."""
+        return int(CLASSES * np.log2(100 / self.percent)) + 1
+
 
 @dataclass
 class Sets:
@@ -159,6 +167,13 @@ def set_digests(sets: Sets, salt: int) -> np.ndarray:
     return sets.reduced(np.bitwise_xor, common.mix64(sets.flat, salt)) + sets.sizes.astype(np.uint64)
 
 
+def size_names(sets: Sets) -> np.ndarray:
+    """A digest of each set that begins with the class of its size: in their order, sets of like sizes stand together."""
+    size = np.minimum(CLASSES * np.log2(np.maximum(sets.sizes, 1)), 2**CLASS_BITS - 1).astype(np.uint64)
+    rest = np.uint64(63 - CLASS_BITS)
+    return (size << rest) | (set_digests(sets, 1) >> (np.uint64(64) - rest))
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x, np.uint64).view(np.int64)
 
@@ -306,7 +321,7 @@ def sets_of(docs: DataFrame, width: int, like: Similar) -> DataFrame:
     def make():
         def work(block):
             sets = shingles(block.column("text"), width)
-            digests = [signed(set_digests(sets, k)) for k in (1, 2)]
+            digests = [signed(size_names(sets)), signed(set_digests(sets, 2))]
             maps = bitmaps(sets, np.array([bits_of(n) for n in sets.sizes.tolist()]))
             _, different = np.unique(digests[0], return_index=True)
             keys, times = np.unique(in_bands(sets.taken(different), like)[2], return_counts=True)
@@ -345,7 +360,7 @@ def tiles_of(docs: DataFrame, width: int, like: Similar, last: bytes | None) ->
         for batch in batches:
             for block in common.blocks(batch):
                 sets = shingles(block.column("text"), width)
-                names = set_digests(sets, 1)
+                names = size_names(sets)
                 if len(seen) > common.CACHE_WORDS:
                     seen.clear()
                 fresh = []
@@ -361,8 +376,11 @@ def tiles_of(docs: DataFrame, width: int, like: Similar, last: bytes | None) ->
     return docs.mapInArrow(run, "key long, s1 long")
 
 
-def crowded(tiles: DataFrame, parts: int, last: bytes | None) -> DataFrame:
-    """tile, chunk, members, late of the tiles that two sets at least stand in, from rows (key, s1); late: the filter ``last`` holds the key."""
+def crowded(tiles: DataFrame, parts: int, last: bytes | None, like: Similar) -> DataFrame:
+    """tile, chunk, members, late of the tiles that two sets at least stand in, from rows (key, s1); late: the filter ``last`` holds the key.
+
+    A tile's sets come by size, and where no set before can be alike to one after, one row ends and another begins.
+    """
     schema = [("tile", pa.int64()), ("chunk", pa.int32()), ("members", pa.list_(pa.int64())), ("late", pa.bool_())]
     sent = tiles.sparkSession.sparkContext.broadcast(last)
 
@@ -370,6 +388,7 @@ def crowded(tiles: DataFrame, parts: int, last: bytes | None) -> DataFrame:
         done: set[tuple[int, ...]] = set()
         filled = np.frombuffer(sent.value, np.uint8) if sent.value else np.zeros(8, np.uint8)
         key, chunk, held = None, 0, []
+        size = lambda ids: ids >> (63 - CLASS_BITS)
 
         def written():
             keys, *rest = zip(*out, strict=True)
@@ -391,14 +410,15 @@ def crowded(tiles: DataFrame, parts: int, last: bytes | None) -> DataFrame:
             keys, ids = batch.column("key").to_numpy(), batch.column("s1").to_numpy()
             fresh = np.r_[True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])]
             keys, ids = keys[fresh], ids[fresh]
-            cuts = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)] if len(keys) else np.zeros(1, int)
+            apart = (keys[1:] != keys[:-1]) | (np.diff(size(ids)) > like.classes)
+            cuts = np.r_[0, np.flatnonzero(apart) + 1, len(keys)] if len(keys) else np.zeros(1, int)
             # runs of one row that no batch border touches are nobody's tile
             sizes = np.diff(cuts)
             work = np.flatnonzero(sizes > 1)
             edge = {0, len(sizes) - 1}
             for r in sorted(edge | set(work.tolist())) if len(sizes) else ():
                 a, b = int(cuts[r]), int(cuts[r + 1])
-                if keys[a] != key:
+                if keys[a] != key or (held and size(int(ids[a])) - size(held[-1]) > like.classes):
                     close()
                     key, chunk, held = int(keys[a]), 0, []
                 members = ids[a:b].tolist()
@@ -430,7 +450,7 @@ def candidates(docs: DataFrame, width: int, like: Similar, sets: DataFrame, part
     keys = seen.groupBy(F.col("x.often").alias("key")).agg(F.sum("x.times").alias("c")).where(F.col("c") >= LAST_COUNT)
     last = last_filter(keys)
     for left in reversed(range(ROUNDS)):
-        blocks, path = scratch.keep(crowded(tiles_of(docs, width, like, last), parts, last))
+        blocks, path = scratch.keep(crowded(tiles_of(docs, width, like, last), parts, last, like))
         if not left:
             break
         tiles = blocks.groupBy("tile").agg(F.max("chunk").alias("last"), F.sum(F.size("members")).alias("m"), F.min("late").alias("late"))

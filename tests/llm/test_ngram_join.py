@@ -126,6 +126,22 @@ def test_shingles_of_whole_texts():
     assert a[0].tolist() == a[1].tolist() == b[0].tolist()
 
 
+def test_tiles_are_cut_where_sizes_leave_a_gap(spark):
+    like = nj.Similar(80)
+    flat = np.arange(5_000, dtype=np.uint64)
+    sets = nj.Sets(flat, np.array([0, 10, 110, 230]), np.array([10, 100, 120, 150]))
+    names = nj.signed(nj.size_names(sets)).tolist()
+    assert names == sorted(names)
+    # 150 is alike to 120 at most, 100 to 120; 10 to none
+    rows = spark.createDataFrame([(k, n) for k in (1, 2) for n in names], "key long, s1 long").union(spark.createDataFrame([(3, names[0]), (3, names[3])], "key long, s1 long"))
+    got = {(r.tile, tuple(r.members)) for r in nj.crowded(rows, 2, None, like).collect()}
+    assert {m for _, m in got} == {tuple(names[1:])}
+    for percent in (1, 50, 80, 85, 100):
+        like = nj.Similar(percent)
+        for n in [*range(1, 300), 1_000, 4_097, 99_999]:
+            assert int(nj.CLASSES * np.log2(like.largest(n))) - int(nj.CLASSES * np.log2(n)) <= like.classes
+
+
 def test_crowded_tiles_come_last(spark, monkeypatch):
     """A passage that most documents hold makes crowded tiles, which are made anew without losing a link."""
     monkeypatch.setattr(nj, "CHUNK", 4)
