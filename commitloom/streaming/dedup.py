@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +28,41 @@ def deduplicate_stream(commits: DataFrame, event_time: str | None = None, delay:
     return getattr(rows, drop)(["_md5"]).drop("_md5", "_key")
 
 
+#: Rows that a task holds before it lets them go on.
+HELD = 10_000
+
+
+def _at_most(commits: DataFrame, cap: int, label: str) -> DataFrame:
+    """Of the rows of each task the ``cap`` of each label with the smallest seqs, or somewhat more: others can't be among the first ones."""
+
+    def first(rows: pa.Table) -> pa.Table:
+        order = pa.table({"label": rows.column(label).combine_chunks(), "seq": rows.column("seq").combine_chunks(), "at": pa.array(range(len(rows)))}).sort_by([("label", "ascending"), ("seq", "ascending")])
+        taken, now, n = [], object(), 0
+        for x, at in zip(order.column("label").to_pylist(), order.column("at").to_pylist(), strict=True):
+            now, n = (now, n + 1) if x == now else (x, 1)
+            if n <= cap:
+                taken.append(at)
+        return rows.take(pa.array(taken, pa.int64()))
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            own = first(pa.Table.from_batches([batch]))
+            held = own if held is None else first(pa.concat_tables([held, own]))
+            if len(held) > HELD:
+                yield from held.to_batches()
+                held = None
+        if held is not None:
+            yield from held.to_batches()
+
+    return commits.mapInArrow(run, commits.schema)
+
+
 def quota_stream(commits: DataFrame, cap: int, label: str = "label") -> DataFrame:
-    """The first ``cap`` rows of each label to arrive; the state is one count for each label."""
+    """The first ``cap`` rows of each label to arrive; the state is one count for each label.
+
+    Tasks let only as many rows of a label through as could stay, so a label's task doesn't grow with its rows.
+    """
     schema = commits.schema
 
     def keep(key, batches: Iterator[pd.DataFrame], state):
@@ -39,7 +73,7 @@ def quota_stream(commits: DataFrame, cap: int, label: str = "label") -> DataFram
             yield some[schema.fieldNames()]
         state.update((n,))
 
-    return commits.groupBy(label).applyInPandasWithState(keep, schema, "n long", "append", "NoTimeout")
+    return _at_most(commits, cap, label).groupBy(label).applyInPandasWithState(keep, schema, "n long", "append", "NoTimeout")
 
 
 def label_counts_stream(commits: DataFrame, label: str = "label") -> DataFrame:
