@@ -91,12 +91,15 @@ def simhash(text: str) -> int:
 
 
 def with_simhash(df: DataFrame, text: str, out: str = "sig") -> DataFrame:
-    """``df`` with the signature of a text column, null as empty. Runs over Arrow batches: 64 sums in SQL are far slower."""
+    """``df`` with the signature of a text column, null as empty. Runs over Arrow batches: 64 sums in SQL are far slower.
+
+    Texts leave Arrow one at a time, so a worker's memory is that of a batch and not of all its strings.
+    """
     names = [c for c in df.columns if c != out]
 
     def run(batches):
         for batch in batches:
-            sigs = pa.array([simhash(t or "") for t in batch.column(text).to_pylist()], pa.int64())
+            sigs = pa.array((simhash(t.as_py() or "") for t in batch.column(text)), pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, sigs], names=[*batch.schema.names, out])
 
     return df.select(*names).mapInArrow(run, df.select(*names).schema.add(out, "long"))
