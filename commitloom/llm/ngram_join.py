@@ -7,8 +7,11 @@
    first few of both, so a set stands in a tile (band, shingle) for each of these. The order decides only how
    many sets meet: which shingles come last is counted over all texts, and a tile found crowded joins them.
    A tile is cut where sizes leave a gap that no two alike sets can have, so most chance meetings end there.
-3. In a tile, sizes and hashed bitmap signatures bound the overlap of two sets from above: the bits that
-   differ are no more than the shingles that do. Sets that stay joined become groups.
+   In tiles of few sets, pairs are counted: a set stands in some tiles more than it must, so that two alike sets
+   meet several times, which sets that share a shingle by chance seldom do.
+3. Of sets that meet often enough, or in a tile of many sets, sizes and hashed bitmap signatures bound the
+   overlap from above: the bits that differ are no more than the shingles that do. Sets that stay joined become
+   groups.
 4. In a group, blocks of bounded size are compared by exact intersection of sorted arrays, once more behind
    the bitmaps. Groups of more than one block are joined first inside the blocks; what isn't yet in a
    group's largest cluster then meets every block.
@@ -44,8 +47,18 @@ LAST_BITS, LAST_COUNT = 1 << 26, 64
 ROUNDS = 3
 #: Members of crowded tiles that one task puts together, about.
 MET_IN_A_TASK = 1_000_000
+#: Sets of a tile up to which its pairs are counted.
+FEW = 4
+#: How often two alike sets meet at least, if the smaller one's size has so many bits at least (bits, meetings).
+MEETINGS = ((8, 4), (6, 3), (2, 2))
+#: Rows with bitmaps for each set, in tiles of more than FEW sets that hardly two tiles have alike, from which on tiles are made anew.
+MET_BY_CHANCE = 2
+#: Keys that come last because of what tiles hold, at most.
+MOST_LAST = LAST_BITS // 8
 #: Size classes of sets: so many for each doubling, in so many of a name's uppermost bits below the sign.
 CLASSES, CLASS_BITS = 64, 11
+#: A tile's key has its band in so many of its uppermost bits.
+BAND_BITS = 6
 #: Bytes of a word up to which words are hashed together.
 LONG_WORD = 64
 
@@ -71,6 +84,10 @@ class Similar:
         """Of the sets alike to one of n shingles, the largest size."""
         return 100 * n // self.percent
 
+    def meetings(self, band: int) -> int:
+        """So many shingles that come first two alike sets share at least, if the smaller one's size is of this band."""
+        return min(next((m for bits, m in MEETINGS if band + 1 >= bits), 1), max(1, (self.percent * (1 << band) + 99) // 100))
+
     @property
     def classes(self) -> int:
         """Sets whose size classes differ by more are not alike."""
@@ -208,7 +225,7 @@ def folded(b: np.ndarray, size: int) -> np.ndarray:
 
 
 def in_bands(sets: Sets, like: Similar) -> tuple[Sets, np.ndarray, np.ndarray]:
-    """(sets, their rows before, keys): each set that isn't empty once for each band it stands in; keys of (band, shingle)."""
+    """(sets, their rows before, keys): each set that isn't empty once for each band it stands in; keys of (band, shingle), the band uppermost."""
     rows, bands = [], []
     for i, n in enumerate(sets.sizes.tolist()):
         band = band_of(n)
@@ -218,12 +235,17 @@ def in_bands(sets: Sets, like: Similar) -> tuple[Sets, np.ndarray, np.ndarray]:
             band -= 1
     rows = np.array(rows, np.int64)
     standing = sets.taken(rows)
-    salt = common.mix64(np.array(bands, np.uint64), 8)
-    return standing, rows, common.mix64(standing.flat ^ np.repeat(salt, standing.sizes), 7)
+    bands, below = np.array(bands, np.uint64), np.uint64(64 - BAND_BITS)
+    salt = common.mix64(bands, 8)
+    mixed = common.mix64(standing.flat ^ np.repeat(salt, standing.sizes), 7)
+    return standing, rows, (mixed & np.uint64((1 << (64 - BAND_BITS)) - 1)) | np.repeat(bands << below, standing.sizes)
 
 
 def tile_keys(sets: Sets, like: Similar, last: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, rows of the sets) of the tiles that each set stands in; ``last``: a filter of the keys that come last."""
+    """(keys, rows of the sets) of the tiles that each set stands in; ``last``: a filter of the keys that come last.
+
+    Two alike sets whose smaller one is of a band have as many tiles of that band in common as ``Similar.meetings`` says.
+    """
     standing, rows, keys = in_bands(sets, like)
     late = np.zeros(len(keys), bool) if last is None else holds(last, keys)
     # the place of each shingle: first the ones that don't come last, in their order, then the others
@@ -233,7 +255,9 @@ def tile_keys(sets: Sets, like: Similar, last: np.ndarray | None) -> tuple[np.nd
     late_in_all = np.bincount(of, late, len(standing)).astype(np.int64)
     place = np.arange(len(keys)) - standing.starts[of] - late_before
     place = np.where(late, (standing.sizes - late_in_all)[of] + late_before, place)
-    chosen = place < like.first(standing.sizes)[of]
+    # two sets that share s shingles both have the m-th of them among all but the last s - m
+    more = np.array([like.meetings(b) - 1 for b in range(1 << BAND_BITS)])
+    chosen = place < (like.first(standing.sizes)[of] + more[(keys >> np.uint64(64 - BAND_BITS)).astype(np.int64)])
     return keys[chosen], rows[of[chosen]]
 
 
@@ -377,34 +401,35 @@ def tiles_of(docs: DataFrame, width: int, like: Similar, last: bytes | None) ->
 
 
 def crowded(tiles: DataFrame, parts: int, last: bytes | None, like: Similar) -> DataFrame:
-    """tile, chunk, members, late of the tiles that two sets at least stand in, from rows (key, s1); late: the filter ``last`` holds the key.
+    """tile, chunk, members, late, times of the tiles that two sets at least stand in, from rows (key, s1).
 
     A tile's sets come by size, and where no set before can be alike to one after, one row ends and another begins.
+    late: the filter ``last`` holds the key. Rows of at most FEW sets have in times how many tiles of the band a task
+    has seen with just these, and one such tile; times is null in other rows.
     """
-    schema = [("tile", pa.int64()), ("chunk", pa.int32()), ("members", pa.list_(pa.int64())), ("late", pa.bool_())]
+    schema = [("tile", pa.int64()), ("chunk", pa.int32()), ("members", pa.list_(pa.int64())), ("late", pa.bool_()), ("times", pa.int32())]
     sent = tiles.sparkSession.sparkContext.broadcast(last)
 
     def run(batches):
-        done: set[tuple[int, ...]] = set()
+        few: dict[tuple[int, ...], list[int]] = {}
         filled = np.frombuffer(sent.value, np.uint8) if sent.value else np.zeros(8, np.uint8)
         key, chunk, held = None, 0, []
         size = lambda ids: ids >> (63 - CLASS_BITS)
+        out: list[tuple[int, int, list[int]]] = []
 
         def written():
             keys, *rest = zip(*out, strict=True)
-            return common.record(schema, keys, *rest, holds(filled, np.array(keys, np.int64).view(np.uint64)))
-        out: list[tuple[int, int, list[int]]] = []
+            return common.record(schema, keys, *rest, holds(filled, np.array(keys, np.int64).view(np.uint64)), [None] * len(out))
+
+        def counted():
+            keys, times = zip(*few.values(), strict=True)
+            return common.record(schema, keys, [0] * len(few), [x[1:] for x in few], [None] * len(few), times)
 
         def close():
-            if chunk or len(held) > 1:
-                name = tuple(held)
-                if chunk or len(held) > 16 or name not in done:
-                    if len(held) <= 16 and not chunk:
-                        if len(done) > common.CACHE_WORDS:
-                            done.clear()
-                        done.add(name)
-                    if held:
-                        out.append((key, chunk, held))
+            if not chunk and 1 < len(held) <= FEW:
+                few.setdefault((key >> (64 - BAND_BITS), *held), [key, 0])[1] += 1
+            elif chunk or len(held) > FEW:
+                out.append((key, chunk, held))
 
         for batch in batches:
             keys, ids = batch.column("key").to_numpy(), batch.column("s1").to_numpy()
@@ -430,35 +455,52 @@ def crowded(tiles: DataFrame, parts: int, last: bytes | None, like: Similar) ->
                         # neighbouring chunks share a set, so alike sets of both come together
                         chunk, held = chunk + 1, held[-1:]
                     held.append(m)
+                if len(few) > common.CACHE_WORDS:
+                    yield counted()
+                    few.clear()
             if len(out) > 2_000:
                 yield written()
                 out = []
         close()
         if out:
             yield written()
+        if few:
+            yield counted()
 
-    return tiles.repartition(parts, "key").sortWithinPartitions("key", "s1").mapInArrow(run, "tile long, chunk int, members array<long>, late boolean")
+    return tiles.repartition(parts, "key").sortWithinPartitions("key", "s1").mapInArrow(run, "tile long, chunk int, members array<long>, late boolean, times int")
 
 
 def candidates(docs: DataFrame, width: int, like: Similar, sets: DataFrame, parts: int) -> tuple[DataFrame, str]:
     """What ``crowded`` makes of the tiles of ``docs``, written, and where.
 
-    Keys that come last are those that blocks of texts hold again and again, and if tiles of others are
-    crowded by more pairs than CHUNK times the sets there are, those of such tiles as well.
+    Keys that come last are those that blocks of texts hold again and again. If tiles of others are crowded by
+    more pairs than CHUNK times the sets there are, or hold more sets than MET_BY_CHANCE times as many without
+    being near copies, which meet in the same company again and again, their keys come last as well, those of
+    the largest first. A key of so many sets is found though few of them have it among their first shingles.
     """
     seen = sets.where("often is not null").select(F.explode(F.arrays_zip("often", "times")).alias("x"))
     keys = seen.groupBy(F.col("x.often").alias("key")).agg(F.sum("x.times").alias("c")).where(F.col("c") >= LAST_COUNT)
     last = last_filter(keys)
     for left in reversed(range(ROUNDS)):
-        blocks, path = scratch.keep(crowded(tiles_of(docs, width, like, last), parts, last, like))
+        # only sets of a tile's own band have to meet there, and larger ones to meet those
+        met_there = (F.col("chunk") > 0) | (band_of_set(F.col("members")[0]) <= F.shiftrightunsigned("tile", 64 - BAND_BITS))
+        blocks, path = scratch.keep(crowded(tiles_of(docs, width, like, last), parts, last, like).where(met_there))
         if not left:
             break
-        tiles = blocks.groupBy("tile").agg(F.max("chunk").alias("last"), F.sum(F.size("members")).alias("m"), F.min("late").alias("late"))
-        fresh = tiles.where("last > 0 and not late")
-        pairs = fresh.agg(F.sum(F.col("m").cast("double") * F.col("m"))).first()[0] or 0
-        if pairs <= 2 * CHUNK * sets.count():
+        fresh = blocks.where("times is null and not late").select("tile", "chunk", F.size("members").alias("m"), F.xxhash64("members").alias("name"))
+        tiles = fresh.groupBy("tile").agg(F.max("chunk").alias("last"), F.sum("m").alias("m")).where("last > 0")
+        pairs = tiles.agg(F.sum(F.col("m").cast("double") * F.col("m"))).first()[0] or 0
+        once = fresh.groupBy("name").agg(F.count("*").alias("c"), F.max("m").alias("m"), F.array(F.min("tile"), F.max("tile")).alias("keys")).where("c <= 2")
+        many = sets.count()
+        if pairs <= 2 * CHUNK * many and (once.agg(F.sum("m")).first()[0] or 0) <= MET_BY_CHANCE * many:
             break
-        last = last_filter(fresh.select(F.col("tile").alias("key")), last)
+        room, least = MOST_LAST, CHUNK
+        for m, n in once.groupBy("m").agg(F.count("*")).orderBy(F.desc("m")).collect():  # a row for each size up to CHUNK
+            room -= 2 * n
+            if room < 0:
+                break
+            least = m
+        last = last_filter(once.where(F.col("m") >= least).select(F.explode("keys").alias("key")), last)
         scratch.drop(docs.sparkSession, path)
     return blocks, path
 
@@ -466,12 +508,14 @@ def candidates(docs: DataFrame, width: int, like: Similar, sets: DataFrame, part
 def possible_links(blocks: DataFrame, kinds: DataFrame, like: Similar, parts: int) -> DataFrame:
     """s1, g: sets that bitmaps allow to be linked, in groups.
 
-    Tiles of one chunk are compared inside. Sets that meet in tiles of several chunks, where near copies meet
+    Pairs that met as often as alike sets do are compared, the smaller set of each with all of its others. Tiles
+    of one chunk are compared inside. Sets that meet in tiles of several chunks, where near copies meet
     again and again, are first put together without regard to the tile, each once, and dealt into blocks
     twice: alike sets of different blocks come together in the second dealing. What isn't in the largest
     group by then meets every block, so near copies cost as much as there are of them.
     """
     spark = blocks.sparkSession
+    few, blocks = blocks.where("times is not null"), blocks.where("times is null")
     whole = blocks.groupBy("tile").agg(F.max("chunk").alias("last"))
     one = blocks.join(whole.where("last = 0").select("tile"), "tile", "left_semi").select("members").distinct()
     hot = blocks.join(whole.where("last > 0").select("tile"), "tile", "left_semi").select("members")
@@ -483,6 +527,7 @@ def possible_links(blocks: DataFrame, kinds: DataFrame, like: Similar, parts: in
     signatures = kinds.select("s1", "n", "map")
     inside = one.select(F.xxhash64("members").alias("tile"), zero.alias("a"), zero.alias("b"), F.explode("members").alias("s1"), yes.alias("side"))
     inside = inside.union(many.select("tile", "chunk", zero + 1, "s1", yes)).union(many.where("last > 0").select("tile", chunk(3), zero + 2, "s1", yes))
+    inside = inside.union(often_met(few, like, parts).select(F.col("u").alias("tile"), zero.alias("a"), (zero + 3).alias("b"), "s1", F.when(F.col("s1") == F.col("u"), yes).otherwise(no)))
     first, first_at = scratch.keep(components(bitmap_stars(inside.withColumn("label", F.col("s1")).join(signatures, "s1"), like, parts)))
 
     known = many.where("last > 0").join(first.select(F.col("node").alias("s1"), F.col("component").alias("label")), "s1", "left").withColumn("label", F.coalesce("label", "s1"))
@@ -500,6 +545,25 @@ def possible_links(blocks: DataFrame, kinds: DataFrame, like: Similar, parts: in
     return found
 
 
+def band_of_set(name):
+    """The band of a set's size, from a column of names."""
+    return F.shiftright(name, 63 - CLASS_BITS + CLASSES.bit_length() - 1)
+
+
+def size_class(name):
+    return F.shiftright(name, 63 - CLASS_BITS)
+
+
+def often_met(few: DataFrame, like: Similar, parts: int) -> DataFrame:
+    """u, s1: for each set u itself and the larger ones that it meets as often as alike sets do, in ``few`` (tile, members, times)."""
+    band = F.shiftrightunsigned("tile", 64 - BAND_BITS)
+    each = few.select(band.alias("band"), "times", "members", F.posexplode("members").alias("i", "u")).where(band_of_set(F.col("u")) <= F.col("band"))
+    each = each.select("u", "times", F.explode(F.slice("members", F.col("i") + 2, F.lit(FEW))).alias("v")).where(size_class(F.col("v")) - size_class(F.col("u")) <= like.classes)
+    enough = F.array(*[F.lit(like.meetings(b)) for b in range(1 << BAND_BITS)])[band_of_set(F.col("u")).cast("int")]
+    pairs = each.repartition(parts, "u").groupBy("u", "v").agg(F.sum("times").alias("c")).where(F.col("c") >= enough)
+    return pairs.groupBy("u").agg(F.collect_list("v").alias("v")).select("u", F.explode(F.concat(F.array("u"), "v")).alias("s1"))
+
+
 def met(hot: DataFrame) -> DataFrame:
     """u, v: members of the same array, joined as far as each task sees: no more rows from a task than it has seen sets."""
     schema = [("u", pa.int64()), ("v", pa.int64())]

@@ -155,6 +155,53 @@ def test_crowded_tiles_come_last(spark, monkeypatch):
     assert run(spark, rows, 4, 85) == brute(rows, 4, 85)
 
 
+def test_sets_that_meet_by_chance_get_no_bitmaps(spark, monkeypatch):
+    """Each document shares one shingle with each of twelve others, and two have a near copy."""
+    asked, real = [], nj.bitmap_stars
+
+    def stars(rows, *args):
+        asked.append(rows.count())
+        return real(rows, *args)
+
+    monkeypatch.setattr(nj, "bitmap_stars", stars)
+    r = random.Random(4)
+    rows = []
+    for i in range(300):
+        pieces = [" ".join(f"s{a}_{b}_{w}" for w in range(4)) for k in range(1, 7) for a, b in ((i, (i + k) % 300), ((i - k) % 300, i))]
+        pieces += [f"u{i}_{w}" for w in range(12)]
+        r.shuffle(pieces)
+        rows.append((i, " ".join(pieces)))
+    rows += [(1000 + i, rows[i][1] + " end") for i in (5, 77)]
+    assert run(spark, rows, 4, 85) == brute(rows, 4, 85)
+    assert asked[0] == 4
+
+
+@pytest.mark.parametrize("percent", [30, 85])
+def test_tiles_of_few_or_many_sets_lose_no_link(spark, monkeypatch, percent):
+    """Tiles of more than two sets count as crowded and are made anew, with what they hold last."""
+    monkeypatch.setattr(nj, "FEW", 2)
+    monkeypatch.setattr(nj, "MET_BY_CHANCE", 0)
+    monkeypatch.setattr(nj, "MOST_LAST", 50)
+    rows = list(enumerate(corpus(percent, 150)))
+    assert run(spark, rows, 4, percent) == brute(rows, 4, percent)
+
+
+def test_alike_sets_meet_as_often_as_is_counted():
+    rng = np.random.default_rng(6)
+    for percent in (10, 50, 80, 85, 100):
+        like = nj.Similar(percent)
+        for _ in range(300):
+            n = int(2 ** rng.uniform(0, 9))
+            shared = rng.integers(0, 2**63, n).astype(np.uint64)
+            a, b = (np.unique(np.r_[shared, rng.integers(0, 2**63, int(rng.integers(0, 100 * n // percent - n + 2))).astype(np.uint64)]) for _ in "ab")
+            if like.alike(len(a), len(b), n):
+                sets = nj.Sets(np.r_[a, b], np.array([0, len(a)]), np.array([len(a), len(b)]))
+                keys, rows = nj.tile_keys(sets, like, None)
+                band = nj.band_of(min(len(a), len(b)))
+                both = [k for k in set(keys[rows == 0].tolist()) & set(keys[rows == 1].tolist()) if k >> 58 == band]
+                assert len(both) >= like.meetings(band)
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert nj.link(df).count() == 0
