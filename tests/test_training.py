@@ -106,6 +106,25 @@ def test_fit_of_the_delivered_documents_equals_plain_solvers(spark):
     assert held_against_plain(model, training.with_fold(vectors).collect()) == 33
 
 
+def test_features_that_go_together_take_few_passes(spark, monkeypatch):
+    """Counts passes over the rows on features of unlike lengths that depend on each other, some of them outside the inverted part."""
+    monkeypatch.setattr(training, "NEAR_BYTES", 4 * 3 * 24**2)
+    passes, real = [], training.summed
+
+    def summed(*args, **more):
+        passes.append(args[2].__name__)
+        return real(*args, **more)
+
+    monkeypatch.setattr(training, "summed", summed)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 30)) @ np.diag(np.geomspace(0.1, 4, 30)) @ np.linalg.qr(rng.normal(size=(30, 30)))[0]
+    y = np.argmax(x @ rng.normal(size=(30, 3)) + 5 * rng.normal(size=(600, 3)), axis=1)
+    df = spark.createDataFrame([(i, "abc"[c], list(range(30)), v.tolist()) for i, (c, v) in enumerate(zip(y, x, strict=True))], "seq long, label string, indices array<int>, values array<double>")
+    model = training.fit(df, 30)
+    assert held_against_plain(model, training.with_fold(df).collect()) == 9
+    assert passes.count("_bent") < 150
+
+
 def test_folds_deal_out_each_label_evenly(spark):
     df = spark.range(1000).selectExpr("id AS seq", "CASE WHEN id % 10 = 0 THEN 'x' ELSE 'y' END AS label")
     sizes = {(r.label, r.fold): r["count"] for r in training.with_fold(df).groupBy("label", "fold").count().collect()}
